@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from .mixing import ORACLE as MIXING_SQL
+from .media import op3_media
+from .ctw import op4_lm_scoring
 from .mixing import op2_mixing
 from .sharding import op1_sharding
 
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_mixing": op2_mixing,
+    "op3_media": op3_media,
+    "op4_lm_scoring": op4_lm_scoring,
 }
 
 ORACLE_SQL = {

@@ -5,14 +5,18 @@ from __future__ import annotations
 from .mixing import ORACLE as MIXING_SQL
 from .media import op3_media
 from .ctw import op4_lm_scoring
+from .fst import op9_sentencepiece
 from .mixing import op2_mixing
 from .sharding import op1_sharding
+from .tokencount import op8_token_counts
 
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_mixing": op2_mixing,
     "op3_media": op3_media,
     "op4_lm_scoring": op4_lm_scoring,
+    "op8_token_counts": op8_token_counts,
+    "op9_sentencepiece": op9_sentencepiece,
 }
 
 ORACLE_SQL = {

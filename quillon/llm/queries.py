@@ -5,6 +5,8 @@ from __future__ import annotations
 from .mixing import ORACLE as MIXING_SQL
 from .media import op3_media
 from .ctw import op4_lm_scoring
+from .covertree import ORACLE as TOPK_SQL
+from .covertree import op7_topk
 from .fst import op9_sentencepiece
 from .mixing import op2_mixing
 from .sharding import op1_sharding
@@ -15,10 +17,12 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_media": op3_media,
     "op4_lm_scoring": op4_lm_scoring,
+    "op7_topk": op7_topk,
     "op8_token_counts": op8_token_counts,
     "op9_sentencepiece": op9_sentencepiece,
 }
 
 ORACLE_SQL = {
     "op2_mixing": MIXING_SQL,
+    "op7_topk": TOPK_SQL,
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .mixing import ORACLE as MIXING_SQL
+from .lshforest import op10_near_duplicates
 from .media import op3_media
 from .ctw import op4_lm_scoring
 from .covertree import ORACLE as TOPK_SQL
@@ -20,6 +21,7 @@ QUERIES = {
     "op7_topk": op7_topk,
     "op8_token_counts": op8_token_counts,
     "op9_sentencepiece": op9_sentencepiece,
+    "op10_near_duplicates": op10_near_duplicates,
 }
 
 ORACLE_SQL = {

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .mixing import ORACLE as MIXING_SQL
+from .langid import op6_language_id
 from .lshforest import op10_near_duplicates
 from .media import op3_media
 from .ctw import op4_lm_scoring
@@ -18,6 +19,7 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_media": op3_media,
     "op4_lm_scoring": op4_lm_scoring,
+    "op6_language_id": op6_language_id,
     "op7_topk": op7_topk,
     "op8_token_counts": op8_token_counts,
     "op9_sentencepiece": op9_sentencepiece,

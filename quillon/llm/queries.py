@@ -11,6 +11,7 @@ from .covertree import ORACLE as TOPK_SQL
 from .covertree import op7_topk
 from .fst import op9_sentencepiece
 from .mixing import op2_mixing
+from .toxicity import op5_toxicity
 from .sharding import op1_sharding
 from .tokencount import op8_token_counts
 
@@ -19,6 +20,7 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_media": op3_media,
     "op4_lm_scoring": op4_lm_scoring,
+    "op5_toxicity": op5_toxicity,
     "op6_language_id": op6_language_id,
     "op7_topk": op7_topk,
     "op8_token_counts": op8_token_counts,

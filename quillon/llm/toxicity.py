@@ -104,7 +104,7 @@ def _vote(index: dict[bytes, int], listed: frozenset[bytes]):
                 found = sorted(u for u in units if u in index)
                 votes.append(votes_of(found, units & listed))
                 hits.append([index[u] for u in found])
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("held_out"), pa.array(votes, pa.binary()), pa.array(hits, pa.list_(pa.int32()))], names=["id", "held_out", "votes", "hits"])
+            yield pa.RecordBatch.from_arrays([batch.column("own"), batch.column("held_out"), pa.array(votes, pa.binary()), pa.array(hits, pa.list_(pa.int32()))], names=["id", "held_out", "votes", "hits"])
 
     return run
 
@@ -185,18 +185,20 @@ def fit_linear(rows: list[list[int]], size: int, target: np.ndarray, start: np.n
     return w, b
 
 
-def score(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", own_col: str | None = None) -> DataFrame:
     """Score every whole text.
 
     Rows with ``held_out`` true are scored but never learned from.  Null texts count as empty and get the classifier's
     least score, as do texts without any unit of the lexicons.  Labels may be null, repeat or lack rows; without
     labels of both kinds the fixed lexicons alone decide.  Repeated rows and null ids are rows like others; an empty table gives none.
 
+    :param own_col: a column to carry along instead of the id
     :param labels: id, ``toxic``; at most SAMPLE of the rows not held out are read, those with the least hash of the id
     :return: id, held_out, score, predicted, ``posterior`` of the label model
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
+    own_col = own_col or id_col
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(own_col).alias("own"))
     train = labels.select(F.col(id_col).alias("id"), F.col("toxic").cast("int").alias("toxic")).where("id is not null and toxic in (0, 1)")
     train = train.withColumns({id_col: F.col("id")}).where(~F.coalesce(held_out, F.lit(False))).select("id", "toxic")
     train = train.groupBy("id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
@@ -206,8 +208,9 @@ def score(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "d
     fixed = sorted(listed.difference(units))
     units, odds = [*units, *fixed], np.r_[odds, np.full(len(fixed), 3.0)]
     index = {u: i for i, u in enumerate(units)}
-    kind = f"id {docs.schema['id'].dataType.simpleString()}, held_out boolean, votes binary, hits array<int>"
-    voted = materialize(docs.mapInArrow(_vote(index, listed), kind), "votes")
+    carried = docs.schema["own"].dataType.simpleString()
+    kind = f"id {carried}, held_out boolean, votes binary, hits array<int>"
+    voted = materialize(docs.select("own", "held_out", "text").mapInArrow(_vote(index, listed), kind), "votes")
 
     patterns = voted.where(~F.col("held_out")).groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()  # at most 3 ** len(VOTERS)
     table = np.frombuffer(b"".join(bytes(r["votes"]) for r in patterns), dtype=np.uint8).reshape(-1, len(VOTERS)).astype(np.int64)
@@ -227,8 +230,8 @@ def score(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "d
             columns = [batch.column("id"), batch.column("held_out"), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), pa.array(model.posterior(votes))]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "held_out", "score", "predicted", "posterior"])
 
-    out = voted.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, held_out boolean, score double, predicted int, posterior double")
-    return out.withColumnRenamed("id", id_col)
+    out = voted.mapInArrow(run, f"id {carried}, held_out boolean, score double, predicted int, posterior double")
+    return out.withColumnRenamed("id", own_col)
 
 
 def held_out_fifth(id_col: str = "doc_id") -> Column:

@@ -53,7 +53,7 @@ def per_group(df: DataFrame, by: Sequence[str], order: Sequence[str], run: Calla
         return out
 
     some = df.select(*keys, *[c for c in dict.fromkeys([*order, *cols]) if c not in keys])
-    grouped = some.groupBy(*keys) if keys else some.groupBy(F.lit(0))
+    grouped = some.groupBy(*keys) if keys else some.withColumn("__all", F.lit("all")).groupBy("__all")
     return grouped.applyInPandas(call, full)
 
 

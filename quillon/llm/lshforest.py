@@ -230,7 +230,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     units = families.join(parts, "component").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
     units = units.withColumn("p", F.explode(_pairs_of_parts("parts", "part"))).select("id", F.xxhash64("component", "p.i", "p.j").alias("unit"))
     members = materialize(units, "units")
-    wanted = members.join(some.where(F.col("id").isNotNull()), "id").select("id", "unit", "text")
+    # members grow with the input, so they are never broadcast, however small here: one plan at every size
+    wanted = members.hint("merge").join(some.where(F.col("id").isNotNull()), "id").select("id", "unit", "text")
     links = _by_run(wanted, "unit", _confirm(words, percent), "a long, b long")
     found = materialize(components(links, "links"), "components")
 

@@ -31,8 +31,28 @@ def _each(f: Callable[[float], float]) -> Callable:
     return lambda x: np.asarray(many(np.asarray(x, dtype=float)), dtype=float)
 
 
-tgamma, lgamma, erf, erfc = (_each(f) for f in (math.gamma, math.lgamma, math.erf, math.erfc))
-normal_quantile = _each(lambda p: -math.inf if p == 0 else math.inf if p == 1 else NormalDist().inv_cdf(p))
+_TGAMMA, _LGAMMA, _ERF, _ERFC = (_each(f) for f in (math.gamma, math.lgamma, math.erf, math.erfc))
+_QUANTILE = _each(lambda p: -math.inf if p == 0 else math.inf if p == 1 else NormalDist().inv_cdf(p))
+
+
+def tgamma(x):
+    return _TGAMMA(x)
+
+
+def lgamma(x):
+    return _LGAMMA(x)
+
+
+def erf(x):
+    return _ERF(x)
+
+
+def erfc(x):
+    return _ERFC(x)
+
+
+def normal_quantile(p):
+    return _QUANTILE(p)
 
 
 def normal_pdf(x):

@@ -185,7 +185,7 @@ def invert(cdf: Callable, p, lo, hi, steps: int = 200):
         mid = 0.5 * (lo + hi)
         up = cdf(mid) < p
         lo, hi = np.where(up, mid, lo), np.where(up, hi, mid)
-        if np.all((hi - lo) <= 4 * EPS * np.abs(mid) + TINY):
+        if np.all((hi - lo) <= 4 * EPS * np.maximum(np.abs(mid), 1e-10)):
             break
     return np.where(np.isnan(p) | (p < 0) | (p > 1), np.nan, 0.5 * (lo + hi))
 

@@ -15,8 +15,9 @@ from quillon.llm.common import fresh, materialize
 
 def _without(docs: DataFrame, verdicts: DataFrame, key: str) -> DataFrame:
     """Rows of ``docs`` whose key is not among those of ``verdicts``; these are written first, so that the planner knows their size."""
-    gone = materialize(verdicts.select(F.col(key).alias("__gone")).distinct(), "rejected")
-    return docs.join(gone, F.col(key).eqNullSafe(F.col("__gone")), "left_anti")
+    (name,) = fresh(docs, "__gone")
+    gone = materialize(verdicts.select(F.col(key).alias(name)).distinct(), "rejected")
+    return docs.join(gone, F.col(key).eqNullSafe(F.col(name)), "left_anti")
 
 
 def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:

@@ -304,7 +304,7 @@ def _score(order: int, train_tokens: int, train_types: int):
         return pa.table(
             {
                 "id": texts["id"], "held_out": texts["held_out"], "n_bytes": pa.array([len(t) for t in raw], pa.int64()), "n_tokens": pa.array(n_tokens, pa.int64()),
-                "n_known": pa.array(n_known, pa.int64()), "train_tokens": pa.array([train_tokens] * len(raw), pa.int64()), "base_score": base, "score": score,
+                "n_known": pa.array(n_known, pa.int64()), "train_tokens": pa.array([train_tokens] * len(raw), pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(score, pa.float64()),
             }
         )
 

@@ -60,3 +60,8 @@ def per_group(df: DataFrame, by: Sequence[str], order: Sequence[str], run: Calla
 def dot(a: Column, b: Column) -> Column:
     """Inner product of two array columns."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+
+def corr(x: Column | str, y: Column | str) -> Column:
+    """Pearson correlation as an aggregate; null where a column is constant (the built-in one fails there)."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))

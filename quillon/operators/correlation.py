@@ -12,19 +12,19 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import dist
-from .common import ordered, per_group
+from .common import corr, ordered, per_group
 
 
 def pearson(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
     """Pearson correlation, clamped to [-1, 1]; null for a constant column."""
     some = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    return some.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.corr(x, y))).alias("r"))
+    return some.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), corr(x, y).alias("r")).withColumn("r", F.when(F.col("r").isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), "r"))))
 
 
 def pearson_matrix(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """All pairs in one aggregation, as rows: ``by...``, i, j, value."""
     pairs = list(combinations_with_replacement(cols, 2))
-    wide = df.groupBy(*by).agg(*[(F.lit(1.0) if a == b else F.corr(a, b)).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
+    wide = df.groupBy(*by).agg(*[(F.lit(1.0) if a == b else corr(a, b)).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
     cells = [F.struct(F.lit(u).alias("i"), F.lit(v).alias("j"), F.col(f"c{i}").alias("value")) for i, (a, b) in enumerate(pairs) for u, v in dict.fromkeys([(a, b), (b, a)])]
     return wide.select(*by, F.explode(F.array(*cells)).alias("m")).select(*by, "m.*")
 
@@ -41,7 +41,7 @@ def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame
     """Pearson correlation of average ranks."""
     some = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     ranked = some.select(*by, average_rank(x, by).alias("__rx"), average_rank(y, by).alias("__ry"))
-    return ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.corr("__rx", "__ry").alias("rho"))
+    return ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), corr("__rx", "__ry").alias("rho"))
 
 
 def kendall(df: DataFrame, x: str, y: str, by: Sequence[str] = (), variant: str = "b") -> DataFrame:
@@ -131,7 +131,7 @@ def autocorrelation(df: DataFrame, x: str, lags: int, by: Sequence[str] = (), or
     """``by...``, lag, value, ci_low, ci_high (Bartlett's formula), q_stat (Ljung-Box)."""
     rows = _lag_rows(df, x, x, lags, by, order)
     scale = F.col("n") / (F.col("n") - F.col("lag")) if adjusted else F.lit(1.0)
-    rows = rows.withColumn("value", F.col("p") / (F.col("n") * F.col("sx") * F.col("sx")) * scale)
+    rows = rows.withColumn("value", F.try_divide(F.col("p"), F.col("n") * F.col("sx") * F.col("sx")) * scale)
     before = ordered(by, ["lag"]).rowsBetween(W.unboundedPreceding, -1)
     square = F.when(F.col("lag") > 0, F.col("value") * F.col("value")).otherwise(0.0)
     rows = rows.withColumn("se", F.when(F.col("lag") == 0, 0.0).otherwise(F.sqrt((1 + 2 * F.coalesce(F.sum(square).over(before), F.lit(0.0))) / F.col("n"))))
@@ -149,7 +149,7 @@ def cross_covariance(df: DataFrame, x: str, y: str, lags: int, by: Sequence[str]
 def cross_correlation(df: DataFrame, x: str, y: str, lags: int, by: Sequence[str] = (), order: Sequence[str] = ("t",), adjusted: bool = True) -> DataFrame:
     """Cross-covariance over the biased deviations."""
     rows = _lag_rows(df, x, y, lags, by, order)
-    return rows.select(*by, "lag", (F.col("p") / (F.col("n") - (F.col("lag") if adjusted else 0)) / (F.col("sx") * F.col("sy"))).alias("value"))
+    return rows.select(*by, "lag", F.try_divide(F.col("p") / (F.col("n") - (F.col("lag") if adjusted else 0)), F.col("sx") * F.col("sy")).alias("value"))
 
 
 def levinson_durbin(acov: np.ndarray, order: int) -> tuple[np.ndarray, float, np.ndarray]:
@@ -235,3 +235,56 @@ def correlate_rows(a: DataFrame, b: DataFrame, by: Sequence[str] = ()) -> DataFr
     right = b.select(*by, F.col("t").alias("j"), F.col("y").alias("v"))
     pairs = left.join(right, list(by)) if by else left.join(right, F.lit(True))
     return pairs.groupBy(*by, (F.col("i") - F.col("j")).alias("k")).agg(F.sum(F.col("u") * F.col("v")).alias("value"))
+
+
+def _tail(p_greater: Column, alternative: str) -> Column:
+    if alternative == "greater":
+        return p_greater
+    if alternative == "less":
+        return 1 - p_greater
+    if alternative == "two_sided":
+        return 2 * F.least(p_greater, 1 - p_greater)
+    raise ValueError(f"unknown alternative {alternative!r}")
+
+
+def pearson_test(df: DataFrame, x: str, y: str, by: Sequence[str] = (), alternative: str = "two_sided") -> DataFrame:
+    """r and its p-value; under no correlation (r + 1) / 2 has a Beta(n/2 - 1, n/2 - 1) distribution.  Two rows give p = 1, a constant column null."""
+    out = pearson(df, x, y, by)
+    half = (F.greatest(F.col("n"), F.lit(3)) / 2 - 1).cast("double")
+    p = _tail(dist.column("beta", "sf", (F.col("r") + 1) / 2, half, half), alternative)
+    return out.withColumn("p_value", F.when(F.col("r").isNull(), None).when(F.col("n") <= 2, 1.0).otherwise(p))
+
+
+def spearman_test(df: DataFrame, x: str, y: str, by: Sequence[str] = (), alternative: str = "two_sided") -> DataFrame:
+    """rho and its p-value from t = rho sqrt((n - 2) / (1 - rho**2))."""
+    out = spearman(df, x, y, by)
+    free = F.greatest(F.col("n") - 2, F.lit(1)).cast("double")
+    t = F.col("rho") * F.sqrt(free / F.greatest(1 - F.col("rho") * F.col("rho"), F.lit(1e-300)))
+    return out.withColumn("p_value", F.when(F.col("rho").isNull() | (F.col("n") <= 2), None).otherwise(_tail(dist.column("students_t", "sf", t, free), alternative)))
+
+
+def kendall_exact_p(n: int, discordant: int) -> float:
+    """Two-sided p-value without ties: the share of orders with as few, or as many, discordant pairs."""
+    counts = np.ones(1)
+    for k in range(2, n + 1):
+        counts = np.convolve(counts, np.ones(k) / k)
+    tail = min(discordant, n * (n - 1) // 2 - discordant)
+    return float(min(1.0, 2 * counts[: tail + 1].sum()))
+
+
+def autocovariance_values(x: np.ndarray, lags: int, adjusted: bool = False, missing: str = "none") -> np.ndarray:
+    """Autocovariances under a policy for NaN: none (NaN spreads), raise, drop (time closes up) or conservative (zero after
+    demeaning, divisors count the observed pairs)."""
+    x = np.asarray(x, float)
+    seen = ~np.isnan(x)
+    if missing == "raise" and not seen.all():
+        raise ValueError("missing values")
+    if missing == "drop":
+        x, seen = x[seen], np.ones(int(seen.sum()), bool)
+    n = len(x)
+    z = np.where(seen, x - (x[seen].mean() if missing == "conservative" else x.mean()), 0.0 if missing == "conservative" else np.nan)
+    sums = np.array([(z[k:] * z[: n - k]).sum() for k in range(lags + 1)])
+    if not adjusted:
+        return sums / (seen.sum() if missing == "conservative" else n)
+    pairs = np.array([(seen[k:] & seen[: n - k]).sum() for k in range(lags + 1)]) if missing == "conservative" else n - np.arange(lags + 1)
+    return np.divide(sums, pairs, out=sums.copy(), where=pairs > 0)

@@ -16,14 +16,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import dist
-from .common import ordered, per_group, running
+from .common import corr, ordered, per_group, running
 from .correlation import autocorrelation
 from .regression import lstsq, ols, residuals
 
 
 def durbin_watson(df: DataFrame, e: str, by: Sequence[str] = (), order: Sequence[str] = ("t",)) -> DataFrame:
     step = F.col(e) - F.lag(e).over(ordered(by, order))
-    return df.select(*by, F.col(e).alias("__e"), step.alias("__d")).groupBy(*by).agg((F.sum(F.col("__d") * F.col("__d")) / F.sum(F.col("__e") * F.col("__e"))).alias("statistic"))
+    return df.select(*by, F.col(e).alias("__e"), step.alias("__d")).groupBy(*by).agg(F.try_divide(F.sum(F.col("__d") * F.col("__d")), F.sum(F.col("__e") * F.col("__e"))).alias("statistic"))
 
 
 def jarque_bera(df: DataFrame, e: str, by: Sequence[str] = ()) -> DataFrame:
@@ -58,7 +58,7 @@ def cusum(df: DataFrame, e: str, by: Sequence[str] = (), order: Sequence[str] =
     run = df.select(*by, F.col(e).alias("__e"), F.sum(e).over(running(by, order)).alias("__s"))
     n = F.count("__e")
     scale = F.sqrt(F.sum(F.col("__e") * F.col("__e")) * (n / (n - ddof) if ddof else F.lit(1.0)))
-    out = run.groupBy(*by).agg((F.max(F.abs("__s")) / scale).alias("statistic"))
+    out = run.groupBy(*by).agg(F.try_divide(F.max(F.abs("__s")), scale).alias("statistic"))
     return out.withColumn("p_value", dist.column("kolmogorov_smirnov", "sf", "statistic", 1.0))
 
 
@@ -73,7 +73,7 @@ def break_variance(df: DataFrame, e: str, by: Sequence[str] = (), order: Sequenc
     sums = rows.groupBy(*by).agg(
         F.sum(F.when(last, square)).alias("hi"), F.sum(F.when(first, square)).alias("lo"), F.count_if(last & F.col("__e").isNotNull()).cast("double").alias("df_num"), F.count_if(first & F.col("__e").isNotNull()).cast("double").alias("df_den")
     )
-    sums = sums.withColumn("statistic", F.col("hi") / F.col("lo"))
+    sums = sums.withColumn("statistic", F.try_divide(F.col("hi"), F.col("lo")))
     up, down = dist.column("fisher_f", "sf", "statistic", F.col("df_num"), F.col("df_den")), dist.column("fisher_f", "cdf", "statistic", F.col("df_num"), F.col("df_den"))
     p = {"increasing": up, "decreasing": down, "two_sided": 2 * F.least(up, down)}[alternative]
     return sums.withColumn("p_value", p).select(*by, "statistic", "p_value", "df_num", "df_den")
@@ -283,7 +283,7 @@ def kpss_fixed(df: DataFrame, x: str, lags: int, by: Sequence[str] = (), order:
     long_run = F.sum(F.col("__e") * F.col("__e")) / n
     for k in range(1, lags + 1):
         long_run = long_run + 2 * (1 - k / (lags + 1)) * F.sum(f"__p{k}") / n
-    return rows.groupBy(*by).agg((F.sum(F.col("__s") * F.col("__s")) / (n * n) / long_run).alias("statistic"))
+    return rows.groupBy(*by).agg(F.try_divide(F.sum(F.col("__s") * F.col("__s")) / (n * n), long_run).alias("statistic"))
 
 
 def cointegration(df: DataFrame, y0: str, y1: str, by: Sequence[str] = (), order: Sequence[str] = ("t",), trend: str = "c") -> DataFrame:
@@ -335,5 +335,5 @@ def johansen(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), order:
 def instantaneous_causality(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFrame:
     """n r2 of two residual columns, chi-square with 1 degree of freedom."""
     ok = df.where(F.col(a).isNotNull() & F.col(b).isNotNull() & ~F.isnan(a) & ~F.isnan(b))
-    out = ok.groupBy(*by).agg((F.count(F.lit(1)) * F.pow(F.corr(a, b), 2)).alias("statistic"))
+    out = ok.groupBy(*by).agg((F.count(F.lit(1)) * F.pow(corr(a, b), 2)).alias("statistic"))
     return out.withColumn("p_value", dist.column("chi_square", "sf", "statistic", 1.0))

@@ -534,3 +534,59 @@ def filter_series(df: DataFrame, y: str, make: Callable[[], StateModel], by: Seq
         return pd.DataFrame({**{c: pdf[c].to_numpy() for c in order}, "mean": r.mean[:, 0], "variance": r.variance[:, 0], "ess": r.ess, "loglik": r.loglik})
 
     return per_group(df, by, order, run, f"{kinds}, mean double, variance double, ess double, loglik double", [y])
+
+
+# --- more models, variance estimates and online smoothing ---
+
+
+def leveraged_volatility(mu: float = -1.0, rho: float = 0.95, sigma: float = 0.3, phi: float = -0.5) -> Callable[[Sequence[float]], StateModel]:
+    """Stochastic volatility whose next shock goes with the last return; made for a series, whose returns drive it."""
+    norm = lambda r, s: -0.5 * (r / s) ** 2 - np.log(s) - 0.5 * math.log(2 * math.pi)
+
+    def make(ys: Sequence[float]) -> StateModel:
+        mean = lambda t, x: mu + rho * (x - mu) + sigma * phi * ys[t - 1] * np.exp(-x / 2)
+        sd = sigma * math.sqrt(1 - phi * phi)
+        return StateModel(lambda rng, n: mu + sigma / math.sqrt(1 - rho * rho) * rng.standard_normal(n), lambda rng, t, x: mean(t, x) + sd * rng.standard_normal(len(x)), lambda t, x, y: norm(y, np.exp(x / 2)), lambda t, p, x: norm(x - mean(t, p), sd))
+
+    return make
+
+
+def multivariate_volatility(mu: np.ndarray, rho: np.ndarray, cov: np.ndarray, corr: np.ndarray) -> StateModel:
+    """Log volatilities in d dimensions with correlated shocks; observations are normal with correlation ``corr``."""
+    mu, rho, d = np.asarray(mu, float), np.asarray(rho, float), len(mu)
+    low = np.linalg.cholesky(cov)
+    start = np.linalg.cholesky(cov / (1 - np.outer(rho, rho)))
+    inv, logdet = np.linalg.inv(corr), np.linalg.slogdet(corr)[1]
+
+    def log_obs(t, x, y):
+        z = np.asarray(y) * np.exp(-x / 2)
+        return -0.5 * (np.einsum("ni,ij,nj->n", z, inv, z) + x.sum(axis=1) + logdet + d * math.log(2 * math.pi))
+
+    return StateModel(lambda rng, n: mu + rng.standard_normal((n, d)) @ start.T, lambda rng, t, x: mu + rho * (x - mu) + rng.standard_normal(x.shape) @ low.T, log_obs)
+
+
+def genealogy_variance(run: Run, f: Callable = lambda x: x) -> float:
+    """Variance of a filter's estimate from how many final particles share a first ancestor (needs full history)."""
+    first = np.arange(len(run.history[0][0]))
+    for _, _, ancestors in run.history[1:]:
+        first = first[ancestors]
+    v = f(run.x)
+    r = run.w * (v - run.w @ v)
+    return float((np.bincount(first, weights=r, minlength=len(v)) ** 2).sum())
+
+
+def online_smoothed_sum(model: StateModel, ys: Sequence, f: Callable, n: int = 300, method: str = "paths", seed: int = 0) -> np.ndarray:
+    """After each observation the smoothed expectation of the sum of f(t, x_prev, x): along surviving paths, or ``exact`` over all
+    pairs of particles (n squared)."""
+    run = particle_filter(model, ys, n, seed=seed, keep=None)
+    tau, out = np.zeros(n), [0.0]
+    for t in range(1, len(ys)):
+        (xp, wp, _), (x, lw, ancestors) = run.history[t - 1], run.history[t]
+        if method == "paths":
+            tau = tau[ancestors] + f(t, xp[ancestors], x)
+        else:
+            k = wp[None, :] + model.log_move(t, xp[None, :], x[:, None])
+            p = np.exp(k - k.max(axis=1, keepdims=True))
+            tau = ((p / p.sum(axis=1, keepdims=True)) * (tau[None, :] + f(t, xp[None, :], x[:, None]))).sum(axis=1)
+        out.append(float(normalise(lw) @ tau))
+    return np.array(out)

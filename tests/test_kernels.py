@@ -304,3 +304,37 @@ def test_fit_from_statistics():
     assert np.allclose(fit.coef, beta) and fit.ssr == pytest.approx(ssr) and fit.rank == rank == 3 and np.allclose(fit.cov0, inv)
     flat = G.Fit(60, 60.0, full.mean(axis=0), c, const=False)
     assert np.allclose(flat.coef, G.lstsq(y, x)[0])
+
+
+def test_missing_values_in_autocovariances():
+    x = np.array([1.0, 2.0, np.nan, 4.0, 3.0])
+    seen = x[~np.isnan(x)]
+    assert np.isnan(C.autocovariance_values(x, 1)).all()
+    assert C.autocovariance_values(x, 1, missing="drop")[0] == pytest.approx(seen.var())
+    z = np.array([-1.5, -0.5, 0, 1.5, 0.5])
+    assert C.autocovariance_values(x, 1, True, "conservative")[1] == pytest.approx((z[1:] * z[:-1]).sum() / 2)
+    with pytest.raises(ValueError, match="missing"):
+        C.autocovariance_values(x, 1, missing="raise")
+
+
+def test_exact_kendall():
+    from itertools import permutations
+
+    inv = [C.inversions(np.array(p)) for p in permutations(range(5))]
+    assert C.kendall_exact_p(5, 2) == pytest.approx(2 * sum(i <= 2 for i in inv) / 120)
+
+
+def test_more_particle_tools():
+    k = statespace.Model(np.eye(1), np.eye(1) * 0.04, np.eye(1) * 0.9, np.eye(1), np.eye(1))
+    _, y = statespace.simulate(k, 25, np.random.default_rng(4))
+    y, smooth = y[:, 0], statespace.kalman_smooth(k, y)[0][:, 0]
+    m = particle.linear_gauss()
+    for method in ("paths", "exact"):
+        assert particle.online_smoothed_sum(m, y, lambda t, a, b: b + 0 * a, 600, method)[-1] == pytest.approx(smooth[1:].sum(), abs=1.5)
+    runs = [particle.particle_filter(m, y, 300, seed=s, keep=None) for s in range(30)]
+    spread = np.var([r.mean[-1, 0] for r in runs])
+    assert 0.2 < np.mean([particle.genealogy_variance(r) for r in runs]) / spread < 5
+    r = RNG.standard_normal(30) * 0.6
+    assert math.isfinite(particle.particle_filter(particle.leveraged_volatility()(r), r, 200).total)
+    mv = particle.multivariate_volatility(np.zeros(2), np.full(2, 0.9), np.eye(2) * 0.1, np.array([[1, 0.3], [0.3, 1]]))
+    assert math.isfinite(particle.particle_filter(mv, list(RNG.standard_normal((20, 2))), 200).total)

@@ -139,3 +139,25 @@ def test_online_kalman_equals_batch(spark, tmp_path):
 def test_online_particles(spark, tmp_path):
     _, got = run_stream(spark, tmp_path, lambda s: online.online_particles(s, lambda: particle.linear_gauss(0.95, 1.0, 0.7), "g", "t", "y", 300), "particles_out")
     assert len(got) == 40 and got["ess"].between(1, 300).all() and math.isfinite(got["loglik"].sum())
+
+
+def test_correlation_p_values(spark):
+    rng = np.random.default_rng(12)
+    rows = [("a", float(u), float(u + 3 * v)) for u, v in rng.standard_normal((40, 2))] + [("b", 1.0, float(v)) for v in range(5)]
+    df = spark.createDataFrame(rows, "g string, x double, y double")
+    out = {r["g"]: r for r in C.pearson_test(df, "x", "y", ["g"]).collect()}
+    r, n = out["a"]["r"], 40
+    from quillon.functions import dist
+
+    assert out["a"]["p_value"] == pytest.approx(float(dist.t_two_sided(r * math.sqrt((n - 2) / (1 - r * r)), n - 2)), rel=1e-6) and out["b"]["p_value"] is None
+    up, down = (C.spearman_test(df.where("g = 'a'"), "x", "y", alternative=a).first()["p_value"] for a in ("greater", "less"))
+    assert up + down == pytest.approx(1)
+
+
+def test_constant_columns_give_null(spark):
+    df = spark.createDataFrame([("a", i, 2.0, float(i)) for i in range(12)], "g string, t int, x double, y double")
+    assert C.pearson(df, "x", "y", ["g"]).first()["r"] is None and C.spearman(df, "x", "y", ["g"]).first()["rho"] is None
+    assert C.autocorrelation(df, "x", 2, ["g"]).where("value is not null").count() == 0
+    zero = df.withColumn("e", F.col("x") - 2)
+    assert H.durbin_watson(zero, "e", ["g"]).first()["statistic"] is None and H.cusum(zero, "e", ["g"]).first()["statistic"] is None
+    assert H.break_variance(zero, "e", ["g"]).first()["statistic"] is None and H.kpss_fixed(df, "x", 2, ["g"]).first()["statistic"] is None

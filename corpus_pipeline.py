@@ -13,10 +13,14 @@ from quillon.llm import fst, langid, lshforest, mixing, toxicity
 from quillon.llm.common import fresh, materialize
 
 
-def _without(docs: DataFrame, verdicts: DataFrame, key: str) -> DataFrame:
-    """Rows of ``docs`` whose key is not among those of ``verdicts``; these are written first, so that the planner knows their size."""
+def _without(docs: DataFrame, verdicts: DataFrame, key: str, share: bool = False) -> DataFrame:
+    """Rows of ``docs`` whose key is not among those of ``verdicts``; these are written first, so that the planner knows their size.
+
+    ``share``: the verdicts are a share of all documents, so they are merged, never broadcast, at every size.
+    """
     (name,) = fresh(docs, "__gone")
     gone = materialize(verdicts.select(F.col(key).alias(name)).distinct(), "rejected")
+    gone = gone.hint("merge") if share else gone
     return docs.join(gone, F.col(key).eqNullSafe(F.col(name)), "left_anti")
 
 
@@ -39,13 +43,13 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     keyed, key = _keyed(docs)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     scored = toxicity.score(keyed, labels, toxicity.held_out_fifth(), own_col=key)
-    return _without(keyed, scored.where("predicted = 1"), key).drop(key)
+    return _without(keyed, scored.where("predicted = 1"), key, share=True).drop(key)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group, once if its row repeats; documents without words have no group and stay."""
     verdicts = materialize(lshforest.near_duplicates(docs), "near-duplicates")
-    out = _without(docs, verdicts.where("not kept"), "doc_id")
+    out = _without(docs, verdicts.where("not kept"), "doc_id", share=True)
     repeated = materialize(verdicts.where("kept and doc_id is not null and n_shingles > 0").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
     if repeated.isEmpty():
         return out

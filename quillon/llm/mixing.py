@@ -80,7 +80,7 @@ def plan(
     base = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"))
     units = materialize(base.groupBy("id", "source", "size").agg(F.count(F.lit(1)).alias("rows")), "units")
     goal = targets(units.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size")), start, end, max_repeat)
-    n = buckets_for(units.count(), 1000)
+    n = buckets_for(units.count(), 400)
     spread = units.withColumn("order", F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col("id").cast("string"), F.lit("null"))).cast("binary")))
     spread = spread.withColumn("bucket", F.floor(F.conv(F.substring("order", 1, 7), 16, 10).cast("long") * F.lit(n) / F.lit(16**7)))
     words = F.col("size") * F.col("rows")
@@ -117,7 +117,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     kept = F.filter("passes", lambda p: 2 * p["words"] >= F.col("size"))
     times = made.select(F.col(id_col).alias("i"), F.col(source_col).alias("s"), F.col("size").alias("z"), F.explode(F.transform(kept, lambda p: p["fraction"])).alias("at"))
     on = [F.col("t.i").eqNullSafe(F.col(f"d.`{id_col}`")), F.col("t.s").eqNullSafe(F.col(f"d.`{source_col}`")), F.col("t.z") == word_count(f"d.`{text_col}`")]
-    out = docs.alias("d").join(times.alias("t"), on).select(*[F.col(f"d.`{c}`") for c in docs.columns], F.col("t.at").alias(place))
+    out = docs.alias("d").join(times.hint("merge").alias("t"), on).select(*[F.col(f"d.`{c}`") for c in docs.columns], F.col("t.at").alias(place))
     n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return out.repartitionByRange(n, place, id_col).sortWithinPartitions(place, id_col).drop(place)
 

@@ -12,6 +12,7 @@ distinct byte strings and words out to be counted, and gets back the probabiliti
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -26,7 +27,9 @@ from .common import buckets_for, materialize, read_table
 #: Ends a text and stands before it; no UTF-8 text has it.
 EDGE = b"\xff"
 #: Bytes of text that are coded at once, to bound memory.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
+#: Byte strings whose probabilities go to every task at most (16 bytes each); a larger model is joined to the blocks.
+SMALL = 4_000_000
 LOG2 = math.log(2.0)
 
 
@@ -256,39 +259,52 @@ def _predict(order: int, top: np.ndarray):
 
 
 class Lookup:
-    """Values by code: a table indexed by the code's hash, and a binary search for codes that share a place."""
+    """Values by code: a table from the code's hash to its place, and a binary search for codes whose slot another one has."""
 
-    BITS = 22
     FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
     def __init__(self, codes: np.ndarray, values: np.ndarray):
         order = np.argsort(codes)
         self.codes, self.values = codes[order].astype(np.uint64), values[order]
-        place = self._place(self.codes)
-        self.table = np.full(1 << self.BITS, np.nan)
-        self.table[place] = self.values
-        self.table[np.flatnonzero(np.bincount(place, minlength=1 << self.BITS) > 1)] = np.nan
+        self.shift = np.uint64(64 - min(24, max(12, (4 * len(codes)).bit_length())))
+        self.table = np.zeros(1 << (64 - int(self.shift)), dtype=np.int32)
+        self.table[self._slot(self.codes)] = np.arange(len(codes), dtype=np.int32)
 
-    def _place(self, codes: np.ndarray) -> np.ndarray:
-        return ((codes * self.FACTOR) >> np.uint64(64 - self.BITS)).astype(np.int64)
+    def _slot(self, codes: np.ndarray) -> np.ndarray:
+        return ((codes * self.FACTOR) >> self.shift).astype(np.int32)
 
     def __call__(self, codes: np.ndarray) -> np.ndarray:
-        out = self.table[self._place(codes)]
-        odd = np.flatnonzero(np.isnan(out))
-        out[odd] = self.values[np.searchsorted(self.codes, codes[odd])]
-        return out
+        at = self.table[self._slot(codes)]
+        odd = np.flatnonzero(self.codes[at] != codes)
+        at[odd] = np.searchsorted(self.codes, codes[odd])
+        return self.values[at]
 
 
-def _score(order: int, train_tokens: int, train_types: int):
-    """One block: its texts and what came back about its codes and words; a row per text."""
+_LOOKUPS: dict[str, Lookup] = {}
+
+
+def shared_lookup(shared) -> Lookup:
+    """The worker's table of a broadcast model, built once."""
+    key, codes, values = shared.value
+    if key not in _LOOKUPS:
+        _LOOKUPS.clear()
+        _LOOKUPS[key] = Lookup(np.frombuffer(codes, dtype=np.int64), np.frombuffer(values, dtype=np.float64))
+    return _LOOKUPS[key]
+
+
+def _score(order: int, train_tokens: int, train_types: int, shared=None):
+    """One block: its texts and what came back about its words and, unless the model is broadcast, its codes; a row per text."""
 
     def run(key: tuple, texts: pa.Table, facts: pa.Table) -> pa.Table:
         is_word = facts["word"].is_valid()
         words = facts.filter(is_word)
         count = dict(zip(words["word"].to_pylist(), words["c"].to_pylist(), strict=True))
         ends = count.pop(EDGE, 0)
-        codes = facts.filter(facts["code"].is_valid())
-        logp = Lookup(codes["code"].to_numpy(), codes["logp"].to_numpy())
+        if shared is not None:
+            logp = shared_lookup(shared)
+        else:
+            codes = facts.filter(facts["code"].is_valid())
+            logp = Lookup(codes["code"].to_numpy(), codes["logp"].to_numpy())
         raw = lowered(texts["text"])
         n_tokens, n_known, base = [], [], []
         each = math.log10(train_tokens + train_types + 1)
@@ -311,13 +327,14 @@ def _score(order: int, train_tokens: int, train_types: int):
     return run
 
 
-def score(docs: DataFrame, held_out: Column, order: int = 5, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 1 << 24) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, order: int = 5, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 1 << 24, small: int = SMALL) -> DataFrame:
     """Score every text, learning from those for which ``held_out`` is false.
 
     Null texts count as empty; an empty text is just its end.  Repeated rows are scored, and learned from,
     like others.  Without training texts every bit has probability 1/2.  An empty table gives no rows.
 
     :param order: bytes of context, 2 to 7
+    :param small: models of at most so many byte strings are broadcast, larger ones joined to the blocks
     :return: id, held_out, n_bytes, n_tokens, n_known, train_tokens, base_score (add-one unigram), score; scores are log10
         probabilities of the text, and ``-score / log10(2) / (n_bytes + 1)`` its code length in bits per byte
     """
@@ -344,14 +361,16 @@ def score(docs: DataFrame, held_out: Column, order: int = 5, id_col: str = "doc_
     top = mix_top([(r["ctx"], bytes(r["counts"]), bytes(r["weighted"])) for r in one.collect()])
     model = materialize(counts.groupBy("ctx").applyInArrow(_predict(order, top), "code long, logp double"), "ctw-model")
 
-    found = parts.where("code is not null").select("block", "code").join(model, "code")
-    facts = found.select("block", "code", F.lit(None).cast("binary").alias("word"), F.lit(None).cast("long").alias("c"), "logp").unionByName(
-        words.select("block", F.lit(None).cast("long").alias("code"), "word", "c", F.lit(None).cast("double").alias("logp"))
-    )
-    edge = docs.sparkSession.range(n).select(F.col("id").alias("block"), F.lit(None).cast("long").alias("code"), F.lit(EDGE).alias("word"), F.lit(n_train).cast("long").alias("c"), F.lit(None).cast("double").alias("logp"))
-    facts = facts.unionByName(edge)
+    edge = docs.sparkSession.range(n).select(F.col("id").alias("block"), F.lit(EDGE).alias("word"), F.lit(n_train).cast("long").alias("c"))
+    facts, shared = words.select("block", "word", "c").unionByName(edge), None
+    if model.count() <= small:
+        rows = model.toArrow()
+        shared = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, rows["code"].to_numpy().tobytes(), rows["logp"].to_numpy().tobytes()))
+    else:
+        found = parts.where("code is not null").select("block", "code").join(model, "code")
+        facts = facts.unionByName(found, allowMissingColumns=True)
     out = "id " + docs.schema["id"].dataType.simpleString() + ", held_out boolean, n_bytes long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    run = _score(order, n_words + n_train, n_types + (n_train > 0))
+    run = _score(order, n_words + n_train, n_types + (n_train > 0), shared)
     return blocks.groupBy("block").cogroup(facts.groupBy("block")).applyInArrow(run, out).withColumnRenamed("id", id_col)
 
 

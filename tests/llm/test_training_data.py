@@ -183,6 +183,9 @@ def test_ctw(spark, messy, empty):
     docs = spark.createDataFrame(rows, SCHEMA)
     held = F.col("doc_id").isin(7, 9)
     out = ctw.score(docs, held, order=3).collect()
+    joined = ctw.score(docs, held, order=3, small=0).collect()
+    key = lambda r: (str(r["doc_id"]), r["score"])
+    assert sorted(map(key, joined)) == sorted(map(key, out))
     train = [text_of(m[1]).lower() for m in rows if m[0] not in (7, 9)]
     counts = Counter(w for t in train for w in t.split())
     counts["\0"] = len(train)

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from .mixing import ORACLE as MIXING_SQL
-from .langid import op6_language_id
-from .lshforest import op10_near_duplicates
-from .media import op3_media
-from .ctw import op4_lm_scoring
 from .covertree import ORACLE as TOPK_SQL
 from .covertree import op7_topk
+from .ctw import op4_lm_scoring
 from .fst import op9_sentencepiece
+from .langid import op6_language_id
+from .lshforest import ORACLE as NEAR_SQL
+from .lshforest import op10_near_duplicates
+from .media import op3_media
+from .mixing import ORACLE as MIXING_SQL
 from .mixing import op2_mixing
-from .toxicity import op5_toxicity
 from .sharding import op1_sharding
 from .tokencount import op8_token_counts
+from .toxicity import op5_toxicity
 
 QUERIES = {
     "op1_sharding": op1_sharding,
@@ -31,4 +32,5 @@ QUERIES = {
 ORACLE_SQL = {
     "op2_mixing": MIXING_SQL,
     "op7_topk": TOPK_SQL,
+    "op10_near_duplicates": NEAR_SQL,
 }

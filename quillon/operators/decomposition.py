@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +30,57 @@ def gram_matrix(df: DataFrame, vector: str, width: int, centred: bool = False) -
     return half.unionByName(half.where("i < j").select(F.col("j").alias("i"), F.col("i").alias("j"), "value"))
 
 
+def gram(df: DataFrame, vector: str, by: Sequence[str] = ()) -> DataFrame:
+    """X'X of array rows of one length, over all components: ``by...``, i, j, value.
+
+    Each task adds up its own rows' products, so half a matrix per task and key is shuffled.  Null arrays have no part in it;
+    a null component makes its cells NaN, and arrays of several lengths are an error.
+    """
+    keys = list(by)
+    kinds = "".join(f"`{k}` {df.schema[k].dataType.simpleString()}, " for k in keys)
+
+    def cells(sums: dict, schema: pa.Schema) -> pa.RecordBatch:
+        rows = {k: [] for k in [*keys, "i", "j", "value"]}
+        for key, m in sums.items():
+            i, j = np.triu_indices(len(m))
+            for k, v in zip(keys, key, strict=True):
+                rows[k] += [v] * len(i)
+            rows["i"] += i.tolist()
+            rows["j"] += j.tolist()
+            rows["value"] += m[i, j].tolist()
+        kind = {"i": pa.int32(), "j": pa.int32(), "value": pa.float64()}
+        return pa.RecordBatch.from_arrays([pa.array(v, kind.get(k) or schema.field(k).type) for k, v in rows.items()], names=list(rows))
+
+    def run(batches):
+        sums: dict[tuple, np.ndarray] = {}
+        for b in batches:
+            if b.num_rows == 0:
+                continue
+            lengths = pc.min_max(pc.list_value_length(b.column(vector))).as_py()
+            if lengths["min"] != lengths["max"]:
+                raise ValueError(f"arrays of several lengths: {lengths}")
+            x = b.column(vector).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, -1)
+            codes: dict[tuple, int] = {}
+            own = zip(*[b.column(k).to_pylist() for k in keys], strict=True) if keys else [()] * b.num_rows
+            code = np.array([codes.setdefault(k, len(codes)) for k in own])
+            for key, c in codes.items():
+                part = x[code == c]
+                if key in sums and sums[key].shape[0] != x.shape[1]:
+                    raise ValueError(f"arrays of several lengths: {sums[key].shape[0]}, {x.shape[1]}")
+                sums[key] = sums.get(key, 0.0) + part.T @ part
+            if len(sums) > 256:
+                yield cells(sums, b.schema)
+                sums = {}
+            schema = b.schema
+        if sums:
+            yield cells(sums, schema)
+
+    some = df.select(*keys, vector).where(F.col(vector).isNotNull())
+    half = some.mapInArrow(run, f"{kinds}i int, j int, value double").groupBy(*keys, "i", "j").agg(F.sum("value").alias("value"))
+    cell = F.when(F.col("i") == F.col("j"), F.array(F.struct("i", "j"))).otherwise(F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"))))
+    return half.select(*keys, F.explode(cell).alias("c"), "value").select(*keys, "c.i", "c.j", "value")
+
+
 def lu(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """L, U and the row order, with partial pivoting."""
     u, n = np.array(a, float), len(a)
@@ -44,16 +97,37 @@ def lu(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return low, u, order
 
 
+def _noise(a: np.ndarray) -> float:
+    """What rounding leaves of a zero in a matrix of this size."""
+    return len(a) * np.finfo(float).eps * float(np.abs(a).max(initial=0.0))
+
+
 def ldl(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Unit lower triangle and diagonal of a symmetric matrix."""
+    """Unit lower triangle and diagonal of a symmetric matrix; a pivot that is zero, as is all below it, has a zero column."""
     a, n = np.array(a, float), len(a)
-    low, d = np.eye(n), np.zeros(n)
+    low, d, zero = np.eye(n), np.zeros(n), 8 * _noise(a)
     for j in range(n):
         d[j] = a[j, j] - (low[j, :j] ** 2 * d[:j]).sum()
-        low[j + 1 :, j] = (a[j + 1 :, j] - (low[j + 1 :, :j] * low[j, :j] * d[:j]).sum(axis=1)) / d[j]
+        rest = a[j + 1 :, j] - (low[j + 1 :, :j] * low[j, :j] * d[:j]).sum(axis=1)
+        if abs(d[j]) <= zero and (np.abs(rest) <= zero).all():
+            d[j] = 0.0
+        else:
+            low[j + 1 :, j] = rest / d[j]
     return low, d
 
 
+def cholesky(a: np.ndarray) -> np.ndarray:
+    """L of A = L L', also where a positive semidefinite A is singular; an indefinite A is an error."""
+    try:
+        return np.linalg.cholesky(a)
+    except np.linalg.LinAlgError:
+        w, v = np.linalg.eigh(a)
+        if w.min() < -8 * _noise(a):
+            raise
+    r = np.linalg.qr(np.sqrt(w.clip(min=0))[:, None] * v.T, mode="r")
+    return (r * np.where(np.diag(r) < 0, -1.0, 1.0)[:, None]).T
+
+
 def qr_pivoted(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Q, R and column order by Householder steps on the column of largest remaining norm."""
     r = np.array(a, float)
@@ -82,10 +156,10 @@ def schur(a: np.ndarray, iterations: int = 10_000) -> tuple[np.ndarray, np.ndarr
     """Complex Schur form A = Z T Z* by shifted QR steps with deflation."""
     t = np.array(a, complex)
     n = len(t)
-    z, hi = np.eye(n, dtype=complex), n - 1
+    z, hi, least = np.eye(n, dtype=complex), n - 1, np.finfo(float).eps * np.linalg.norm(t)
     for _ in range(iterations):
-        while hi > 0 and abs(t[hi, hi - 1]) <= 1e-15 * (abs(t[hi, hi]) + abs(t[hi - 1, hi - 1])):
-            t[hi, hi - 1] = 0
+        while hi > 0 and np.abs(t[hi, :hi]).max() <= max(least, 1e-15 * (abs(t[hi, hi]) + abs(t[hi - 1, hi - 1]))):
+            t[hi, :hi] = 0
             hi -= 1
         if hi == 0:
             break
@@ -95,6 +169,8 @@ def schur(a: np.ndarray, iterations: int = 10_000) -> tuple[np.ndarray, np.ndarr
         t[: hi + 1, : hi + 1] = r @ q + shift * np.eye(hi + 1)
         t[: hi + 1, hi + 1 :] = q.conj().T @ t[: hi + 1, hi + 1 :]
         z[:, : hi + 1] = z[:, : hi + 1] @ q
+    else:
+        raise np.linalg.LinAlgError("no Schur form after the given iterations")
     return np.triu(t), z
 
 
@@ -175,7 +251,7 @@ def decompose(df: DataFrame, kind: str, by: Sequence[str] = (), size: tuple[str,
         elif kind == "svd":
             parts = dict(zip(("u", "s", "vt"), np.linalg.svd(a, full_matrices=False), strict=True))
         elif kind == "cholesky":
-            parts = {"l": np.linalg.cholesky(a)}
+            parts = {"l": cholesky(a)}
         elif kind == "ldl":
             parts = dict(zip(("l", "d"), ldl(a), strict=True))
         elif kind == "eigh":

@@ -172,6 +172,12 @@ def dct2(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.explode(made).alias("m")).select("vec_id", "m.*")
 
 
+@query("dct2_full", "WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(0, len(embedding))) AS i, len(embedding) AS n FROM embeddings), k AS (SELECT vec_id, unnest(range(0, len(embedding)))::INT AS k FROM embeddings) SELECT vec_id, k, round(sqrt((CASE WHEN k = 0 THEN 1 ELSE 2 END) / any_value(n)::DOUBLE) * sum(x * cos(pi() * (2 * i + 1) * k / (2 * n))), 6) AS value FROM e JOIN k USING (vec_id) GROUP BY 1, 2", 6)
+def dct2_full(spark, d):
+    """All coefficients; dct2 keeps to its SQL's first four."""
+    return fourier.dct_rows(table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v")), "vec_id", "v")
+
+
 @query("fft_full")
 def fft_full(spark, d):
     return fourier.transform(daily(spark, d), "y", "fft", ["event_type"])
@@ -202,12 +208,26 @@ def matmul_coo(spark, d):
     return D.matmul(a, D.gram_matrix(v, "v", 8))
 
 
+FULL = "WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(0, len(embedding)))::INT AS i FROM embeddings)"
+
+
+@query("gram_matrix_full", f"{FULL} SELECT a.i AS i, b.i AS j, round(sum(a.x * b.x), 6) AS value FROM e a JOIN e b USING (vec_id) GROUP BY 1, 2", 6)
+def gram_matrix_full(spark, d):
+    """Over all components; gram_matrix keeps to its SQL's first eight."""
+    return D.gram(table(spark, d, "embeddings").select(F.col("embedding").cast("array<double>").alias("v")), "v")
+
+
+@query("matmul_coo_full", f"{FULL}, g AS (SELECT a.i AS i, b.i AS j, sum(a.x * b.x) AS v FROM e a JOIN e b USING (vec_id) GROUP BY 1, 2) SELECT e.vec_id AS i, g.j AS j, round(sum(e.x * g.v), 5) AS value FROM e JOIN g ON e.i = g.i GROUP BY 1, 2", 5)
+def matmul_coo_full(spark, d):
+    """All components times their whole Gram matrix; matmul_coo keeps to its SQL's first eight."""
+    v = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    a = v.select(F.col("vec_id").alias("i"), F.posexplode("v").alias("j", "value"))
+    return D.matmul(a, F.broadcast(D.gram(v, "v")))
+
+
 def _blocks(spark, d):
-    """A positive definite 4 x 4 matrix per label."""
-    v = table(spark, d, "embeddings").select("label", F.col("embedding").cast("array<double>").alias("v"))
-    x = [F.get("v", F.lit(i)) for i in range(4)]
-    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.sum(x[i] * x[j]).alias("value")) for i in range(4) for j in range(4)])
-    return v.groupBy("label").agg(cells.alias("m")).select("label", F.explode("m").alias("m")).select("label", "m.*")
+    """The Gram matrix of all components per label; singular where a label has fewer vectors than components."""
+    return D.gram(table(spark, d, "embeddings").select("label", F.col("embedding").cast("array<double>").alias("v")), "v", ["label"])
 
 
 for _kind in ("lu", "qr", "lq", "svd", "cholesky", "ldl", "eigh", "eig", "schur"):

@@ -56,6 +56,18 @@ def vec_elementwise(spark, d):
     return table(spark, d, "embeddings").select("vec_id", at(R.axpy(2.0, u, w)).alias("axpy"), at(R.scale(u, 3.0)).alias("scaled"), at(R.add_const(u, 1.0)).alias("shifted"), F.when(F.get(w, F.lit(0)) != 0, at(R.divide(u, w), 4)).alias("divided"))
 
 
+@query("vec_elementwise_full", """WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(list_concat(embedding[2:], embedding[1:1]))::DOUBLE AS y, unnest(range(0, len(embedding)))::INT AS i FROM embeddings)
+SELECT vec_id, i, round(2 * x + y, 6) AS axpy, round(3 * x, 6) AS scaled, round(x + 1, 6) AS shifted, CASE WHEN y <> 0 THEN round(x / y, 4) END AS divided FROM e""")
+def vec_elementwise_full(spark, d):
+    """Whole arrays, each with itself rotated by one; vec_elementwise keeps to its SQL's first two components."""
+    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("u"))
+    e = e.where(F.size("u") > 0).withColumn("w", F.concat(F.slice("u", F.lit(2), F.size("u")), F.slice("u", 1, 1)))
+    u, w = F.col("u"), F.col("w")
+    made = {"axpy": (R.axpy(2.0, u, w), 6), "scaled": (R.scale(u, 3.0), 6), "shifted": (R.add_const(u, 1.0), 6), "divided": (R.divide(u, F.transform(w, lambda x: F.when(x != 0, x))), 4)}
+    rows = e.select("vec_id", F.posexplode(F.arrays_zip(*[c.alias(k) for k, (c, _) in made.items()])).alias("i", "m"))
+    return rows.select("vec_id", "i", *[F.round(F.col(f"m.{k}"), n).alias(k) for k, (_, n) in made.items()])
+
+
 @query("moments_by_flag", """WITH m AS (SELECT l_returnflag, avg(l_extendedprice) AS mu FROM lineitem GROUP BY 1), c AS (SELECT l.l_returnflag, m.mu, l_extendedprice - m.mu AS z FROM lineitem l JOIN m USING (l_returnflag)),
 s AS (SELECT l_returnflag, any_value(mu) AS mean, count(*) AS n, avg(z * z) AS m2, avg(z * z * z) AS m3, avg(z * z * z * z) AS m4 FROM c GROUP BY 1)
 SELECT l_returnflag, n, round(mean, 4) AS mean, round(sqrt(m2), 4) AS std, round(m3 / m2 ** 1.5, 6) AS skewness, round(m4 / (m2 * m2), 6) AS kurtosis FROM s""")

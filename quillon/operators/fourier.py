@@ -8,13 +8,24 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import per_group
 
 
-def spectrum_by_sums(df: DataFrame, y: str, n: int, by: Sequence[str] = (), t: str = "t") -> DataFrame:
-    """Discrete Fourier transform of series of n rows as 2n conditional sums in one pass: ``by...``, k, re, im, power."""
+def spectrum_by_sums(df: DataFrame, y: str, n: int | None = None, by: Sequence[str] = (), t: str = "t") -> DataFrame:
+    """Discrete Fourier transform of series as sums over rows: ``by...``, k, re, im, power.
+
+    :param n: rows of every series; None counts those of each, which takes a window and n rows a row
+    """
+    if n is None:
+        size, k = "__n", "__k"
+        w = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
+        rows = df.withColumn(size, F.count(F.lit(1)).over(w)).withColumn(k, F.explode(F.sequence(F.lit(0), F.col(size).cast("int") - 1)))
+        angle = F.col(t) * F.col(k) * F.lit(-2 * math.pi) / F.col(size)
+        out = rows.groupBy(*by, F.col(k).alias("k")).agg(F.sum(F.col(y) * F.cos(angle)).alias("re"), F.sum(F.col(y) * F.sin(angle)).alias("im"))
+        return out.withColumn("power", F.col("re") * F.col("re") + F.col("im") * F.col("im"))
     angle = lambda k: F.col(t) * F.lit(-2 * math.pi * k / n)
     sums = [F.struct(F.lit(k).alias("k"), F.sum(F.col(y) * F.cos(angle(k))).alias("re"), F.sum(F.col(y) * F.sin(angle(k))).alias("im")) for k in range(n)]
     return df.groupBy(*by).agg(F.array(*sums).alias("s")).select(*by, F.explode("s").alias("s")).select(*by, "s.*", (F.col("s.re") * F.col("s.re") + F.col("s.im") * F.col("s.im")).alias("power"))

@@ -161,7 +161,7 @@ def quadrature_rules(spark, d):
 
 @query("dft_power", f"WITH {DAILY}, k AS (SELECT unnest(range(0, 30))::INT AS k) SELECT event_type, k, round(sum(y * cos(-2 * pi() * k * t / 30)), 4) AS re, round(sum(y * sin(-2 * pi() * k * t / 30)), 4) AS im, round(sum(y * cos(-2 * pi() * k * t / 30)) ** 2 + sum(y * sin(-2 * pi() * k * t / 30)) ** 2, 0) AS power FROM d, k GROUP BY 1, 2")
 def dft_power(spark, d):
-    out = fourier.spectrum_by_sums(daily(spark, d), "y", 30, ["event_type"])
+    out = fourier.spectrum_by_sums(daily(spark, d), "y", None, ["event_type"])
     return out.withColumns({"re": F.round("re", 4), "im": F.round("im", 4), "power": F.round("power", 0)})
 
 

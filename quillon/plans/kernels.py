@@ -66,6 +66,23 @@ for _name, (_params, _pdf) in DENSITIES.items():
     _x = "p" if _name == "beta" else "x"
     query(f"dist_{_name}_pdf", f"SELECT x, round(({_pdf})::DOUBLE, 9) AS pdf FROM {POINTS}", 9)(lambda spark, d, n=_name, q=_params, x=_x: points(spark, d).select("x", dist.column(n, "pdf", x, *q).alias("pdf")))
 
+#: The same over every row of lineitem; the queries above keep to their SQL's distinct quantities.
+ROWS = "(SELECT l_orderkey, l_linenumber, l_quantity AS x, (l_quantity - 0.5) / 50 AS p FROM lineitem)"
+KEY = ("l_orderkey", "l_linenumber")
+
+
+def rows(spark, d):
+    return table(spark, d, "lineitem").select(*KEY, F.col("l_quantity").alias("x"), ((F.col("l_quantity") - 0.5) / 50).alias("p"))
+
+
+for _name, (_params, _pdf, _cdf, _q) in CLOSED.items():
+    query(f"dist_{_name}_rows", f"SELECT l_orderkey, l_linenumber, x, round(({_pdf})::DOUBLE, 9) AS pdf, round(({_cdf})::DOUBLE, 9) AS cdf, round(({_q})::DOUBLE, 7) AS quantile FROM {ROWS}")(
+        lambda spark, d, n=_name, q=_params: rows(spark, d).select(*KEY, "x", *[F.round(dist.expression(n, m, c, *q).cast("double"), k).alias(m) for m, c, k in (("pdf", "x", 9), ("cdf", "x", 9), ("quantile", "p", 7))])
+    )
+for _name, (_params, _pdf) in DENSITIES.items():
+    _x = "p" if _name == "beta" else "x"
+    query(f"dist_{_name}_pdf_rows", f"SELECT l_orderkey, l_linenumber, x, round(({_pdf})::DOUBLE, 9) AS pdf FROM {ROWS}")(lambda spark, d, n=_name, q=_params, x=_x: rows(spark, d).select(*KEY, "x", F.round(dist.column(n, "pdf", x, *q), 9).alias("pdf")))
+
 UNITS = {
     "binomial": (50, 0.4), "chi_square": (20,), "fisher_f": (4, 7), "gamma": (2.5, 8), "hypergeometric": (20, 30, 60), "inverse_chi_square": (4, 10), "inverse_gamma": (3, 20), "inverse_gaussian": (20, 30), "lognormal": (3, 0.5),
     "negative_binomial": (5, 0.2), "noncentral_beta": (2, 3, 1), "noncentral_chi_square": (10, 5), "noncentral_f": (4, 7, 1.5), "noncentral_t": (5, 1), "normal": (25, 10), "poisson": (20,), "skew_normal": (20, 10, 2), "students_t": (5,),
@@ -75,18 +92,18 @@ UNITS = {
 
 @query("dist_all_special")
 def dist_all_special(spark, d):
-    """pdf, cdf, sf and the quantile of p of every distribution without a closed form."""
-    base, out = points(spark, d), None
+    """pdf, cdf, sf and the quantile of p of every distribution without a closed form, for every row of lineitem."""
+    base, out = rows(spark, d), None
     for n, q in UNITS.items():
         x = "p" if n in ("beta", "noncentral_beta") else "x"
-        part = base.select(F.lit(n).alias("name"), "x", *[dist.column(n, m, c, *q).alias(m) for m, c in (("pdf", x), ("cdf", x), ("sf", x), ("quantile", "p"))])
+        part = base.select(F.lit(n).alias("name"), *KEY, "x", *[dist.column(n, m, c, *q).alias(m) for m, c in (("pdf", x), ("cdf", x), ("sf", x), ("quantile", "p"))])
         out = part if out is None else out.unionByName(part)
     return out
 
 
 @query("special_functions")
 def special_functions(spark, d):
-    """The special functions on one column."""
+    """The special functions on one column, for every row of lineitem."""
     u = (F.col("x") / 10).cast("double")
     made = {
         "lgamma": S.lgamma, "tgamma": S.tgamma, "digamma": S.digamma, "trigamma": S.trigamma, "erf": S.erf, "erfc": S.erfc, "zeta2": lambda v: S.zeta(v + 1.5), "e1": lambda v: S.expint(1, v), "ei": S.expint_ei, "lambert_w": S.lambert_w,
@@ -94,7 +111,7 @@ def special_functions(spark, d):
         "gamma_p": lambda v: S.gamma_p(2.5, v), "ibeta": lambda v: S.ibeta(2.0, 3.0, v / 6), "ellip_k": lambda v: S.ellip_k(v / 6), "ellip_e": lambda v: S.ellip_e(v / 6), "sn": lambda v: S.jacobi(v, 0.5)[0], "lanczos": lambda v: S.lanczos_gamma(v + 1), "heuman": lambda v: S.heuman_lambda(v / 6, 0.5),
         "theta3": lambda v: S.theta(3, v, 0.1), "owens_t": lambda v: S.owens_t(v, 0.5), "hyp_1f1": lambda v: S.hyp_1f1(1.0, 2.5, -v), "rf": lambda v: S.carlson_rf(v, 1.0, 2.0),
     }
-    return points(spark, d).select("x", *[S.apply(f, u).alias(k) for k, f in made.items()])
+    return rows(spark, d).select(*KEY, "x", *[S.apply(f, u).alias(k) for k, f in made.items()])
 
 
 @query("dist_normal_cdf")

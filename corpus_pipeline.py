@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import fst, langid, lshforest, mixing, toxicity
-from quillon.llm.common import fresh, materialize
+from quillon.llm.common import fresh, materialize, word_count
 
 
 def _without(docs: DataFrame, verdicts: DataFrame, key: str, share: bool = False) -> DataFrame:
@@ -47,14 +47,23 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group, once if its row repeats; documents without words have no group and stay."""
-    verdicts = materialize(lshforest.near_duplicates(docs), "near-duplicates")
-    out = _without(docs, verdicts.where("not kept"), "doc_id", share=True)
-    repeated = materialize(verdicts.where("kept and doc_id is not null and n_shingles > 0").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
-    if repeated.isEmpty():
-        return out
-    again = out.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return out.join(repeated, "doc_id", "left_anti").unionByName(again)
+    """Keeps the document with the smallest id of each group, null ids last, once if id and text repeat; documents without words have no group and stay.
+
+    Rows with null or repeated ids are numbered by id and text, so that each of an id's texts is a document of its own.
+    """
+    if docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
+        verdicts = materialize(lshforest.near_duplicates(docs), "near-duplicates")
+        return _without(docs, verdicts.where("not kept"), "doc_id", share=True)
+    keyed, key = _keyed(docs)
+    same, own = fresh(keyed, "__same", "__own")
+    order = (F.col(f"{same}.doc_id").asc_nulls_last(), F.col(f"{same}.text"))
+    numbers = keyed.select(F.col(key).alias(same)).distinct().repartitionByRange(*order).sortWithinPartitions(*order)
+    numbers = materialize(numbers.withColumn(own, F.monotonically_increasing_id()), "numbers")
+    numbered = materialize(keyed.join(numbers.hint("merge"), F.col(key).eqNullSafe(F.col(same))).drop(key, same), "numbered")
+    verdicts = materialize(lshforest.near_duplicates(numbered, id_col=own), "near-duplicates")
+    out = _without(numbered, verdicts.where("not kept"), own, share=True)
+    words = word_count("text") > 0
+    return out.where(words).dropDuplicates([own]).unionByName(out.where(~words)).drop(own)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

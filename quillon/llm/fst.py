@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import read_table
 from .lattice import REMEMBERED, Matcher
-from .spm import BPE, NORMAL, SPACE, UNIGRAM, load, normalise
+from .spm import BPE, NORMAL, SPACE, UNIGRAM, USER_DEFINED, load, normalise
 from .tokencount import UNKNOWN_PENALTY, VOCABULARY
 
 NEVER = float("inf")
@@ -135,7 +135,7 @@ class Codec:
         self.merges = Merges(self.model, self.match.vocabulary) if self.model.model_type == BPE else None
         self.byte_ids = self.model.byte_ids()
         self.least = min(s for s, k in zip(self.model.scores, self.model.kinds, strict=True) if k == NORMAL) - UNKNOWN_PENALTY
-        self.surface = [p.replace(SPACE, " ").encode() if k == NORMAL else b"" for p, k in zip(self.model.pieces, self.model.kinds, strict=True)]
+        self.surface = [p.replace(SPACE, " ").encode() if k in (NORMAL, USER_DEFINED) else b"" for p, k in zip(self.model.pieces, self.model.kinds, strict=True)]
         for b, i in self.byte_ids.items():
             self.surface[i] = bytes([b])
         self.surface[self.model.unknown] = " ⁇ ".encode()

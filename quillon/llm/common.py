@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,3 +69,23 @@ def fresh(df: DataFrame, *stems: str) -> list[str]:
 def buckets_for(rows: int, per_bucket: int, least: int = 16) -> int:
     """How many hash buckets keep each at about ``per_bucket`` rows; grows with the input."""
     return max(least, -(-rows // per_bucket))
+
+
+def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Runs of rows with equal keys, from batches sorted by it; a run may go over several batches."""
+    rest: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k = batch.column(key).to_numpy(zero_copy_only=False)
+        cuts = np.flatnonzero(k[1:] != k[:-1]) + 1
+        if rest and rest[-1].column(key)[0].as_py() != k[0]:
+            yield pa.Table.from_batches(rest)
+            rest = []
+        at = 0
+        for cut in cuts:
+            yield pa.Table.from_batches([*rest, batch.slice(at, cut - at)])
+            rest, at = [], cut
+        rest.append(batch.slice(at))
+    if rest:
+        yield pa.Table.from_batches(rest)

@@ -5,31 +5,32 @@ bytes, with a Krichevsky-Trofimov estimate in every context.  A context's weight
 own estimate plus half the product of its children's, which mixes all depths; from the trained tree the
 probability of a byte after its context follows for every context that occurs anywhere in the input.
 
-The training counts are grouped sums.  Text is dealt into blocks of bounded size; each block sends its
-distinct byte strings and words out to be counted, and gets back the probabilities and counts of just those.
+Text is held in blocks of bounded size.  A block sends its distinct byte strings out, packed by a hash of their
+context but for its farthest byte; such a shard adds up the counts of all blocks and holds the deepest contexts.
+The levels above are tables of decision nodes, and a parent is a grouped sum over its children, so estimates go up
+by aggregations and come down by joins.  Each block gets back the probabilities of just its own strings.
 """
 
 from __future__ import annotations
 
 import math
-import uuid
+import random
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import buckets_for, materialize, read_table
+from .common import materialize, read_table, runs
 
 #: Ends a text and stands before it; no UTF-8 text has it.
 EDGE = b"\xff"
 #: Bytes of text that are coded at once, to bound memory.
 CHUNK = 1 << 20
-#: Byte strings whose probabilities go to every task at most (16 bytes each); a larger model is joined to the blocks.
-SMALL = 4_000_000
+#: Shards of byte strings: so many for each block, within bounds that keep packed rows long and shards small.
+SHARDS, FEWEST_SHARDS, MOST_SHARDS = 4, 64, 1 << 14
 LOG2 = math.log(2.0)
 
 
@@ -91,171 +92,233 @@ def lowered(texts: pa.ChunkedArray) -> list[bytes]:
     return [(t or b"").lower() for t in texts.cast(pa.binary()).to_pylist()]
 
 
-def _gather(order: int):
-    """One block: its distinct codes and words with their counts in training texts (0 for those only held out)."""
-
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        texts, held = lowered(table["text"]), table["held_out"].to_pylist()
-        words: Counter = Counter()
-        others: set = set()
-        keys, counts = [], []
-        for t, h in zip(texts, held, strict=True):
-            others.update(t.split()) if h else words.update(t.split())
-        for wanted in (False, True):
-            part = [t for t, h in zip(texts, held, strict=True) if h == wanted]
-            for _, run_of in chunks(part):
-                k, n = np.unique(codes_of(run_of, order)[0], return_counts=True)
-                keys.append(k)
-                counts.append(np.zeros_like(n) if wanted else n)
-                if len(keys) > 8:
-                    k, n = merge_counts(keys, counts)
-                    keys, counts = [k], [n]
-        code, n = merge_counts(keys, counts)
-        others.difference_update(words)
-        all_words = [*words, *others]
-        n_words = [*words.values(), *([0] * len(others))]
-        block = key[0].as_py()
-        return pa.table(
-            {
-                "block": pa.array([block] * (len(code) + len(all_words)), pa.int64()),
-                "code": pa.concat_arrays([pa.array(code.astype(np.int64)), pa.nulls(len(all_words), pa.int64())]),
-                "word": pa.concat_arrays([pa.nulls(len(code), pa.binary()), pa.array(all_words, pa.binary())]),
-                "n": pa.array(np.concatenate([n, np.array(n_words, dtype=np.int64)])),
-            }
-        )
+def pack(values: np.ndarray) -> bytes:
+    """Sorted integers as compressed differences."""
+    return pa.compress(np.diff(values.astype(np.int64), prepend=0).tobytes(), codec="zstd", asbytes=True)
 
-    return run
 
+def unpack(data: bytes, size: int) -> np.ndarray:
+    return np.cumsum(np.frombuffer(pa.decompress(data, 8 * size, codec="zstd", asbytes=True), dtype=np.int64))
 
-class Level:
-    """The nodes of one depth: for each bit, sorted keys (context, bits so far), totals, ones and log probabilities."""
-
-    def __init__(self, keys: np.ndarray, n: np.ndarray):
-        self.keys, self.n = keys, n
-        self.nodes = []
-        for j in range(8):
-            prefix = keys >> np.uint64(8 - j)
-            first = np.flatnonzero(np.r_[True, prefix[1:] != prefix[:-1]])
-            bit = (keys >> np.uint64(7 - j)) & np.uint64(1)
-            total = np.add.reduceat(n, first).astype(float)
-            ones = np.add.reduceat(n * bit.astype(np.int64), first).astype(float)
-            self.nodes.append([prefix[first], total, ones, log_kt(ones, total), None])
-
-    def weigh(self, below: Level | None) -> Level:
-        """Fill in the weighted probabilities, given those of the level below (none below the deepest)."""
-        for j, node in enumerate(self.nodes):
-            if below is None:
-                node[4] = node[3]
-                continue
-            child = below.nodes[j]
-            up = ((child[0] >> np.uint64(8 + j)) << np.uint64(j)) | (child[0] & np.uint64((1 << j) - 1))
-            split = np.bincount(np.searchsorted(node[0], up), weights=child[4], minlength=len(node[0]))
-            node[4] = np.logaddexp(node[3], split) - LOG2
-        return self
-
-    def above(self) -> Level:
-        """The level whose contexts are one byte shorter."""
-        shorter = ((self.keys >> np.uint64(16)) << np.uint64(8)) | (self.keys & np.uint64(255))
-        return Level(*merge_counts([shorter], [self.n]))
-
-
-def levels_up(keys: np.ndarray, n: np.ndarray, order: int, least: int) -> dict[int, Level]:
-    """Weighted levels from depth ``order`` up to depth ``least``."""
-    out = {order: Level(keys, n).weigh(None)}
-    for d in range(order - 1, least - 1, -1):
-        out[d] = out[d + 1].above().weigh(out[d + 1])
-    return out
 
+def shard_of(codes: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of each code: a hash of its context but for the farthest byte."""
+    h = (codes >> np.uint64(16)) * np.uint64(0x9E3779B97F4A7C15)
+    return ((h ^ (h >> np.uint64(32))) % np.uint64(shards)).astype(np.int64)
+
+
+def _hold(block_bytes: int):
+    """Deals out a task's rows into blocks of about ``block_bytes``; a block's number is drawn once, when it is written."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        draw = random.SystemRandom()
+        block, size = draw.getrandbits(62), 0
+        for batch in batches:
+            numbers = []
+            for n in batch.column("size").to_pylist():
+                if size and size + n > block_bytes:
+                    block, size = draw.getrandbits(62), 0
+                size += n
+                numbers.append(block)
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), *batch.columns[:3]], names=["block", "id", "text", "held_out"])
+
+    return run
 
-def _top(order: int):
-    """All codes of one two-byte context: that context's byte counts and weighted probabilities."""
 
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        table = table.sort_by("code")
-        level = levels_up(table["code"].to_numpy().astype(np.uint64), table["n"].to_numpy(), order, 2)[2]
-        counts, weighted = np.zeros(256), np.zeros(256)
-        counts[(level.keys & np.uint64(255)).astype(int)] = level.n
-        for j, node in enumerate(level.nodes):
-            weighted[(1 << j) | (node[0] & np.uint64((1 << j) - 1)).astype(int)] = node[4]
-        return pa.table({"ctx": pa.array([key[0].as_py()], pa.int64()), "counts": [counts.tobytes()], "weighted": [weighted.tobytes()]})
+PART = pa.schema([("block", pa.int64()), ("shard", pa.int64()), ("size", pa.int64()), ("codes", pa.binary()), ("counts", pa.binary()), ("word", pa.binary()), ("n", pa.int64())])
+
+
+def _gather(order: int, shards: int):
+    """Each block's distinct codes, packed by shard, and words, with their counts in training texts (0 for those only held out)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in runs(batches, "block"):
+            texts, held = lowered(table["text"]), table["held_out"].to_pylist()
+            words: Counter = Counter()
+            others: set = set()
+            keys, counts = [], []
+            for t, h in zip(texts, held, strict=True):
+                others.update(t.split()) if h else words.update(t.split())
+            for wanted in (False, True):
+                part = [t for t, h in zip(texts, held, strict=True) if h == wanted]
+                for _, run_of in chunks(part):
+                    k, n = np.unique(codes_of(run_of, order)[0], return_counts=True)
+                    keys.append(k)
+                    counts.append(np.zeros_like(n) if wanted else n)
+                    if len(keys) > 8:
+                        k, n = merge_counts(keys, counts)
+                        keys, counts = [k], [n]
+            code, n = merge_counts(keys, counts)
+            others.difference_update(words)
+            block = table["block"][0].as_py()
+            where = shard_of(code, shards)
+            by = np.argsort(where, kind="stable")
+            cuts = np.flatnonzero(np.diff(where[by], prepend=-1))
+            rows = []
+            for at in np.split(by, cuts[1:]) if len(by) else []:
+                rows.append((block, int(where[at[0]]), len(at), pack(code[at]), pa.compress(n[at].tobytes(), codec="zstd", asbytes=True)))
+            if rows:
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), PART, strict=False)), pa.nulls(len(rows), pa.binary()), pa.nulls(len(rows), pa.int64())], schema=PART)
+            m = len(words) + len(others)
+            columns = [pa.array([block] * m, pa.int64()), *(pa.nulls(m, t.type) for t in list(PART)[1:5]), pa.array([*words, *others], pa.binary()), pa.array([*words.values(), *([0] * len(others))], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, schema=PART)
 
     return run
 
 
-def _dense(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Totals and ones of the 255 decision nodes (indexes 1 to 255) of one context, from its byte counts."""
-    total, ones = np.zeros(256), np.zeros(256)
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each shard's codes with their counts over all blocks; rows come sorted by shard, a few at a time are held."""
+    shard, keys, counts, held = None, [], [], 0
+
+    def out():
+        code, n = merge_counts(keys, counts)
+        return pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([len(code)]), pa.array([pack(code)]), pa.array([pa.compress(n.tobytes(), codec="zstd", asbytes=True)])], names=["shard", "size", "codes", "counts"])
+
+    for batch in batches:
+        for at, size, codes, n in zip(*(batch.column(c).to_pylist() for c in ("shard", "size", "codes", "counts")), strict=True):
+            if at != shard:
+                if keys:
+                    yield out()
+                shard, keys, counts, held = at, [], [], 0
+            keys.append(unpack(codes, size).astype(np.uint64))
+            counts.append(np.frombuffer(pa.decompress(n, 8 * size, codec="zstd", asbytes=True), dtype=np.int64))
+            held += size
+            if held > 2 * len(keys[0]) + CHUNK:
+                k, n = merge_counts(keys, counts)
+                keys, counts, held = [k], [n], 0
+    if keys:
+        yield out()
+
+
+def leaves(codes: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each bit of the byte, the deepest contexts' nodes: where each begins among the sorted codes, each code's node, totals and ones."""
     for j in range(8):
-        halves = counts.reshape(1 << (j + 1), -1).sum(axis=1)
-        total[1 << j : 2 << j], ones[1 << j : 2 << j] = halves[::2] + halves[1::2], halves[1::2]
-    return total, ones
+        prefix = codes >> np.uint64(8 - j)
+        new = np.r_[True, prefix[1:] != prefix[:-1]] if len(codes) else np.zeros(0, dtype=bool)
+        first = np.flatnonzero(new)
+        bit = (codes >> np.uint64(7 - j)) & np.uint64(1)
+        yield j, first, np.cumsum(new) - 1, np.add.reduceat(n, first).astype(float), np.add.reduceat(n * bit.astype(np.int64), first).astype(float)
 
 
-def _join_two(key: tuple, table: pa.Table) -> pa.Table:
-    """All two-byte contexts below one byte (256 at most): the one-byte context's counts and weighted probabilities."""
-    counts = np.sum([np.frombuffer(b) for b in table["counts"].to_pylist()], axis=0)
-    split = np.sum([np.frombuffer(b) for b in table["weighted"].to_pylist()], axis=0)
-    total, ones = _dense(counts)
-    weighted = np.logaddexp(log_kt(ones, total), split) - LOG2
-    return pa.table({"ctx": pa.array([key[0].as_py()], pa.int64()), "counts": [counts.tobytes()], "weighted": [weighted.tobytes()]})
+def parent_keys(codes: np.ndarray, j: int) -> np.ndarray:
+    """Each code's node for bit ``j`` one level above the deepest: the context but for its farthest byte, then 1 and the bits so far."""
+    return ((codes >> np.uint64(16)) << np.uint64(8)) | np.uint64(1 << j) | ((codes & np.uint64(255)) >> np.uint64(8 - j))
 
 
-def mix_top(rows: list[tuple[int, bytes, bytes]]) -> np.ndarray:
-    """How depths 0 and 1 mix with what lies below: for each first byte and node, P = a + b * (below), or f without anything below.
+def weigh(total: np.ndarray, ones: np.ndarray, split: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log of a node's own estimate, and of its weighted one, given the sum of its children's."""
+    own = log_kt(ones, total)
+    return own, np.logaddexp(own, split) - LOG2
+
+
+NODE = "key long, total double, ones double, own double, weighted double"
+
+
+def above_leaves(codes: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    """The nodes one level above the deepest: key, total, ones, own, weighted."""
+    parts = []
+    for j, first, _, total, ones in leaves(codes, n):
+        key, where = np.unique(parent_keys(codes[first], j), return_inverse=True)
+        sums = [np.bincount(where, weights=x, minlength=len(key)) for x in (total, ones, log_kt(ones, total))]
+        parts.append([key.astype(np.int64), *sums[:2], *weigh(*sums)])
+    return [np.concatenate(c) for c in zip(*parts, strict=True)]
 
-    :param rows: at most 256 of (byte, counts, weighted)
-    """
-    n1, w1 = np.zeros((256, 256)), np.zeros((256, 256))
-    for byte, counts, weighted in rows:
-        n1[byte], w1[byte] = np.frombuffer(counts), np.frombuffer(weighted)
-    t0, o0 = _dense(n1.sum(axis=0))
-    own = log_kt(o0, t0)
-    keep0 = np.exp(own - LOG2 - (np.logaddexp(own, w1.sum(axis=0)) - LOG2))
-    k0 = np.where(t0 > 0, (o0 + 0.5) / (t0 + 1), 0.5)
-    out = np.zeros((3, 256, 256))
-    for byte in range(256):
-        t1, o1 = _dense(n1[byte])
-        k1 = (o1 + 0.5) / (t1 + 1)
-        keep1 = np.exp(log_kt(o1, t1) - LOG2 - w1[byte])
-        seen = t1 > 0
-        out[0, byte] = np.where(seen, keep0 * k0 + (1 - keep0) * keep1 * k1, k0)
-        out[1, byte] = np.where(seen, (1 - keep0) * (1 - keep1), 0.0)
-        out[2, byte] = np.where(seen, keep0 * k0 + (1 - keep0) * k1, k0)
-    return out
 
+def _above_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for shard, size, codes, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            nodes = above_leaves(unpack(codes, size).astype(np.uint64), np.frombuffer(pa.decompress(n, 8 * size, codec="zstd", asbytes=True), dtype=np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array([shard] * len(nodes[0]), pa.int64()), *map(pa.array, nodes)], names=["shard", "key", "total", "ones", "own", "weighted"])
 
-def predict(codes: np.ndarray, n: np.ndarray, order: int, top: np.ndarray) -> np.ndarray:
-    """log10 P(byte | context) for all codes of one two-byte context (sorted, with training counts).
+
+def _weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        total, ones, split = (batch.column(c).to_numpy() for c in ("total", "ones", "split"))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], *map(pa.array, weigh(total, ones, split))], names=["key", "total", "ones", "own", "weighted"])
+
+
+def level_up(nodes: DataFrame) -> DataFrame:
+    """The nodes whose contexts are one byte shorter: sums over their children."""
+    key = F.shiftleft(F.shiftright("key", 16), 8).bitwiseOR(F.col("key").bitwiseAND(F.lit(255)))
+    sums = nodes.groupBy(key.alias("key")).agg(F.sum("total").alias("total"), F.sum("ones").alias("ones"), F.sum("weighted").alias("split"))
+    return sums.mapInArrow(_weigh, NODE)
+
+
+def mixed(keep, k, seen, a, b, f, choose):
+    """A node's P = a + b * (below), and f if nothing below was seen, from those of its parent; an unseen node leaves it to the parent."""
+    return choose(seen, a + b * keep * k, f), choose(seen, b * (1 - keep), 0.0 * b), choose(seen, a + b * k, f)
+
+
+def top_levels(rows: list[tuple[int, float, float, float]]) -> list[tuple[int, float, float, float]]:
+    """How depths 0 and 1 mix with what lies below: (key, a, b, f) for each node of depth 1, of which there are 65,280 at most.
+
+    :param rows: key, total, ones, weighted of each node of depth 1
+    """
+    if not rows:
+        return []
+    key, total, ones, weighted = (np.array(c) for c in zip(*rows, strict=True))
+    z = key.astype(np.int64) & 255
+    t0, o0, split = (np.bincount(z, weights=x, minlength=256) for x in (total, ones, weighted))
+    own0, w0 = weigh(t0, o0, split)
+    root = mixed(np.exp(own0 - LOG2 - w0), (o0 + 0.5) / (t0 + 1), t0 > 0, 0.0 * t0, 0.0 * t0 + 1.0, 0.0 * t0 + 0.5, np.where)
+    own1 = log_kt(ones, total)
+    out = mixed(np.exp(own1 - LOG2 - weighted), (ones + 0.5) / (total + 1), total > 0, *(x[z] for x in root), np.where)
+    return list(zip(key.tolist(), *(x.tolist() for x in out), strict=True))
+
+
+def level_down(nodes: DataFrame, above: DataFrame) -> DataFrame:
+    """(key, a, b, f) of each node, from those of the level above; other columns stay."""
+    up = F.shiftleft(F.shiftright("key", 16), 8).bitwiseOR(F.col("key").bitwiseAND(F.lit(255)))
+    joined = nodes.withColumn("up", up).join(above.select(F.col("key").alias("up"), "a", "b", "f"), "up")
+    keep, k = F.exp(F.col("own") - LOG2 - F.col("weighted")), (F.col("ones") + 0.5) / (F.col("total") + 1)
+    a, b, f = mixed(keep, k, F.col("total") > 0, F.col("a"), F.col("b"), F.col("f"), lambda c, x, y: F.when(c, x).otherwise(y))
+    return joined.select(*[c for c in nodes.columns if c not in ("total", "ones", "own", "weighted")], a.alias("a"), b.alias("b"), f.alias("f"))
+
+
+def predict(codes: np.ndarray, n: np.ndarray, keys: np.ndarray, a: np.ndarray, b: np.ndarray, f: np.ndarray) -> np.ndarray:
+    """log10 P(byte | context) of sorted codes with training counts, given the level above's ``keys`` and their a, b, f.
 
     A context never seen in training leaves the estimate to its parent.
     """
-    levels = levels_up(codes, n, order, 2)
-    near = (codes >> np.uint64(8 * order)).astype(int)
+    order = np.argsort(keys)
+    keys, a, b, f = keys[order], a[order], b[order], f[order]
     out = np.zeros(len(codes))
-    for j in range(8):
-        p, seen = np.full(len(codes), 0.5), np.zeros(len(codes), dtype=bool)
-        part = (codes & np.uint64(255)) >> np.uint64(8 - j)
-        for d in range(order, 1, -1):
-            prefix, total, ones, own, weighted = levels[d].nodes[j]
-            i = np.searchsorted(prefix, ((codes >> np.uint64(8 * (order - d + 1))) << np.uint64(j)) | part)
-            k = (ones[i] + 0.5) / (total[i] + 1)
-            keep = np.exp(own[i] - LOG2 - weighted[i])
-            p = np.where(seen, keep * k + (1 - keep) * p, k)
-            seen = total[i] > 0
-        z = (1 << j) | part.astype(int)
-        one = np.where(seen, top[0, near, z] + top[1, near, z] * p, top[2, near, z])
+    for j, first, node, total, ones in leaves(codes, n):
+        i = np.searchsorted(keys, parent_keys(codes[first], j).astype(np.int64))
+        one = np.where(total > 0, a[i] + b[i] * (ones + 0.5) / (total + 1), f[i])[node]
         bit = (codes >> np.uint64(7 - j)) & np.uint64(1)
         out += np.log10(np.where(bit == 1, one, 1 - one))
     return out
 
 
-def _predict(order: int, top: np.ndarray):
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        table = table.sort_by("code")
-        codes = table["code"].to_numpy()
-        return pa.table({"code": pa.array(codes), "logp": predict(codes.astype(np.uint64), table["n"].to_numpy(), order, top)})
+MODEL = pa.schema([("shard", pa.int64()), ("size", pa.int64()), ("codes", pa.binary()), ("logp", pa.binary())])
+
+
+def _predict(key: tuple, merged: pa.Table, above: pa.Table) -> pa.Table:
+    """One shard: the log probabilities of its codes."""
+    if not merged.num_rows:
+        return MODEL.empty_table()
+    (size,), (codes,), (n,) = (merged[c].to_pylist() for c in ("size", "codes", "counts"))
+    counts = np.frombuffer(pa.decompress(n, 8 * size, codec="zstd", asbytes=True), dtype=np.int64)
+    logp = predict(unpack(codes, size).astype(np.uint64), counts, *(above[c].to_numpy() for c in ("key", "a", "b", "f")))
+    return pa.table([merged["shard"], merged["size"], merged["codes"], pa.array([logp.tobytes()])], schema=MODEL)
 
-    return run
+
+def _look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each block's part of a shard with its log probabilities; a shard's model (null block) comes before the parts."""
+    codes = logp = None
+    for batch in batches:
+        rows = []
+        for block, size, packed, values in zip(*(batch.column(c).to_pylist() for c in ("block", "size", "codes", "logp")), strict=True):
+            own = unpack(packed, size)
+            if block is None:
+                codes, logp = own, np.frombuffer(values, dtype=np.float64)
+            else:
+                rows.append((block, size, packed, logp[np.searchsorted(codes, own)].tobytes()))
+        if rows:
+            columns = zip(*rows, strict=True)
+            types = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["block", "size", "codes", "logp"])
 
 
 class Lookup:
@@ -280,31 +343,16 @@ class Lookup:
         return self.values[at]
 
 
-_LOOKUPS: dict[str, Lookup] = {}
-
-
-def shared_lookup(shared) -> Lookup:
-    """The worker's table of a broadcast model, built once."""
-    key, codes, values = shared.value
-    if key not in _LOOKUPS:
-        _LOOKUPS.clear()
-        _LOOKUPS[key] = Lookup(np.frombuffer(codes, dtype=np.int64), np.frombuffer(values, dtype=np.float64))
-    return _LOOKUPS[key]
-
-
-def _score(order: int, train_tokens: int, train_types: int, shared=None):
-    """One block: its texts and what came back about its words and, unless the model is broadcast, its codes; a row per text."""
+def _score(order: int, train_tokens: int, train_types: int, ends: int):
+    """One block: its texts and what came back about its words and codes; a row per text."""
 
     def run(key: tuple, texts: pa.Table, facts: pa.Table) -> pa.Table:
-        is_word = facts["word"].is_valid()
-        words = facts.filter(is_word)
+        words = facts.filter(facts["word"].is_valid())
         count = dict(zip(words["word"].to_pylist(), words["c"].to_pylist(), strict=True))
-        ends = count.pop(EDGE, 0)
-        if shared is not None:
-            logp = shared_lookup(shared)
-        else:
-            codes = facts.filter(facts["code"].is_valid())
-            logp = Lookup(codes["code"].to_numpy(), codes["logp"].to_numpy())
+        parts = facts.filter(facts["codes"].is_valid())
+        codes = [unpack(c, n) for c, n in zip(parts["codes"].to_pylist(), parts["size"].to_pylist(), strict=True)]
+        logp = Lookup(np.concatenate(codes), np.frombuffer(b"".join(parts["logp"].to_pylist()), dtype=np.float64))
+        del codes
         raw = lowered(texts["text"])
         n_tokens, n_known, base = [], [], []
         each = math.log10(train_tokens + train_types + 1)
@@ -321,61 +369,68 @@ def _score(order: int, train_tokens: int, train_types: int, shared=None):
             {
                 "id": texts["id"], "held_out": texts["held_out"], "n_bytes": pa.array([len(t) for t in raw], pa.int64()), "n_tokens": pa.array(n_tokens, pa.int64()),
                 "n_known": pa.array(n_known, pa.int64()), "train_tokens": pa.array([train_tokens] * len(raw), pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(score, pa.float64()),
+                "bits_per_byte": pa.array([-s / math.log10(2.0) / (len(t) + 1) for s, t in zip(score.tolist(), raw, strict=True)], pa.float64()),
             }
         )
 
     return run
 
 
-def score(docs: DataFrame, held_out: Column, order: int = 5, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 1 << 24, small: int = SMALL) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, order: int = 5, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 1 << 24) -> DataFrame:
     """Score every text, learning from those for which ``held_out`` is false.
 
     Null texts count as empty; an empty text is just its end.  Repeated rows are scored, and learned from,
-    like others.  Without training texts every bit has probability 1/2.  An empty table gives no rows.
+    like others.  A very long text is a block of its own, coded a megabyte at a time.  Without training texts every
+    bit has probability 1/2.  An empty table gives no rows.  Only the id, the text and what ``held_out`` names are
+    read, so extra columns don't matter, whatever their names.
 
     :param order: bytes of context, 2 to 7
-    :param small: models of at most so many byte strings are broadcast, larger ones joined to the blocks
-    :return: id, held_out, n_bytes, n_tokens, n_known, train_tokens, base_score (add-one unigram), score; scores are log10
-        probabilities of the text, and ``-score / log10(2) / (n_bytes + 1)`` its code length in bits per byte
+    :param block_bytes: text that is scored at once; memory of a task is some ten times that
+    :return: id, held_out, n_bytes, n_tokens, n_known, train_tokens, base_score (add-one unigram), score, bits_per_byte;
+        scores are log10 probabilities of the text, ``bits_per_byte`` the code length over the bytes and the end
     """
     if not 2 <= order <= 7:
         raise ValueError("order must be 2 to 7")
+    spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    n = buckets_for(size, block_bytes)
-    blocks = docs.withColumn("block", F.pmod(F.xxhash64("id", F.octet_length("text")), F.lit(n)))
-    parts = materialize(blocks.groupBy("block").applyInArrow(_gather(order), "block long, code long, word binary, n long"), "ctw-blocks")
+    ident = docs.schema["id"].dataType.simpleString()
+    sized = docs.withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1)
+    texts = materialize(sized.mapInArrow(_hold(block_bytes), f"block long, id {ident}, text string, held_out boolean"), "ctw-texts")
+    blocks, n_train = texts.agg(F.count_distinct("block"), F.count_if(~F.col("held_out"))).first()
+    shards = min(MOST_SHARDS, max(FEWEST_SHARDS, SHARDS * blocks))
+    parts = materialize(texts.mapInArrow(_gather(order, shards), "block long, shard long, size long, codes binary, counts binary, word binary, n long"), "ctw-parts")
 
     words = parts.where("word is not null").select("block", "word", "n")
-    same = W.partitionBy("word")
-    words = words.withColumn("c", F.sum("n").over(same)).withColumn("first", F.row_number().over(same.orderBy("block")) == 1)
-    words = materialize(words, "ctw-words")
-    n_words, n_types = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.expr("first and c > 0"))).first()
-    n_train = docs.where(~F.col("held_out")).count()
-
-    counts = materialize(parts.where("code is not null").groupBy("code").agg(F.sum("n").alias("n")), "ctw-codes")
-    counts = counts.withColumn("ctx", F.shiftright("code", 8 * (order - 1)))
-    kind = "ctx long, counts binary, weighted binary"
-    two = counts.groupBy("ctx").applyInArrow(_top(order), kind)
-    one = two.groupBy(F.shiftright("ctx", 8).alias("byte")).applyInArrow(_join_two, kind)
-    top = mix_top([(r["ctx"], bytes(r["counts"]), bytes(r["weighted"])) for r in one.collect()])
-    model = materialize(counts.groupBy("ctx").applyInArrow(_predict(order, top), "code long, logp double"), "ctw-model")
-
-    edge = docs.sparkSession.range(n).select(F.col("id").alias("block"), F.lit(EDGE).alias("word"), F.lit(n_train).cast("long").alias("c"))
-    facts, shared = words.select("block", "word", "c").unionByName(edge), None
-    if model.count() <= small:
-        rows = model.toArrow()
-        shared = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, rows["code"].to_numpy().tobytes(), rows["logp"].to_numpy().tobytes()))
+    totals = materialize(words.groupBy("word").agg(F.sum("n").alias("c")), "ctw-words")
+    n_words, n_types = totals.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
+
+    packed = parts.where("word is null").select("block", "shard", "size", "codes", "counts")
+    by_shard = packed.drop("block").repartition("shard").sortWithinPartitions("shard")
+    merged = materialize(by_shard.mapInArrow(_merge, "shard long, size long, codes binary, counts binary"), "ctw-codes")
+    levels = [materialize(merged.mapInArrow(_above_leaves, "shard long, " + NODE), "ctw-nodes")]
+    for _ in range(order - 2):
+        levels.append(materialize(level_up(levels[-1]), "ctw-nodes"))
+    top = top_levels([tuple(r) for r in levels[-1].select("key", "total", "ones", "weighted").collect()])  # 65,280 nodes at most
+    above = spark.createDataFrame(top, "key long, a double, b double, f double")
+    if order == 2:
+        above = levels[0].select("shard", "key").join(F.broadcast(above), "key")
     else:
-        found = parts.where("code is not null").select("block", "code").join(model, "code")
-        facts = facts.unionByName(found, allowMissingColumns=True)
-    out = "id " + docs.schema["id"].dataType.simpleString() + ", held_out boolean, n_bytes long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    run = _score(order, n_words + n_train, n_types + (n_train > 0), shared)
-    return blocks.groupBy("block").cogroup(facts.groupBy("block")).applyInArrow(run, out).withColumnRenamed("id", id_col)
+        above = level_down(levels[-2], F.broadcast(above))
+        for nodes in levels[-3::-1]:
+            above = level_down(nodes, above.hint("merge"))
+    model = materialize(merged.groupBy("shard").cogroup(above.groupBy("shard")).applyInArrow(_predict, "shard long, size long, codes binary, logp binary"), "ctw-model")
+
+    wanted = packed.drop("counts").unionByName(model.withColumn("block", F.lit(None).cast("long")), allowMissingColumns=True)
+    wanted = wanted.repartition("shard").sortWithinPartitions("shard", F.col("block").asc_nulls_first())
+    facts = wanted.mapInArrow(_look_up, "block long, size long, codes binary, logp binary")
+    facts = facts.unionByName(words.select("block", "word").hint("merge").join(totals, "word"), allowMissingColumns=True)
+    out = f"id {ident}, held_out boolean, n_bytes long, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
+    run = _score(order, n_words + n_train, n_types + (n_train > 0), n_train)
+    return texts.groupBy("block").cogroup(facts.groupBy("block")).applyInArrow(run, out).withColumnRenamed("id", id_col)
 
 
 def op4_lm_scoring(spark, sf_dir: str) -> DataFrame:
     """All of ``documents``, learning from those whose crc32 of the id is not 2 modulo 7."""
     docs = read_table(spark, sf_dir, "documents")
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 2
-    return score(docs, held_out).drop("n_bytes")
+    return score(docs, held_out)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import materialize, read_table
+from .common import materialize, read_table, runs
 from .components import components
 
 TREES, DEPTHS = 24, (3, 4, 5)
@@ -84,26 +84,6 @@ def _sign(words: int):
     return run
 
 
-def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """Runs of rows with equal keys, from batches sorted by it; a run may go over several batches."""
-    rest: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        k = batch.column(key).to_numpy(zero_copy_only=False)
-        cuts = np.flatnonzero(k[1:] != k[:-1]) + 1
-        if rest and rest[-1].column(key)[0].as_py() != k[0]:
-            yield pa.Table.from_batches(rest)
-            rest = []
-        at = 0
-        for cut in cuts:
-            yield pa.Table.from_batches([*rest, batch.slice(at, cut - at)])
-            rest, at = [], cut
-        rest.append(batch.slice(at))
-    if rest:
-        yield pa.Table.from_batches(rest)
-
-
 def spanning(n: int, linked: Callable[[int, np.ndarray], np.ndarray]) -> Iterator[tuple[int, int]]:
     """Links that connect what the relation connects; ``linked(i, others)`` says which of the others i is linked with."""
     left = np.arange(n)

@@ -183,9 +183,9 @@ def test_ctw(spark, messy, empty):
     docs = spark.createDataFrame(rows, SCHEMA)
     held = F.col("doc_id").isin(7, 9)
     out = ctw.score(docs, held, order=3).collect()
-    joined = ctw.score(docs, held, order=3, small=0).collect()
-    key = lambda r: (str(r["doc_id"]), r["score"])
-    assert sorted(map(key, joined)) == sorted(map(key, out))
+    cut = ctw.score(docs, held, order=3, block_bytes=20).collect()
+    key = lambda r: (str(r["doc_id"]), round(r["score"], 6))
+    assert sorted(map(key, cut)) == sorted(map(key, out))
     train = [text_of(m[1]).lower() for m in rows if m[0] not in (7, 9)]
     counts = Counter(w for t in train for w in t.split())
     counts["\0"] = len(train)
@@ -196,7 +196,13 @@ def test_ctw(spark, messy, empty):
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(c), sum(x > 0 for x in c), n)
         assert r["base_score"] == pytest.approx(sum(math.log10((x + 1) / (n + v + 1)) for x in c), abs=1e-9)
         assert r["score"] == pytest.approx(brute_ctw(train, t, 3), abs=1e-6)
+        assert r["bits_per_byte"] == pytest.approx(-r["score"] / math.log10(2) / (len(t) + 1))
     assert ctw.score(messy, held).count() == len(MESSY) and ctw.score(empty, held).count() == 0
+    for order in (2, 5):
+        for r in ctw.score(docs.where("doc_id in (3, 5, 7, 9)"), held, order=order).collect():
+            train = [text_of(m[1]).lower() for m in rows if m[0] in (3, 5)]
+            t = text_of(next(m[1] for m in rows if m[0] == r["doc_id"])).lower()
+            assert r["score"] == pytest.approx(brute_ctw(train, t, order), abs=1e-6)
     untrained = ctw.score(docs, F.lit(True), order=2).first()
     assert untrained["score"] == pytest.approx((untrained["n_bytes"] + 1) * 8 * math.log10(0.5))
 

@@ -15,11 +15,13 @@ from __future__ import annotations
 
 import math
 import random
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +34,7 @@ CHUNK = 1 << 20
 #: Shards of byte strings: so many for each block, within bounds that keep packed rows long and shards small.
 SHARDS, FEWEST_SHARDS, MOST_SHARDS = 4, 64, 1 << 14
 LOG2 = math.log(2.0)
+ZSTD = zstandard.ZstdCompressor(level=1)
 
 
 def lgamma(x: np.ndarray) -> np.ndarray:
@@ -92,13 +95,31 @@ def lowered(texts: pa.ChunkedArray) -> list[bytes]:
     return [(t or b"").lower() for t in texts.cast(pa.binary()).to_pylist()]
 
 
+def squeeze(values: np.ndarray) -> bytes:
+    """Eight-byte values compressed, their first bytes first, then their second bytes, and so on."""
+    return pa.compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def expand(data: bytes, size: int, kind: type = np.int64) -> np.ndarray:
+    raw = np.frombuffer(pa.decompress(data, 8 * size, codec="zstd", asbytes=True), dtype=np.uint8)
+    return np.ascontiguousarray(raw.reshape(8, -1).T).view(kind).ravel()
+
+
 def pack(values: np.ndarray) -> bytes:
     """Sorted integers as compressed differences."""
-    return pa.compress(np.diff(values.astype(np.int64), prepend=0).tobytes(), codec="zstd", asbytes=True)
+    return squeeze(np.diff(values.astype(np.int64), prepend=0))
 
 
 def unpack(data: bytes, size: int) -> np.ndarray:
-    return np.cumsum(np.frombuffer(pa.decompress(data, 8 * size, codec="zstd", asbytes=True), dtype=np.int64))
+    return np.cumsum(expand(data, size))
+
+
+def pack_words(words: list[bytes]) -> bytes:
+    return ZSTD.compress(b" ".join(words))
+
+
+def unpack_words(data: bytes) -> list[bytes]:
+    return zstandard.decompress(data).split(b" ")
 
 
 def shard_of(codes: np.ndarray, shards: int) -> np.ndarray:
@@ -125,11 +146,12 @@ def _hold(block_bytes: int):
     return run
 
 
-PART = pa.schema([("block", pa.int64()), ("shard", pa.int64()), ("size", pa.int64()), ("codes", pa.binary()), ("counts", pa.binary()), ("word", pa.binary()), ("n", pa.int64())])
+PART = pa.schema([("words", pa.bool_()), ("block", pa.int64()), ("shard", pa.int64()), ("size", pa.int64()), ("codes", pa.binary()), ("counts", pa.binary())])
+PARTS = "words boolean, block long, shard long, size long, codes binary, counts binary"
 
 
 def _gather(order: int, shards: int):
-    """Each block's distinct codes, packed by shard, and words, with their counts in training texts (0 for those only held out)."""
+    """Each block's distinct codes and words, packed by shard, with their counts in training texts (0 for those only held out)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, "block"):
@@ -156,12 +178,13 @@ def _gather(order: int, shards: int):
             cuts = np.flatnonzero(np.diff(where[by], prepend=-1))
             rows = []
             for at in np.split(by, cuts[1:]) if len(by) else []:
-                rows.append((block, int(where[at[0]]), len(at), pack(code[at]), pa.compress(n[at].tobytes(), codec="zstd", asbytes=True)))
-            if rows:
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), PART, strict=False)), pa.nulls(len(rows), pa.binary()), pa.nulls(len(rows), pa.int64())], schema=PART)
-            m = len(words) + len(others)
-            columns = [pa.array([block] * m, pa.int64()), *(pa.nulls(m, t.type) for t in list(PART)[1:5]), pa.array([*words, *others], pa.binary()), pa.array([*words.values(), *([0] * len(others))], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, schema=PART)
+                rows.append((False, block, int(where[at[0]]), len(at), pack(code[at]), squeeze(n[at])))
+            dealt: dict[int, list[bytes]] = {}
+            for w in (*words, *others):
+                dealt.setdefault(zlib.crc32(w) % shards, []).append(w)
+            for k, some in dealt.items():
+                rows.append((True, block, k, len(some), pack_words(some), squeeze(np.array([words[w] for w in some], dtype=np.int64))))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), PART, strict=True)], schema=PART)
 
     return run
 
@@ -172,7 +195,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def out():
         code, n = merge_counts(keys, counts)
-        return pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([len(code)]), pa.array([pack(code)]), pa.array([pa.compress(n.tobytes(), codec="zstd", asbytes=True)])], names=["shard", "size", "codes", "counts"])
+        return pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([len(code)]), pa.array([pack(code)]), pa.array([squeeze(n)])], names=["shard", "size", "codes", "counts"])
 
     for batch in batches:
         for at, size, codes, n in zip(*(batch.column(c).to_pylist() for c in ("shard", "size", "codes", "counts")), strict=True):
@@ -181,7 +204,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield out()
                 shard, keys, counts, held = at, [], [], 0
             keys.append(unpack(codes, size).astype(np.uint64))
-            counts.append(np.frombuffer(pa.decompress(n, 8 * size, codec="zstd", asbytes=True), dtype=np.int64))
+            counts.append(expand(n, size))
             held += size
             if held > 2 * len(keys[0]) + CHUNK:
                 k, n = merge_counts(keys, counts)
@@ -190,6 +213,46 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
+def _merge_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each shard's words with their counts over all blocks, and those counts' sum and how many aren't 0."""
+    shard, total = None, {}
+
+    def out():
+        n = np.array(list(total.values()), dtype=np.int64)
+        columns = [pa.array([x], t) for x, t in ((shard, pa.int64()), (len(n), pa.int64()), (pack_words(list(total)), pa.binary()), (squeeze(n), pa.binary()), (int(n.sum()), pa.int64()), (int((n > 0).sum()), pa.int64()))]
+        return pa.RecordBatch.from_arrays(columns, names=["shard", "size", "codes", "counts", "sum", "types"])
+
+    for batch in batches:
+        for at, size, words, n in zip(*(batch.column(c).to_pylist() for c in ("shard", "size", "codes", "counts")), strict=True):
+            if at != shard:
+                if total:
+                    yield out()
+                shard, total = at, {}
+            for w, c in zip(unpack_words(words), expand(n, size).tolist(), strict=True):
+                total[w] = total.get(w, 0) + c
+    if total:
+        yield out()
+
+
+def _look_up_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each block's words of a shard with their counts over all blocks; a shard's totals (null block) come before the parts."""
+    total: dict[bytes, int] = {}
+    for batch in batches:
+        rows = []
+        for block, size, packed, n in zip(*(batch.column(c).to_pylist() for c in ("block", "size", "codes", "counts")), strict=True):
+            words = unpack_words(packed)
+            if block is None:
+                total = dict(zip(words, expand(n, size).tolist(), strict=True))
+            else:
+                rows.append((True, block, size, packed, squeeze(np.fromiter(map(total.__getitem__, words), dtype=np.int64, count=size))))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), FACT_TYPES, strict=True)], names=FACT_NAMES)
+
+
+FACTS = "words boolean, block long, size long, codes binary, facts binary"
+FACT_NAMES, FACT_TYPES = ["words", "block", "size", "codes", "facts"], (pa.bool_(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+
+
 def leaves(codes: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For each bit of the byte, the deepest contexts' nodes: where each begins among the sorted codes, each code's node, totals and ones."""
     for j in range(8):
@@ -227,7 +290,7 @@ def above_leaves(codes: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
 def _above_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for shard, size, codes, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            nodes = above_leaves(unpack(codes, size).astype(np.uint64), np.frombuffer(pa.decompress(n, 8 * size, codec="zstd", asbytes=True), dtype=np.int64))
+            nodes = above_leaves(unpack(codes, size).astype(np.uint64), expand(n, size))
             yield pa.RecordBatch.from_arrays([pa.array([shard] * len(nodes[0]), pa.int64()), *map(pa.array, nodes)], names=["shard", "key", "total", "ones", "own", "weighted"])
 
 
@@ -299,9 +362,9 @@ def _predict(key: tuple, merged: pa.Table, above: pa.Table) -> pa.Table:
     if not merged.num_rows:
         return MODEL.empty_table()
     (size,), (codes,), (n,) = (merged[c].to_pylist() for c in ("size", "codes", "counts"))
-    counts = np.frombuffer(pa.decompress(n, 8 * size, codec="zstd", asbytes=True), dtype=np.int64)
+    counts = expand(n, size)
     logp = predict(unpack(codes, size).astype(np.uint64), counts, *(above[c].to_numpy() for c in ("key", "a", "b", "f")))
-    return pa.table([merged["shard"], merged["size"], merged["codes"], pa.array([logp.tobytes()])], schema=MODEL)
+    return pa.table([merged["shard"], merged["size"], merged["codes"], pa.array([squeeze(logp)])], schema=MODEL)
 
 
 def _look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,13 +375,11 @@ def _look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, size, packed, values in zip(*(batch.column(c).to_pylist() for c in ("block", "size", "codes", "logp")), strict=True):
             own = unpack(packed, size)
             if block is None:
-                codes, logp = own, np.frombuffer(values, dtype=np.float64)
+                codes, logp = own, expand(values, size, np.float64)
             else:
-                rows.append((block, size, packed, logp[np.searchsorted(codes, own)].tobytes()))
+                rows.append((False, block, size, packed, squeeze(logp[np.searchsorted(codes, own)])))
         if rows:
-            columns = zip(*rows, strict=True)
-            types = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["block", "size", "codes", "logp"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), FACT_TYPES, strict=True)], names=FACT_NAMES)
 
 
 class Lookup:
@@ -347,12 +408,15 @@ def _score(order: int, train_tokens: int, train_types: int, ends: int):
     """One block: its texts and what came back about its words and codes; a row per text."""
 
     def run(key: tuple, texts: pa.Table, facts: pa.Table) -> pa.Table:
-        words = facts.filter(facts["word"].is_valid())
-        count = dict(zip(words["word"].to_pylist(), words["c"].to_pylist(), strict=True))
-        parts = facts.filter(facts["codes"].is_valid())
-        codes = [unpack(c, n) for c, n in zip(parts["codes"].to_pylist(), parts["size"].to_pylist(), strict=True)]
-        logp = Lookup(np.concatenate(codes), np.frombuffer(b"".join(parts["logp"].to_pylist()), dtype=np.float64))
-        del codes
+        count, codes, logps = {}, [], []
+        for words, size, packed, values in zip(*(facts[c].to_pylist() for c in ("words", "size", "codes", "facts")), strict=True):
+            if words:
+                count.update(zip(unpack_words(packed), expand(values, size).tolist(), strict=True))
+            else:
+                codes.append(unpack(packed, size))
+                logps.append(expand(values, size, np.float64))
+        logp = Lookup(np.concatenate(codes), np.concatenate(logps))
+        del codes, logps
         raw = lowered(texts["text"])
         n_tokens, n_known, base = [], [], []
         each = math.log10(train_tokens + train_types + 1)
@@ -398,13 +462,17 @@ def score(docs: DataFrame, held_out: Column, order: int = 5, id_col: str = "doc_
     texts = materialize(sized.mapInArrow(_hold(block_bytes), f"block long, id {ident}, text string, held_out boolean"), "ctw-texts")
     blocks, n_train = texts.agg(F.count_distinct("block"), F.count_if(~F.col("held_out"))).first()
     shards = min(MOST_SHARDS, max(FEWEST_SHARDS, SHARDS * blocks))
-    parts = materialize(texts.mapInArrow(_gather(order, shards), "block long, shard long, size long, codes binary, counts binary, word binary, n long"), "ctw-parts")
+    parts = materialize(texts.mapInArrow(_gather(order, shards), PARTS), "ctw-parts")
 
-    words = parts.where("word is not null").select("block", "word", "n")
-    totals = materialize(words.groupBy("word").agg(F.sum("n").alias("c")), "ctw-words")
-    n_words, n_types = totals.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
+    first = F.col("block").asc_nulls_first()
+    words = parts.where("words").drop("words")
+    totals = words.drop("block").repartition("shard").sortWithinPartitions("shard").mapInArrow(_merge_words, "shard long, size long, codes binary, counts binary, sum long, types long")
+    totals = materialize(totals, "ctw-words")
+    n_words, n_types = totals.agg(F.coalesce(F.sum("sum"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
+    asked = words.select("block", "shard", "size", "codes").unionByName(totals.select("shard", "size", "codes", "counts").withColumn("block", F.lit(None).cast("long")), allowMissingColumns=True)
+    known = asked.repartition("shard").sortWithinPartitions("shard", first).mapInArrow(_look_up_words, FACTS)
 
-    packed = parts.where("word is null").select("block", "shard", "size", "codes", "counts")
+    packed = parts.where("not words").drop("words")
     by_shard = packed.drop("block").repartition("shard").sortWithinPartitions("shard")
     merged = materialize(by_shard.mapInArrow(_merge, "shard long, size long, codes binary, counts binary"), "ctw-codes")
     levels = [materialize(merged.mapInArrow(_above_leaves, "shard long, " + NODE), "ctw-nodes")]
@@ -421,9 +489,7 @@ def score(docs: DataFrame, held_out: Column, order: int = 5, id_col: str = "doc_
     model = materialize(merged.groupBy("shard").cogroup(above.groupBy("shard")).applyInArrow(_predict, "shard long, size long, codes binary, logp binary"), "ctw-model")
 
     wanted = packed.drop("counts").unionByName(model.withColumn("block", F.lit(None).cast("long")), allowMissingColumns=True)
-    wanted = wanted.repartition("shard").sortWithinPartitions("shard", F.col("block").asc_nulls_first())
-    facts = wanted.mapInArrow(_look_up, "block long, size long, codes binary, logp binary")
-    facts = facts.unionByName(words.select("block", "word").hint("merge").join(totals, "word"), allowMissingColumns=True)
+    facts = wanted.repartition("shard").sortWithinPartitions("shard", first).mapInArrow(_look_up, FACTS).unionByName(known)
     out = f"id {ident}, held_out boolean, n_bytes long, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
     run = _score(order, n_words + n_train, n_types + (n_train > 0), n_train)
     return texts.groupBy("block").cogroup(facts.groupBy("block")).applyInArrow(run, out).withColumnRenamed("id", id_col)

@@ -1,17 +1,24 @@
 """SentencePiece encoding and decoding as shortest paths through weighted transducers.
 
-The pieces are compiled into one matcher; composed with a unit of input it gives a lattice of arcs (start,
-end, piece).  The normaliser maps spaces and puts the dummy prefix before the text; byte fallback adds arcs for
-characters without a piece.
-
-A unigram model weighs an arc with its piece's negated score, and the tropical shortest path is the encoding.
-A merge (BPE) model's encoding is the one path all of whose neighbouring pieces are stable, that is, merging
-the two pieces' text from its characters gives just those two; so the second transducer, whose states are
-pieces, weighs stable pairs 0 and all others infinity, and the only path of finite weight is the encoding.
+Three transducers are compiled from a model.
+
+* ``Normaliser`` rewrites characters: the model's character map and user-defined symbols as a trie that takes the longest
+  match, then a machine over spaces (dummy prefix, squeezing, the space mark).  It is sequential, so composing it with a
+  text gives one path, its normal form.
+* ``Pieces`` maps characters to pieces: a trie whose ends lead back to its root, with arcs for characters that no piece
+  covers (byte fallback or unknown).  An arc weighs its piece's negated score; user-defined symbols weigh less than all else.
+* ``Merges`` stands behind ``Pieces`` for a merge (BPE) model.  Its states are pieces; it weighs a pair of neighbours 0 if
+  merging the two pieces' text from its characters gives just those two, and infinity otherwise.  The encoding is the
+  only path of finite weight.
+
+A normal form, cut where no piece can reach over, is composed with the pieces and, for a merge model, the merges.  States
+of the composition are made as they are reached, in the order of their position, which is a topological order, so one
+pass relaxes all arcs: the tropical shortest path.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,19 +27,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import read_table
-from .lattice import REMEMBERED, Matcher
-from .spm import BPE, NORMAL, SPACE, UNIGRAM, USER_DEFINED, load, normalise
+from .lattice import REMEMBERED
+from .normaliser import Normaliser, Trie
+from .spm import BPE, BYTE, CHAR, NORMAL, SPACE, UNIGRAM, UNUSED, USER_DEFINED, WORD, Model, load
 from .tokencount import UNKNOWN_PENALTY, VOCABULARY
 
 NEVER = float("inf")
 
 
 class Merges:
-    """Which neighbouring pieces are stable under the model's merges."""
+    """The transducer behind a merge model's pieces: which neighbours are stable under the model's merges."""
 
-    def __init__(self, model, vocabulary: dict[str, int]):
+    def __init__(self, model: Model, vocabulary: dict[str, int]):
         self.model, self.vocabulary = model, vocabulary
-        self.trees: dict[int, tuple[int, int] | None | bool] = {}
+        self.trees: dict[int, tuple[str, str] | None | bool] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
         self.spines: dict[tuple[int, bool], list[tuple[str, float]] | None] = {}
 
@@ -84,6 +92,9 @@ class Merges:
                     out = None
                     break
                 piece = tree[1] if right else tree[0]
+                if piece not in self.vocabulary:  # a character without a piece of its own
+                    out.append((piece, NEVER))
+                    break
             self.spines[key] = out[::-1] if out else None
         return self.spines[key]
 
@@ -123,32 +134,56 @@ class Merges:
             else:
                 j += 1
 
+    def loose(self, char: str, right: int) -> bool:
+        """Whether a character without a piece stays apart from the piece behind it."""
+        return self.merge(char + self.model.pieces[right])[0] == [char, self.model.pieces[right]]
+
 
 class Codec:
-    """Encoder and decoder of one model."""
+    """Encoder and decoder of one model: its compiled transducers, and their composition with a text."""
 
     def __init__(self, data: bytes):
-        self.model = load(data)
-        if self.model.model_type not in (UNIGRAM, BPE):
-            raise NotImplementedError("only unigram and BPE models are supported")
-        self.match = Matcher(self.model)
-        self.merges = Merges(self.model, self.match.vocabulary) if self.model.model_type == BPE else None
-        self.byte_ids = self.model.byte_ids()
-        self.least = min(s for s, k in zip(self.model.scores, self.model.kinds, strict=True) if k == NORMAL) - UNKNOWN_PENALTY
-        self.surface = [p.replace(SPACE, " ").encode() if k in (NORMAL, USER_DEFINED) else b"" for p, k in zip(self.model.pieces, self.model.kinds, strict=True)]
+        self.model = model = load(data)
+        if model.model_type not in (UNIGRAM, BPE, WORD, CHAR):
+            raise ValueError(f"unknown model type {model.model_type}")
+        self.normalise = Normaliser(model)
+        merging = model.model_type == BPE
+        vocabulary = model.of_kind(NORMAL, USER_DEFINED, UNUSED) if merging else model.normal()
+        if model.model_type == CHAR:
+            vocabulary = {p: i for p, i in vocabulary.items() if len(p) == 1 or model.kinds[i] == USER_DEFINED}
+        self.vocabulary = vocabulary
+        self.trie = Trie(vocabulary)
+        self.merges = Merges(model, vocabulary) if merging else None
+        self.byte_ids = model.byte_ids()
+        scores = [s for s, k in zip(model.scores, model.kinds, strict=True) if k == NORMAL] or [0.0]
+        self.fall = UNKNOWN_PENALTY - min(scores)
+        best = max(scores)
+        #: Weight of each piece's arc; a user-defined symbol weighs less than any other way through its text.
+        self.weights = [0.1 - best * len(p.encode()) if k == USER_DEFINED else -s for p, s, k in zip(model.pieces, model.scores, model.kinds, strict=True)]
+        self.surface = [p.replace(SPACE, " ").encode() if k in (NORMAL, USER_DEFINED, UNUSED) else b"" for p, k in zip(model.pieces, model.kinds, strict=True)]
         for b, i in self.byte_ids.items():
             self.surface[i] = bytes([b])
-        self.surface[self.model.unknown] = " ⁇ ".encode()
+        self.surface[model.unknown] = model.unknown_surface.encode()
         self.known: dict[str, bytes] = {}
-        vocabulary = self.match.vocabulary
-        #: Characters of each piece; the last one is for a fallback arc.
-        self.sizes = [len(p) for p in self.model.pieces] + [1]
-        #: The next shorter piece with the same start, or -2.
-        self.shorter = [-2] * len(self.model.pieces)
-        self.reach: dict[str, int] = {}
-        for piece, ident in vocabulary.items():
-            self.shorter[ident] = next((vocabulary[piece[:k]] for k in range(len(piece) - 1, 0, -1) if piece[:k] in vocabulary), -2)
-            self.reach[piece[:2]] = max(self.reach.get(piece[:2], 1), len(piece))
+        self.cut = self._cuts()
+
+    def _cuts(self) -> re.Pattern | None:
+        """Runs of a normal form that no piece reaches over: a word with the spaces before it, or alone a character in no longer piece; None if there are none."""
+        mark = self.normalise.mark
+        if self.model.model_type == WORD:
+            return re.compile(f"[^{mark}]*{mark}|[^{mark}]+" if self.model.space_as_suffix else f"{mark}?[^{mark}]+|{mark}")
+        user = sorted((p for p in self.vocabulary if self.model.kinds[self.vocabulary[p]] == USER_DEFINED), key=len, reverse=True)
+        if any(mark in p.lstrip(mark) for p in self.vocabulary):
+            if not user or self.merges is None:
+                return None
+        inside = {c for p in self.vocabulary for c in p}
+        alone = "".join(re.escape(c) for c in "\n\t\r" if c not in inside)
+        if user and self.merges is not None:  # cut out first, longest first; the rest is not cut otherwise
+            whole = "|".join(map(re.escape, user))
+            return re.compile(f"{whole}|(?:(?!{whole}).)+", re.DOTALL)
+        if user:
+            return None
+        return re.compile(f"[{alone}]|{mark}*[^{mark}{alone}]+|{mark}+" if alone else f"{mark}*[^{mark}]+|{mark}+")
 
     def fallback(self, char: str) -> list[int]:
         """Pieces of a character that has none of its own."""
@@ -156,96 +191,111 @@ class Codec:
             return [self.model.unknown]
         return [self.byte_ids[b] for b in char.encode("utf-8", "surrogatepass")]
 
-    def longest(self, unit: str, at: int) -> int:
-        """The longest piece that starts at a position; -1 if none does."""
-        reach, vocabulary = self.reach.get(unit[at : at + 2], 1), self.match.vocabulary
-        for end in range(min(len(unit), at + reach), at, -1):
-            ident = vocabulary.get(unit[at:end])
-            if ident is not None:
-                return ident
-        return -1
+    def shortest_path(self, unit: str) -> list[tuple[int, int]]:
+        """The tropical shortest path through the unit composed with the transducers: (start, piece) of each arc, -1 for fallback.
 
-    def only_path(self, unit: str) -> list[int]:
-        """The one path of finite weight through a merge model's lattice, as pieces, -1 for a fallback arc.
-
-        Depth first, longest arcs first.  Since a position has one stable path from the start, a position
-        without a way on is closed for good.
+        ``back[i]`` is the last arc of the best path to position i, so also its state in ``Merges``; of a merge model's
+        paths to a position only one has a finite weight.  Ties stay with the arc that starts first.
         """
-        n, sizes, shorter, merges = len(unit), self.sizes, self.shorter, self.merges
-        pairs, stable = merges.pairs, merges.stable
-        path: list[int] = []
-        shut = bytearray(n + 1)
-        at, last, ident = 0, -1, self.longest(unit, 0)
-        while True:
-            if ident == -2:  # no arc is left here
-                if not path:
-                    raise AssertionError(f"no path through {unit!r}")
-                shut[at] = 1
-                ident = path.pop()
-                at -= sizes[ident]
-                last = path[-1] if path else -1
-                ident = -2 if ident == -1 else shorter[ident]
-                continue
-            end = at + sizes[ident]
-            if not shut[end]:
-                if last < 0 or ident < 0:
-                    ok = ident < 0 or merges.reachable(ident)
-                else:
-                    ok = pairs.get((last, ident))
-                    if ok is None:
-                        ok = stable(last, ident)
-                if ok:
-                    path.append(ident)
-                    if end == n:
-                        return path
-                    at, last, ident = end, ident, self.longest(unit, end)
+        n, trie, end, weights, merges = len(unit), self.trie.arcs, self.trie.end, self.weights, self.merges
+        back: list = [None] * (n + 1)
+        if merges is not None:
+            pairs, stable, trees, reachable = merges.pairs, merges.stable, merges.trees, merges.reachable
+            for at in range(n):
+                if at and back[at] is None:
                     continue
-            ident = -2 if ident == -1 else shorter[ident]
-
-    def shortest_path(self, unit: str) -> list[int]:
-        """The pieces along the shortest path through the unit's lattice."""
-        if self.merges is not None:
-            path = self.only_path(unit)
-            if -1 not in path:
-                return path
-            out, at = [], 0
-            for ident in path:
-                out += [ident] if ident >= 0 else self.fallback(unit[at])
-                at += self.sizes[ident]
-            return out
-        n, singles, scores = len(unit), self.match.singles, self.model.scores
-        back: list[tuple[int, int]] = [(0, -1)] * (n + 1)  # the last arc into each position: its start and piece
-        weight = [0.0] + [NEVER] * n
-        for end, matches in self.match.ends(unit):
-            for length, ident in matches:
-                w = weight[end - length] - scores[ident]
-                if w < weight[end]:
-                    back[end], weight[end] = (end - length, ident), w
-            if unit[end - 1] not in singles and weight[end - 1] - self.least < weight[end]:
-                back[end], weight[end] = (end - 1, -1), weight[end - 1] - self.least
+                last = back[at][1] if at else -2
+                state, to, single = 0, at, False
+                while to < n:
+                    state = trie[state].get(unit[to])
+                    if state is None:
+                        break
+                    to += 1
+                    ident = end[state]
+                    if ident is None:
+                        continue
+                    single = single or to == at + 1
+                    if back[to] is not None:
+                        continue
+                    if last >= 0:
+                        ok = pairs.get((last, ident))
+                        if ok is None:
+                            ok = stable(last, ident)
+                    else:
+                        ok = last == -2 or merges.loose(unit[at - 1], ident)
+                    if ok and (trees[ident] is not False if ident in trees else reachable(ident)):
+                        back[to] = (at, ident)
+                if not single and back[at + 1] is None and (last < 0 or merges.merge(self.model.pieces[last] + unit[at])[0] == [self.model.pieces[last], unit[at]]):
+                    back[at + 1] = (at, -1)
+        else:
+            weight = [0.0] + [NEVER] * n
+            for at in range(n):
+                here = weight[at]
+                state, to, single = 0, at, False
+                while to < n:
+                    state = trie[state].get(unit[to])
+                    if state is None:
+                        break
+                    to += 1
+                    ident = end[state]
+                    if ident is not None:
+                        single = single or to == at + 1
+                        w = here + weights[ident]
+                        if w < weight[to]:
+                            weight[to], back[to] = w, (at, ident)
+                if not single and here + self.fall < weight[at + 1]:
+                    weight[at + 1], back[at + 1] = here + self.fall, (at, -1)
+        path, at = [], n
+        while at:
+            path.append(back[at])
+            at = back[at][0]
+        return path[::-1]
+
+    def expanded(self, ident: int) -> list[int]:
+        """A merge model's unused piece as the pieces it was merged from; other pieces as they are."""
+        if self.merges is None or self.model.kinds[ident] != UNUSED or not self.merges.reachable(ident) or not self.merges.trees[ident]:
+            return [ident]
+        return [x for p in self.merges.trees[ident] for x in (self.expanded(self.vocabulary[p]) if p in self.vocabulary else self.fallback(p))]
+
+    def pieces_of(self, unit: str) -> list[int]:
+        ident = self.vocabulary.get(unit, -1)
+        if self.model.model_type == WORD:
+            return [ident] if ident >= 0 else ([self.byte_ids[b] for b in unit.encode()] if self.byte_ids else [self.model.unknown])
+        if ident >= 0 and self.model.kinds[ident] == USER_DEFINED and self.merges is not None:
+            return [ident]
         out = []
-        while n:
-            start, ident = back[n]
-            out += [ident] if ident >= 0 else self.fallback(unit[start])[::-1]
-            n = start
-        return out[::-1]
+        for at, ident in self.shortest_path(unit):
+            out += self.expanded(ident) if ident >= 0 else self.fallback(unit[at])
+        return out
 
     def encode(self, text: str | None) -> np.ndarray:
         known, out = self.known, []
-        for unit in self.match.units(normalise(self.model, text or "")):
+        normal = self.normalise(text or "")
+        for unit in self.cut.findall(normal) if self.cut else [normal] if normal else []:
             ids = known.get(unit)
             if ids is None:
                 if len(known) >= REMEMBERED:
                     known.clear()
-                ids = known[unit] = np.array(self.shortest_path(unit), dtype=np.int32).tobytes()
+                ids = np.array(self.pieces_of(unit), dtype=np.int32).tobytes()
+                if len(unit) < 1024:
+                    known[unit] = ids
             out.append(ids)
-        return np.frombuffer(b"".join(out), dtype=np.int32)
+        ids = np.frombuffer(b"".join(out), dtype=np.int32)
+        if not self.byte_ids:  # neighbouring unknown characters are one piece
+            unknown = ids == self.model.unknown
+            ids = ids[~(unknown & np.r_[False, unknown[:-1]])]
+        return ids
 
     def decode(self, ids) -> str:
         """The text of a sequence of ids: the inverse transducer, a map from pieces to bytes."""
         raw = b"".join(map(self.surface.__getitem__, ids))
-        if self.model.dummy_prefix and raw[:1] == b" ":
-            raw = raw[1:]
+        model = self.model
+        if model.space_as_suffix:
+            raw = raw[:-1] if model.dummy_prefix and raw[-1:] == b" " else raw
+        elif model.dummy_prefix or model.squeeze_spaces:
+            first = next((i for i in ids if self.surface[i]), None)
+            if first is not None and model.kinds[first] != BYTE and first != model.unknown and raw[:1] == b" ":
+                raw = raw.lstrip(b" ") if model.squeeze_spaces else raw[1:]
         return raw.decode("utf-8", "replace")
 
 
@@ -264,8 +314,9 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
     """Encode every whole text and decode it again: id, ``ids`` array<int>, ``n_pieces`` int, ``round_trip`` boolean.
 
     Null and empty texts give no pieces.  ``round_trip`` is whether the decoded text equals the text; a text
-    that holds the model's space mark itself comes back with spaces.  Repeated rows and null ids are rows like
-    others; an empty table gives none.  Other columns are not read.  The model (a file's bytes) is broadcast.
+    that holds the model's space mark itself comes back with spaces.  Texts of any length are encoded whole, unit by
+    unit.  Repeated rows and null ids are rows like others; an empty table gives none.  Other columns are not read,
+    whatever their names.  The model (a file's bytes) is broadcast; its size is that of the file.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

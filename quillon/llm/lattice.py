@@ -20,9 +20,8 @@ class Matcher:
         self.vocabulary = model.normal()
         self.automaton = self.compile(lambda piece, ident: (len(piece), ident))
         self.singles = frozenset(p for p in self.vocabulary if len(p) == 1)
-        # a piece may hold spaces only as a leading run; else a text can't be cut before its spaces
-        if any(SPACE in p.lstrip(SPACE) for p in self.vocabulary):
-            raise NotImplementedError("pieces that reach over a space aren't supported")
+        #: Whether a piece holds spaces behind its leading run; a text can't be cut before its spaces then.
+        self.whole = any(SPACE in p.lstrip(SPACE) for p in self.vocabulary)
         inside = {c for p in self.vocabulary for c in p}
         alone = "".join(re.escape(c) for c in "\n\t\r" if c not in inside)
         self._units = re.compile(f"[{alone}]|{SPACE}*[^{SPACE}{alone}]+|{SPACE}+" if alone else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -37,7 +36,7 @@ class Matcher:
 
     def units(self, normal: str) -> list[str]:
         """The runs of a normalised text that segment independently: a word with the spaces before it."""
-        return self._units.findall(normal)
+        return [normal] * bool(normal) if self.whole else self._units.findall(normal)
 
     def ends(self, unit: str) -> Iterator[tuple[int, list[tuple[int, int]]]]:
         """For each end position, the pieces (length, id) that end there, longest first."""

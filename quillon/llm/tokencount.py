@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from .common import read_table
 from .lattice import REMEMBERED, Matcher
-from .spm import NORMAL, load, normalise
+from .normaliser import Normaliser
+from .spm import NORMAL, load
 
 #: Where the query finds its vocabulary; a parameter everywhere else.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -34,7 +35,7 @@ class Counter:
 
     def __init__(self, data: bytes):
         self.model = load(data)
-        self.match = Matcher(self.model)
+        self.match, self.normalise = Matcher(self.model), Normaliser(self.model)
         self.unknown = min(s for s, k in zip(self.model.scores, self.model.kinds, strict=True) if k == NORMAL) - UNKNOWN_PENALTY
         self.bytes = bool(self.model.byte_ids())
         self.known: dict[str, int] = {}
@@ -71,7 +72,7 @@ class Counter:
 
     def __call__(self, text: str | None) -> int:
         total, known = 0, self.known
-        for unit in self.match.units(normalise(self.model, text or "")):
+        for unit in self.match.units(self.normalise(text or "")):
             n = known.get(unit)
             if n is None:
                 if len(known) >= REMEMBERED:
@@ -95,8 +96,8 @@ def counter_of(data: bytes) -> Counter:
 def count_tokens(docs: DataFrame, vocabulary: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Tokens of every whole text: id, ``n_tokens`` long.
 
-    Null and empty texts have none.  Repeated rows and null ids are rows like others; an empty table gives
-    none.  Other columns are not read.  The vocabulary (a model file's bytes) is broadcast; its size is that of the file.
+    Null and empty texts have none; texts of any length are counted whole, unit by unit.  Repeated rows and null ids
+    are rows like others; an empty table gives none.  Other columns are not read, whatever their names.  The vocabulary (a model file's bytes) is broadcast; its size is that of the file.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(vocabulary)

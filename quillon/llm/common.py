@@ -48,6 +48,22 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key is hot if more than one in so many rows has it; so there are fewer hot keys than this.
+HOT = 256
+
+
+def join_split(rows: DataFrame, facts: DataFrame, key: str, weight: str) -> DataFrame:
+    """Inner join of ``rows`` with one row of ``facts`` for each key; rows of hot keys stay where they are.
+
+    :param weight: column of ``facts`` that counts a key's rows; it is dropped
+    """
+    total = facts.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+    hot = F.col(weight) * HOT > total
+    few = F.broadcast(facts.where(hot).drop(weight))
+    spread = rows.join(F.broadcast(few.select(key)), key, "left_anti").join(facts.where(~hot).drop(weight).hint("merge"), key)
+    return rows.join(few, key).unionByName(spread)
+
+
 def word_count(text: str) -> F.Column:
     """Number of words (maximal runs free of WORD_BREAKS) of a text column; null counts as none."""
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD_PATTERN)), F.lit(0)).cast("long")

@@ -1,14 +1,16 @@
 """Near-duplicate documents by an LSH forest of MinHash signatures, confirmed on full shingle sets.
 
-Each tree sorts the signatures by an order of its own; documents that share a long enough prefix there are
-neighbours.  The depth asked for adapts to the region: short prefixes where few documents share them, longer
-ones where many do.  Neighbours whose signatures agree well enough are joined into families; each family's
-full shingle sets meet, and every link between them is found exactly.  A region or family too large for a
-task is dealt out into parts, and each pair of parts is a task, so that nothing is capped.
+Each tree reads the signature's values in an order of its own.  All labels of all trees are range-sorted, so that a
+subtree is a run of neighbours with a long enough common prefix; a run keeps the least depth at which it is thin
+enough, so depth adapts to the region.  Where a run goes over the bounds of sorted partitions, only its counts at
+the bounds are put together.  Neighbours in a region whose signatures agree well enough are joined into families;
+each family's full shingle sets meet, and every link between them is found exactly.  A region or family too large
+for a task is dealt out into parts, and each pair of parts is a task, so that nothing is capped.
 """
 
 from __future__ import annotations
 
+import random
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,17 +18,18 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from .common import materialize, read_table, runs
+from .common import join_split, materialize, read_table, runs
 from .components import components
 
-TREES, DEPTHS = 24, (3, 4, 5)
+#: Depths of the trees: values that a region's documents share at least.  At a similarity of exactly 0.8 all trees
+#: miss a pair with a chance of 1e-10 at the first depth, 5e-8 at the second and 3e-6 at the third.
+TREES, DEPTHS = 32, (3, 4, 5)
 #: Documents that may share a prefix of the first and second depth before the next depth is asked for.
 DENSE = (256, 2048)
 #: Documents, and shingles, that meet in one task at most, about.
 PART, PART_SHINGLES = 2048, 2_000_000
-#: Values of a signature.  24 trees read 5 each; all 128 are compared.
+#: Values of a signature.  Each tree begins with five of its own choice; all are compared.
 VALUES = 128
 #: Part of the signatures' values that agree, below which neighbours aren't candidates.  At a similarity of 0.8
 #: it is 5.7 standard deviations away.
@@ -35,6 +38,8 @@ FORGET = 400_000
 
 _rng = np.random.default_rng(20240229)
 FACTORS = _rng.integers(0, 2**63, size=VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: The order in which each tree reads the values, down to the last depth; trees share values as little as can be.
+ORDERS = np.concatenate([_rng.permutation(VALUES) for _ in range(-(-TREES * DEPTHS[-1] // VALUES))])[: TREES * DEPTHS[-1]].reshape(TREES, -1)
 
 
 class Shingler:
@@ -84,6 +89,92 @@ def _sign(words: int):
     return run
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each document and tree: the tree and its first three values, the next two, the id."""
+    trees = np.arange(TREES, dtype=np.int64)
+    for batch in batches:
+        for start in range(0, batch.num_rows, 2048):
+            part = batch.slice(start, 2048)
+            v = np.frombuffer(b"".join(part.column("signature").to_pylist()), dtype=">u2").reshape(-1, VALUES).astype(np.int64)[:, ORDERS]
+            head = (trees << 48) | (v[:, :, 0] << 32) | (v[:, :, 1] << 16) | v[:, :, 2]
+            rest = (v[:, :, 3] << 16) | v[:, :, 4]
+            yield pa.RecordBatch.from_arrays([pa.array(head.ravel()), pa.array(rest.ravel()), pa.array(np.repeat(part.column("id").to_numpy(), TREES))], names=["head", "rest", "id"])
+
+
+def common_prefixes(head: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """How many of the five values each label but the first shares with the one before (0 if it shares fewer than three)."""
+    same = rest[1:] ^ rest[:-1]
+    return np.where(head[1:] != head[:-1], 0, np.where(same == 0, 5, np.where(same >> 16 == 0, 4, 3)))
+
+
+def subtrees(head: np.ndarray, rest: np.ndarray, opens: bool, closes: bool) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each depth, every label's subtree, its labels here, and whether it may go on outside.
+
+    :param opens: whether the first label may have neighbours before it
+    :param closes: whether the last one may have neighbours after it
+    """
+    lcp, out = common_prefixes(head, rest), []
+    names = (_mixed(head.astype(np.uint64)), _mixed(_mixed(head.astype(np.uint64)) + (rest >> 16).astype(np.uint64) + np.uint64(1)), _mixed(_mixed(head.astype(np.uint64) + np.uint64(1 << 60)) + rest.astype(np.uint64)))
+    for depth, name in zip(DEPTHS, names, strict=True):
+        run = np.r_[0, np.cumsum(lcp < depth)]
+        count = np.bincount(run)
+        outside = np.zeros(len(count), dtype=bool)
+        outside[0] |= opens
+        outside[-1] |= closes
+        out.append((name.view(np.int64), count[run], outside[run]))
+    return out
+
+
+LEAVES = pa.schema([("id", pa.int64()), ("task", pa.int64()), *((f"{c}{d}", t) for d in DEPTHS for c, t in (("key", pa.int64()), ("count", pa.int64()), ("outside", pa.bool_())))])
+
+
+def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One sorted partition, three shared values at a time: the labels that have neighbours, or may have them in the next partition."""
+    task, last, first = random.SystemRandom().getrandbits(62), None, True
+
+    def out(table, opens, closes):
+        head, rest = table["head"].to_numpy(), table["rest"].to_numpy()
+        levels = subtrees(head, rest, opens, closes)
+        some = (levels[0][1] > 1) | levels[0][2]
+        n = int(some.sum())
+        return pa.RecordBatch.from_arrays([pa.array(table["id"].to_numpy()[some]), pa.array([task] * n, pa.int64()), *(pa.array(c[some]) for level in levels for c in level)], schema=LEAVES)
+
+    held, size = [], 0
+    for table in runs(batches, "head"):
+        if last is not None:
+            if first or last.num_rows > 1:
+                held.append(out(last, first, False))
+                size += held[-1].num_rows
+            first = False
+            if size > 10_000:
+                yield from held
+                held, size = [], 0
+        last = table
+    if last is not None:
+        yield from [*held, out(last, first, True)]
+
+
+def forest_regions(classes: DataFrame) -> DataFrame:
+    """``id``, ``key``, ``rows``: the region of each document in each tree, where the region has other documents."""
+    order = ("head", "rest", "id")
+    labels = classes.select("id", "signature").mapInArrow(_labels, "head long, rest long, id long")
+    kind = "id long, task long, " + ", ".join(f"key{d} long, count{d} long, outside{d} boolean" for d in DEPTHS)
+    rows = materialize(labels.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_subtrees, kind), "subtrees")
+    for d in DEPTHS:  # the first and the last subtree of each partition: two rows a partition, so they can be broadcast
+        pieces = rows.where(f"outside{d}").select("task", f"key{d}", f"count{d}").distinct()
+        whole = pieces.groupBy(f"key{d}").agg(F.sum(f"count{d}").alias("whole"))
+        rows = rows.join(F.broadcast(whole), f"key{d}", "left").withColumn(f"count{d}", F.coalesce("whole", f"count{d}")).drop("whole")
+    level = F.when(F.col(f"count{DEPTHS[0]}") <= DENSE[0], 0).when(F.col(f"count{DEPTHS[1]}") <= DENSE[1], 1).otherwise(2)
+    pick = lambda c: F.when(level == 0, F.col(f"{c}{DEPTHS[0]}")).when(level == 1, F.col(f"{c}{DEPTHS[1]}")).otherwise(F.col(f"{c}{DEPTHS[2]}"))
+    return materialize(rows.select("id", pick("key").alias("key"), pick("count").alias("rows")).where("rows > 1"), "regions")
+
+
 def spanning(n: int, linked: Callable[[int, np.ndarray], np.ndarray]) -> Iterator[tuple[int, int]]:
     """Links that connect what the relation connects; ``linked(i, others)`` says which of the others i is linked with."""
     left = np.arange(n)
@@ -178,27 +269,22 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     A text's set are its distinct shingles of ``words`` words, A-Z in lower case; a text with fewer words is one
     shingle; without words, or null, it is empty and linked with nothing.  Two documents are linked if
     100 * intersection >= percent * union.  Rows with a null id stay alone (component null, kept).  Rows that
-    repeat an id stand for one document, whose links are theirs together.  An empty table gives no rows.  Other columns are not read.
+    repeat an id stand for one document: its links are those of all its texts, all its rows have one component, and each
+    row has its own text's ``n_shingles``.  Texts of any length are read whole.  An empty table gives no rows.  Other
+    columns are not read, whatever their names.
 
     :return: id, ``n_shingles`` long, ``component_id`` (smallest id reachable), ``kept`` (id is component_id)
     """
     some = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     base = materialize(some.mapInArrow(_sign(words), "id long, n long, digest binary, signature binary"), "signatures")
-    classes = base.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("signature").alias("signature"))
+    named = base.where("digest is not null and id is not null")
+    classes = named.groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("signature").alias("signature"), F.count(F.lit(1)).alias("rows"))
     classes = materialize(classes, "classes")
+    nothing = F.lit(b"")
+    several = base.where("id is not null").groupBy("id").agg(F.min(F.coalesce("digest", nothing)).alias("x"), F.max(F.coalesce("digest", nothing)).alias("y")).where("x <> y")
+    several = materialize(several.select("id"), "several")  # ids with different texts
 
-    trees = F.transform(
-        F.sequence(F.lit(0), F.lit(TREES - 1)),
-        lambda t: F.struct(*[F.xxhash64(t, F.substring(F.col("signature"), t * (2 * DEPTHS[-1]) + 1, F.lit(2 * d))).alias(f"k{d}") for d in DEPTHS]),
-    )
-    rows = classes.select("id", F.explode(trees).alias("t")).select("id", "t.*")
-    d1, d2, d3 = (f"k{d}" for d in DEPTHS)
-    for keys, name in (((d1,), "c1"), ((d1, d2), "c2"), ((d1, d2, d3), "c3")):
-        rows = rows.withColumn(name, F.count(F.lit(1)).over(W.partitionBy(*keys)))
-    level = F.when(F.col("c1") <= DENSE[0], 1).when(F.col("c2") <= DENSE[1], 2).otherwise(3)
-    pick = lambda *c: F.when(level == 1, c[0]).when(level == 2, c[1]).otherwise(c[2])
-    rows = rows.select("id", pick(F.col(d1), F.xxhash64(d1, d2), F.xxhash64(d1, d2, d3)).alias("key"), pick(F.col("c1"), F.col("c2"), F.col("c3")).alias("rows"))
-    rows = materialize(rows.where("rows > 1"), "regions")
+    rows = forest_regions(classes)
     rows = rows.withColumn("parts", F.ceil(F.col("rows") / PART).cast("long")).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
     rows = rows.withColumn("p", F.explode(_pairs_of_parts("parts", "part"))).select("id", F.xxhash64("key", "p.i", "p.j").alias("region"))
     regions = rows.join(classes.select("id", "signature"), "id")
@@ -213,12 +299,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     # members grow with the input, so they are never broadcast, however small here: one plan at every size
     wanted = members.hint("merge").join(some.where(F.col("id").isNotNull()), "id").select("id", "unit", "text")
     links = _by_run(wanted, "unit", _confirm(words, percent), "a long, b long")
-    found = materialize(components(links, "links"), "components")
-
-    group = classes.select("id", "digest").join(found, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
-    out = base.join(group, "digest", "left")
-    whole = out.select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component"))
-    return whole.select(
+    texts = named.select("id", "digest").join(several, "id")
+    own = texts.join(classes.select("digest", F.col("id").alias("b")), "digest").select(F.col("id").alias("a"), "b")
+    found = materialize(components(links.unionByName(own), "links"), "components")
+
+    group = materialize(classes.select("id", "digest", "rows").join(found, "id", "left").select("digest", "rows", F.coalesce("component", "id").alias("component")), "groups")
+    out = join_split(named.select("id", "n", "digest"), group, "digest", "rows").select("id", "n", "component")
+    out = out.unionByName(base.where("digest is null or id is null").select("id", "n", F.col("id").alias("component")))
+    whole = found.join(several, "id").withColumnRenamed("component", "whole")
+    return out.join(whole, "id", "left").withColumn("component", F.coalesce("whole", "component")).select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept")
     )
 

@@ -281,7 +281,7 @@ def test_topk(spark):
 
 def brute_viterbi(counter, text):
     """Every segmentation position by position, in exact numbers; ties to the earliest start."""
-    t, v, s = spm.normalise(counter.model, text), counter.match.vocabulary, counter.model.scores
+    t, v, s = counter.normalise(text), counter.match.vocabulary, counter.model.scores
     best, n = [0.0] + [-math.inf] * len(t), [0] * (len(t) + 1)
     for e in range(1, len(t) + 1):
         for b in range(max(0, e - 20), e):
@@ -347,9 +347,73 @@ def test_unigram_path(spark):
         assert codec.encode(w).tolist() == lib.nbest_encode(w, nbest_size=2)[0]
 
 
+def character_map():
+    """A public normaliser's compiled character map."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as proto
+
+    spec = proto.NormalizerSpec()
+    spec.ParseFromString(sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_normalizer_spec())
+    return spec.precompiled_charsmap
+
+
+def variants():
+    """Model files of every kind that the library reads, made from one vocabulary."""
+    from sentencepiece import sentencepiece_model_pb2 as proto
+
+    m = proto.ModelProto()
+    m.ParseFromString(MODEL)
+    for p in m.pieces:
+        p.score = max(-15.0, p.score / 4096) if p.type == spm.NORMAL else p.score
+    unigram = spm.changed(m.SerializeToString(), model_type=spm.UNIGRAM)
+    no_bytes = proto.ModelProto()
+    no_bytes.ParseFromString(spm.changed(unigram, kinds={p: spm.UNUSED for p in spm.load(MODEL).of_kind(spm.BYTE)}))
+    no_bytes.trainer_spec.byte_fallback = False
+    no_bytes = no_bytes.SerializeToString()
+    user, nfkc = {"<tag>": spm.USER_DEFINED, "<sep>": spm.USER_DEFINED}, character_map()
+    out = {"merges": MODEL, "unigram": unigram, "no bytes": no_bytes, "words": spm.changed(no_bytes, model_type=spm.WORD), "characters": spm.changed(no_bytes, model_type=spm.CHAR)}
+    for name, data in (("merges", MODEL), ("unigram", unigram)):
+        out[f"{name}, map"] = spm.changed(data, charsmap=nfkc)
+        out[f"{name}, squeeze"] = spm.changed(data, squeeze=True)
+        out[f"{name}, user"] = spm.changed(data, kinds=user)
+        out[f"{name}, all"] = spm.changed(data, kinds=user, charsmap=nfkc, squeeze=True)
+    out["merges, unused"] = spm.changed(MODEL, kinds={p: spm.UNUSED for p in ("▁the", "ing", "and")})
+    return out
+
+
+ODD = ["ﬁne ① ｶﾞ ㌕ x y ​ ＡＢＣ Å ﷺ z", "<tag>hello<tag> wor<tag>ld <t", "a<sep>b <sep> c", "▁▁ ▁", " x  y "]
+
+
+def test_every_kind_of_model_agrees_with_the_library(spark):
+    import sentencepiece
+
+    docs = [r[0] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").limit(150).collect()]
+    for name, data in variants().items():
+        lib, codec = sentencepiece.SentencePieceProcessor(), fst.Codec(data)
+        lib.LoadFromSerializedProto(data)
+        for t in [*TEXTS, *ODD, *docs]:
+            ids = codec.encode(t).tolist()
+            assert ids == lib.encode(t) and codec.decode(ids) == lib.decode(ids), (name, t[:80])
+
+
+def test_merges_agree_with_the_library_on_many_documents(spark):
+    import sentencepiece
+
+    lib, codec = sentencepiece.SentencePieceProcessor(model_proto=MODEL), fst.Codec(MODEL)
+    docs = [r[0] or "" for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text").limit(4000).collect()]
+    assert len(docs) == 4000
+    for t, want in zip(docs, lib.encode(docs), strict=True):
+        assert codec.encode(t).tolist() == want
+
+
+def test_character_map_is_read_whole():
+    rules = spm.read_charsmap(character_map())
+    assert len(rules) > 200_000 and (rules["ﬁ"], rules["Ａ"], rules["\t"], rules["①"]) == ("fi", "A", " ", "1")
+
+
 def test_stability_is_what_merging_says():
     codec = fst.Codec(MODEL)
-    m, rng, ids = codec.merges, np.random.default_rng(5), list(codec.match.vocabulary.values())
+    m, rng, ids = codec.merges, np.random.default_rng(5), list(codec.vocabulary.values())
     for a, b in rng.choice(ids, (3000, 2)).tolist():
         if m.reachable(a) and m.reachable(b):
             pieces = codec.model.pieces
@@ -369,9 +433,7 @@ def brute_components(rows, words, percent):
         w = text_of(t).lower().split()
         return {tuple(w[i : i + words]) for i in range(len(w) - words + 1)} if len(w) >= words else ({tuple(w)} if w else set())
 
-    sets = {}
-    for i, t in rows:
-        sets.setdefault(i, shingles(t))
+    sets = {i: shingles(t) for i, t in rows}
     parent = {i: i for i in sets}
 
     def find(i):
@@ -428,3 +490,61 @@ def test_near_duplicates_edges(spark, messy, empty):
     by = {r["doc_id"]: r for r in out}
     assert by[None]["component_id"] is None and by[None]["kept"] and by[7]["component_id"] == 5 and not by[7]["kept"] and by[1]["n_shingles"] == 0
     assert lshforest.near_duplicates(empty).count() == 0
+
+
+def test_repeated_ids_have_one_answer(spark):
+    x, y, z = ("a b c d e f g h i j", "k l m n o p q r s t", "u v w x y z")
+    rows = [(3, x), (5, x), (5, y), (9, y), (9, ""), (11, z), (12, z), (12, None), (2, "q"), (None, x)]
+    out = lshforest.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in out}
+    assert len(out) == len(rows)
+    assert got == {(3, 9, 3, True), (5, 9, 3, False), (9, 9, 3, False), (9, 0, 3, False), (11, 5, 11, True), (12, 5, 11, False), (12, 0, 11, False), (2, 1, 2, True), (None, 9, None, True)}
+
+
+def test_subtrees_are_runs_of_common_prefixes():
+    rng = np.random.default_rng(2)
+    labels = sorted((int(h), int(a << 16 | b)) for h, a, b in zip(rng.integers(0, 4, 60), rng.integers(0, 3, 60), rng.integers(0, 3, 60), strict=True))
+    head, rest = (np.array(c, dtype=np.int64) for c in zip(*labels, strict=True))
+    prefix = {3: lambda x: x[0], 4: lambda x: (x[0], x[1] >> 16), 5: lambda x: x}
+    for depth, (key, count, outside) in zip(lshforest.DEPTHS, lshforest.subtrees(head, rest, True, False), strict=True):
+        names = [prefix[depth](x) for x in labels]
+        sizes = Counter(names)
+        assert count.tolist() == [sizes[n] for n in names] and len(set(zip(key.tolist(), names, strict=True))) == len(sizes) == len(set(key.tolist()))
+        assert outside.tolist() == [n == names[0] for n in names]
+
+
+def exact_links(sets, percent=80):
+    """All links, by prefix filtering: in one order of shingles by rarity, linked sets share one of their first ones."""
+    df = Counter(x for s in sets.values() for x in s)
+    index, out = {}, []
+    for i, s in sorted(sets.items(), key=lambda x: len(x[1])):
+        first = sorted(s, key=lambda x: (df[x], x))[: len(s) - -(-percent * len(s) // 100) + 1]
+        for j in {j for x in first for j in index.get(x, ())}:
+            if 100 * len(sets[j]) >= percent * len(s):
+                both = len(s & sets[j])
+                if 100 * both >= percent * (len(s) + len(sets[j]) - both):
+                    out.append((i, j))
+        for x in first:
+            index.setdefault(x, []).append(i)
+    return out
+
+
+@pytest.mark.parametrize("words", [2, 5])
+def test_no_link_is_lost(spark, words):
+    """All documents at sf0.1 against all exact links."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    shingler = lshforest.Shingler(words)
+    sets = {r["doc_id"]: set(shingler(r["text"]).tolist()) for r in docs.select("doc_id", "text").toLocalIterator()}
+    links = exact_links({i: s for i, s in sets.items() if s})
+    parent = {i: i for i in sets}
+
+    def find(i):
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return i
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    got = {r["doc_id"]: r["component_id"] for r in lshforest.near_duplicates(docs, words).collect()}
+    assert len(links) > 1000 and got == {i: find(i) for i in sets}

@@ -1,199 +1,360 @@
 """Toxicity by weak supervision.
 
-Voters (fixed lexicons, lexicons and word-start patterns learned from labelled rows, and a pattern for texts with
-nothing of the kind) vote on every document.  A generative label model estimates from the votes alone how often
-each voter is right and how voters go together beyond the class, which gives every document a posterior label; a
-linear classifier over the lexicon units found in a text is trained on those posteriors and scores all documents.
+Many voters look at every text: word lists by theme and language, patterns of use, and word and word-start patterns
+learned from disjoint halves of the labelled rows, one voter for each kind of pattern and half.  A generative label
+model explains the votes by a hidden class: each voter has an accuracy, and voters that go together beyond the class
+are tied by correlation parameters (a forest of pairs, found from the votes), so that they don't count twice.  It is
+fitted by expectation maximisation over the votes of all rows that may be learned from.  A linear classifier over all
+words and word starts, hashed, is then trained from zero on the posterior labels of a bounded sample, and scores
+every text.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, read_table
 
-#: Labelled rows, and rows with posterior labels, that are learned from at most: the least by hash of the id.
-SAMPLE = 40_000
-#: Learned units at most: those with the most evidence.
-LEXICON = 50_000
-#: Fixed word lists of two voters.
-INSULTS = frozenset("idiot idiots moron morons stupid dumb dumbass fool imbecile retard retarded loser losers clown jerk asshole bastard bitch whore slut cunt dick prick wanker twat".split())
-CONTEMPT = frozenset("scum trash garbage vermin filth filthy disgusting pathetic worthless useless subhuman parasite parasites degenerate shit shitty bullshit crap fuck fucking fucked".split())
-#: Lengths of the word starts that serve as patterns.
-STARTS = (4, 5, 6)
+#: Word lists of the fixed voters.
+LISTS = {
+    "insults": "idiot idiots moron morons stupid dumb dumbass fool fools imbecile imbeciles retard retarded loser losers clown clowns jerk cretin halfwit dimwit",
+    "contempt": "worthless useless pathetic pitiful subhuman degenerate degenerates parasite parasites nobody failure inferior",
+    "disgust": "scum trash garbage vermin filth filthy disgusting rats cockroach cockroaches maggot maggots sewage stinking",
+    "vulgar": "asshole bastard bitch whore slut cunt dick prick wanker twat shit shitty bullshit crap fuck fucking fucked",
+    "threats": "kill hang shoot stab strangle exterminate lynch",
+    "french": "idiote imbécile connard connasse salope merde pute crétin crétine abruti abrutie ordure débile",
+    "german": "idioten dummkopf arschloch scheiße schlampe hure drecksau abschaum trottel vollidiot mistkerl",
+    "spanish": "imbécil estúpido estúpida idiotas puta mierda cabrón basura escoria gilipollas tonto tonta",
+}
+THEMES = {name: frozenset(words.encode().split()) for name, words in LISTS.items()}
+#: Lengths of the word starts that serve as patterns; 0 is the whole word.
+KINDS = (0, 4, 5, 6, 7, 8)
+HALVES = 2
+#: Digits and marks that stand for letters in disguised words.
+DISGUISES = bytes.maketrans(b"013457@$", b"oieastas")
 ANY_OF = b".,;:!?\"'()[]{}<>*#$%&@=+-_/\\|~`"
+YOU = frozenset(b"you your youre you're u tu toi vous du dich ihr eres".split())
+VOTERS = (*THEMES, "several", "disguised", "addressed", "nothing", "stray", *(f"{'start_%d' % k if k else 'word'}_{h}" for k in KINDS for h in range(HALVES)))
+M, FIRST_LEARNED = len(VOTERS), len(THEMES) + 5
+SEVERAL, DISGUISED, ADDRESSED, NOTHING, STRAY = range(len(THEMES), len(THEMES) + 5)
+LISTED = (1 << len(THEMES)) - 1
+#: Places of the classifier's hashed features.
+FEATURES = 1 << 18
+FORGET = 300_000
 
-_FIXED = frozenset(b"w" + w.encode() for w in INSULTS | CONTEMPT)
-VOTERS = ("insults", "contempt", "words_0", "words_1", "words_2", "start_4", "start_5", "start_6", "several", "nothing")
 
+def words_of(text: bytes | None) -> list[bytes]:
+    """A text's words in lower case, without marks at their ends."""
+    out = [w.strip(ANY_OF) for w in (text or b"").decode("utf-8", "replace").lower().encode().split()]
+    return [w for w in out if w]
 
-def units_of(text: bytes | None) -> set[bytes]:
-    """A text's distinct units: its words in lower case without marks at their ends, and their starts."""
-    words = {w.strip(ANY_OF) for w in set((text or b"").decode("utf-8", "replace").lower().encode().split())}
-    words.discard(b"")
-    out = {b"w" + w for w in words}
-    for w in words:
-        if len(w) > STARTS[0]:
-            out.update(b"%d%s" % (n, w[:n]) for n in STARTS if len(w) > n)
-    return out
+
+def units_of(word: bytes) -> list[tuple[int, bytes]]:
+    """A word and its starts, each with its kind."""
+    return [(0, word)] + [(k, word[:k]) for k in KINDS[1:] if len(word) > k]
 
 
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: tuple[Counter, Counter] = (Counter(), Counter())
+    seen: Counter = Counter()
 
     def out():
-        units = list(set(seen[0]) | set(seen[1]))
-        return pa.RecordBatch.from_arrays([pa.array(units, pa.binary()), pa.array([seen[1][u] for u in units], pa.int64()), pa.array([seen[0][u] for u in units], pa.int64())], names=["unit", "pos", "neg"])
+        keys = list(seen)
+        columns = [pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.binary()), pa.array([k[2] for k in keys], pa.int32())]
+        return pa.RecordBatch.from_arrays([*columns, pa.array([seen[k] if k[3] else 0 for k in keys], pa.int64()), pa.array([0 if k[3] else seen[k] for k in keys], pa.int64())], names=["kind", "unit", "half", "pos", "neg"])
 
     for batch in batches:
-        for text, toxic in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            seen[int(toxic)].update(units_of(text))
-            if len(seen[0]) + len(seen[1]) > 500_000:
+        for text, toxic, half in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            units = {u for w in set(words_of(text)) for u in units_of(w)}
+            seen.update((k, u, half, toxic) for k, u in units)
+            if len(seen) > 500_000:
                 yield out()
-                seen = (Counter(), Counter())
+                seen.clear()
     yield out()
 
 
-def learn_lexicon(labelled: DataFrame) -> tuple[list[bytes], np.ndarray, set[bytes]]:
-    """Units that go with the label, with their log odds; and listed words that clean texts use as well.
+def learn_patterns(labelled: DataFrame, odds: float = 3.5, least: float = 12.0) -> tuple[dict[tuple[int, bytes], int], frozenset[bytes]]:
+    """Units that go with the label in a half of the rows, each with the bits of the voters that look for it; and
+    listed words that clean texts use as well, which no voter looks for.
 
-    :param labelled: ``text``, ``toxic`` 0 or 1; at most SAMPLE rows
-    """
-    n = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    pos, neg = n.get(1, 0), n.get(0, 0)
-    if not pos or not neg:
-        return [], np.zeros(0), set()
-    counts = labelled.select("text", "toxic").mapInArrow(_tally, "unit binary, pos long, neg long").groupBy("unit").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    odds = F.log((F.col("pos") + 0.5) / (pos + 1)) - F.log((F.col("neg") + 0.5) / (neg + 1))
-    counts = materialize(counts.withColumn("odds", odds).where((F.col("odds") > 3) & (F.col("pos") >= 4) | F.col("unit").isin(list(_FIXED))), "units")
-    common = {bytes(r["unit"]) for r in counts.where(F.col("unit").isin(list(_FIXED)) & (F.col("neg") >= 3) & (F.col("odds") < 1)).collect()}
-    strong = counts.where("pos >= 4 and odds > 3")
-    best = strong.orderBy((F.col("odds") * F.col("pos")).desc(), "unit").limit(LEXICON).select("unit", "odds").collect()
-    return [bytes(r["unit"]) for r in best], np.array([r["odds"] for r in best]), common
-
-
-def votes_of(found: list[bytes], words: set[bytes]) -> bytes:
-    """One byte for each voter: 1 toxic, 0 not, 2 abstains."""
-    out = bytearray(b"\x02" * len(VOTERS))
-    if any(w[1:].decode("utf-8", "replace") in INSULTS for w in words if w[:1] == b"w"):
-        out[0] = 1
-    if any(w[1:].decode("utf-8", "replace") in CONTEMPT for w in words if w[:1] == b"w"):
-        out[1] = 1
-    for u in found:
-        out[2 + xxhash.xxh32_intdigest(u) % 3 if u[:1] == b"w" else 1 + u[0] - 48] = 1
-    if len({u for u in found if u[:1] == b"w"}) > 1:
-        out[8] = 1
-    if not found and out[0] != 1 and out[1] != 1:
-        out[9] = 0
-    return bytes(out)
-
-
-def _vote(index: dict[bytes, int], listed: frozenset[bytes]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            votes, hits = [], []
-            for text in batch.column("text").cast(pa.binary()).to_pylist():
-                units = units_of(text)
-                found = sorted(u for u in units if u in index)
-                votes.append(votes_of(found, units & listed))
-                hits.append([index[u] for u in found])
-            yield pa.RecordBatch.from_arrays([batch.column("own"), batch.column("held_out"), pa.array(votes, pa.binary()), pa.array(hits, pa.list_(pa.int32()))], names=["id", "held_out", "votes", "hits"])
+    Only the units that pass go to the driver; their number is bounded by that of the labelled rows.
 
-    return run
+    :param labelled: ``text``, ``toxic`` 0 or 1, ``half``
+    :param odds: a unit's log odds between toxic and clean rows, at least
+    :param least: its likelihood-ratio statistic, at least
+    """
+    n = {(r["half"], r["toxic"]): r["n"] for r in labelled.groupBy("half", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = labelled.select("text", "toxic", "half").mapInArrow(_tally, "kind int, unit binary, half int, pos long, neg long").groupBy("kind", "unit", "half").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    per_half = lambda y: F.element_at(F.array(*[F.lit(n.get((h, y), 0)) for h in range(HALVES)]), F.col("half") + 1)
+    log_odds = F.log((F.col("pos") + 0.5) / (per_half(1) + 1)) - F.log((F.col("neg") + 0.5) / (per_half(0) + 1))
+    rows, seen = per_half(0) + per_half(1), F.col("pos") + F.col("neg")
+    cells = ((F.col("pos"), seen, per_half(1)), (F.col("neg"), seen, per_half(0)), (per_half(1) - F.col("pos"), rows - seen, per_half(1)), (per_half(0) - F.col("neg"), rows - seen, per_half(0)))
+    ratio = sum((F.when(c > 0, 2 * c * F.log(c * rows / (a * b))).otherwise(0.0) for c, a, b in cells), F.lit(0.0))
+    listed = frozenset().union(*THEMES.values())
+    is_listed, strong = (F.col("kind") == 0) & F.col("unit").isin(list(listed)), (F.col("odds") >= odds) & (F.col("ratio") >= least)
+    counts = materialize(counts.withColumns({"odds": log_odds, "ratio": ratio}).where(strong | is_listed), "units")
+    common = counts.where(is_listed).groupBy("unit").agg(F.sum("neg").alias("neg"), F.max("odds").alias("odds")).where("neg >= 3 and odds < 1").collect()
+    patterns: dict[tuple[int, bytes], int] = {}
+    for r in counts.where(strong).select("kind", "unit", "half").collect():
+        key = (r["kind"], bytes(r["unit"]))
+        patterns[key] = patterns.get(key, 0) | 1 << (FIRST_LEARNED + KINDS.index(r["kind"]) * HALVES + r["half"])
+    return patterns, frozenset(bytes(r["unit"]) for r in common)
+
+
+class Voters:
+    """Votes on texts: 1 toxic, 0 not, 2 abstains; one byte for each voter."""
+
+    def __init__(self, patterns: dict[tuple[int, bytes], int], common: frozenset[bytes]):
+        self.patterns, self.common = patterns, common
+        self.known: dict[bytes, int] = {}
+
+    def bits(self, word: bytes) -> int:
+        out = 0
+        for i, words in enumerate(THEMES.values()):
+            if word in words and word not in self.common:
+                out |= 1 << i
+        plain = word.translate(DISGUISES)
+        if plain != word and any(plain in words for words in THEMES.values()) and plain not in self.common:
+            out |= 1 << DISGUISED
+        for unit in units_of(word):
+            out |= self.patterns.get(unit, 0)
+        return out
+
+    def __call__(self, text: bytes | None) -> bytes:
+        """A listed word is enough for its list; a learned voter asks for two different words, and one alone is a stray."""
+        known, words = self.known, words_of(text)
+        if len(known) > FORGET:
+            known.clear()
+        hits: dict[bytes, int] = {}
+        votes, before = bytearray(b"\x02" * M), b""
+        for w in words:
+            b = known.get(w)
+            if b is None:
+                b = known[w] = self.bits(w)
+            if b:
+                hits[w] = b
+                if b & LISTED and before in YOU:
+                    votes[ADDRESSED] = 1
+            before = w
+        once = twice = 0
+        for b in hits.values():
+            twice |= once & b
+            once |= b
+        for i in range(len(THEMES)):
+            if once >> i & 1:
+                votes[i] = 1
+        for i in range(FIRST_LEARNED, M):
+            if twice >> i & 1:
+                votes[i] = 1
+        if sum(1 for b in hits.values() if b & LISTED) > 1:
+            votes[SEVERAL] = 1
+        if once >> DISGUISED & 1:
+            votes[DISGUISED] = 1
+        if not hits:
+            votes[NOTHING] = 0
+        elif len(hits) == 1 and not once & LISTED:
+            votes[STRAY] = 0
+        return bytes(votes)
 
 
 class LabelModel:
-    """Class-conditional vote probabilities, with voters that go together sharing their weight."""
-
-    def __init__(self, rounds: int = 50, prior: float = 0.1):
-        self.rounds, self.prior = rounds, prior
-
-    def fit(self, votes: np.ndarray, counts: np.ndarray) -> LabelModel:
-        """Expectation maximisation over distinct vote patterns and their counts.
-
-        The start says that voters are right nine times in ten; the correlation of two voters' votes within a class,
-        averaged over the classes, then lowers the weight of both, and the fit is made again.
-        """
-        n, m = votes.shape
-        self.weights = np.ones(m)
-        start = np.full((2, m, 3), 1 / 3)
-        start[0, :, 0], start[0, :, 1] = 0.45, 0.05
-        start[1, :, 0], start[1, :, 1] = 0.05, 0.45
-        start[:, :, 2] = 0.5
-        self.table, self.base = start, np.array([1 - self.prior, self.prior])
-        self.correlation = np.zeros((m, m))
-        if not n:
-            return self
-        for again in range(2):
-            for _ in range(self.rounds):
-                p = self.posterior(votes)
-                for y, w in enumerate((counts * (1 - p), counts * p)):
-                    for v in range(3):
-                        self.table[y, :, v] = ((votes == v) * w[:, None]).sum(axis=0) + 0.1
-                    self.base[y] = w.sum() + 1.0
-                self.table /= self.table.sum(axis=2, keepdims=True)
-                self.base /= self.base.sum()
-            if again:
-                break
-            value = np.where(votes == 1, 1.0, np.where(votes == 0, -1.0, 0.0))
-            p = self.posterior(votes)
-            both = np.zeros((m, m))
-            for w in (counts * (1 - p), counts * p):
-                x = value - (value * w[:, None]).sum(axis=0) / max(w.sum(), 1e-12)
-                cov = (x * w[:, None]).T @ x / max(w.sum(), 1e-12)
-                sd = np.sqrt(np.maximum(np.diag(cov), 1e-12))
-                both += np.abs(cov / np.outer(sd, sd)) / 2
-            np.fill_diagonal(both, 0.0)
-            self.correlation = np.clip(both, 0.0, 1.0)
-            self.weights = 1 / (1 + self.correlation.sum(axis=1))
-        return self
+    """A hidden class, and for each voter how often it votes and how often it is then right.
+
+    Abstaining says nothing about the class by itself.  ``parent[j]`` is the voter that j is tied to beyond the class
+    (-1: none): how often j votes then depends on whether its parent does, and how often it is right on whether its parent
+    is.  ``table[y, j, u, v]`` is the chance that j votes v if the class is y and its parent voted u.  The ties form a
+    forest, so the likelihood is exact.
+    """
+
+    def __init__(self, voters: int, prior: float = 0.1, tie: float = 0.01):
+        self.tie, self.base = tie, np.array([1 - prior, prior])
+        self.parent = np.full(voters, -1)
+        start = np.array([[0.45, 0.05, 0.5], [0.05, 0.45, 0.5]])  # voters are right nine times in ten
+        self.table = np.broadcast_to(start[:, None, None, :], (2, voters, 3, 3)).copy()
+
+    def log_joint(self, votes: np.ndarray) -> np.ndarray:
+        """log P(class, votes) for each row of votes and both classes."""
+        j = np.arange(votes.shape[1])
+        above = np.where(self.parent >= 0, votes[:, self.parent], 0)
+        return np.stack([np.log(self.base[y]) + np.log(self.table[y, j, above, votes]).sum(axis=1) for y in (0, 1)], axis=1)
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        """Probability of the toxic class for each vote pattern."""
-        m = votes.shape[1]
-        logs = [np.log(self.base[y]) + (np.log(self.table[y][np.arange(m), votes]) * self.weights).sum(axis=1) for y in range(2)]
-        return 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -50, 50)))
+        """Probability of the toxic class for each row of votes."""
+        logs = self.log_joint(votes)
+        return 1 / (1 + np.exp(np.clip(logs[:, 0] - logs[:, 1], -500, 500)))
+
+    def statistics(self, votes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Expected counts of each pair of votes in each class: all that ``refit`` needs, and additive over rows."""
+        m, p = votes.shape[1], self.posterior(votes)
+        each = (votes[:, :, None] == np.arange(3)).reshape(len(votes), 3 * m).astype(float)
+        return np.stack([(each * w[:, None]).T @ each for w in (counts * (1 - p), counts * p)])
+
+    def refit(self, stats: np.ndarray, ties: bool) -> None:
+        """Parameters from the expected counts; ``ties``: choose the forest anew, by mutual information given the class."""
+        m = len(self.parent)
+        n = stats.reshape(2, m, 3, m, 3).transpose(0, 1, 3, 2, 4)  # class, j, k, vote of j, vote of k
+        size = np.maximum(stats[:, 0, 0] + stats[:, 1, 1] + stats[:, 2, 2], 1e-9)
+        self.base = (size + 1) / (size + 1).sum()
+        if ties:
+            both = (n + 0.01) / (n + 0.01).sum(axis=(3, 4), keepdims=True)
+            alone = both.sum(axis=4, keepdims=True) * both.sum(axis=3, keepdims=True)
+            information = (self.base[:, None, None] * (both * np.log(both / alone)).sum(axis=(3, 4))).sum(axis=0)
+            self.parent = forest(information, self.tie)
+        for j, k in enumerate(self.parent):
+            own = n[:, j, j][:, [0, 1, 2], [0, 1, 2]]
+            mute, right = rates(own)
+            for u in range(3):
+                if k < 0:
+                    mutes, rights = (mute, mute), (right, right)
+                else:  # the parent votes or not; it is right, wrong or silent; one row's worth of the voter's own rates
+                    silent = n[:, k, j, 2] if u == 2 else n[:, k, j, 0] + n[:, k, j, 1]
+                    mutes = (rates(silent, mute, right)[0],) * 2
+                    rights = [rates(np.stack([n[c, k, j, u if u == 2 or c == y else 1 - u] for c in (0, 1)]), mute, right)[1] for y in (0, 1)]
+                for y in (0, 1):
+                    self.table[y, j, u, 2] = mutes[y]
+                    self.table[y, j, u, y] = (1 - mutes[y]) * rights[y]
+                    self.table[y, j, u, 1 - y] = (1 - mutes[y]) * (1 - rights[y])
+
+    def fit(self, expect: Callable[[LabelModel], np.ndarray], rounds: int = 20, ties_in: int = 2) -> LabelModel:
+        """Expectation maximisation.  The forest is chosen in the first ``ties_in`` rounds, before voters that go together can win the class over."""
+        for i in range(rounds):
+            self.refit(expect(self), i < ties_in)
+        return self
+
+    def marginals(self) -> np.ndarray:
+        """P(vote of j = v | class), by passing down the forest."""
+        out, done = np.zeros(self.table.shape[:2] + (3,)), set()
+        while len(done) < len(self.parent):
+            for j, k in enumerate(self.parent):
+                if j not in done and (k < 0 or k in done):
+                    out[:, j] = self.table[:, j, 0] if k < 0 else np.einsum("yu,yuv->yv", out[:, k], self.table[:, j])
+                    done.add(j)
+        return out
 
     def accuracies(self) -> np.ndarray:
         """How often each voter is right when it votes."""
-        right = self.base[0] * self.table[0, :, 0] + self.base[1] * self.table[1, :, 1]
-        return right / (right + self.base[0] * self.table[0, :, 1] + self.base[1] * self.table[1, :, 0])
-
-
-def fit_linear(rows: list[list[int]], size: int, target: np.ndarray, start: np.ndarray, steps: int = 300, decay: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Logistic regression on the presence of units, by gradient steps with per-weight scales; ``start`` gives first weights."""
-    lengths = np.fromiter(map(len, rows), dtype=np.int64, count=len(rows))
-    flat = np.fromiter((i for r in rows for i in r), dtype=np.int64, count=int(lengths.sum()))
-    owner = np.repeat(np.arange(len(rows)), lengths)
-    w, b = start.astype(float).copy(), -2.0
-    g2, gb2 = np.full(size, 1e-8), 1e-8
-    for _ in range(steps):
-        z = b + np.bincount(owner, weights=w[flat], minlength=len(rows))
-        d = 1 / (1 + np.exp(-np.clip(z, -50, 50))) - target
-        g = np.bincount(flat, weights=d[owner], minlength=size) + decay * w
+        p = self.marginals() * self.base[:, None, None]
+        right = p[0, :, 0] + p[1, :, 1]
+        return right / (right + p[0, :, 1] + p[1, :, 0])
+
+    def correlations(self) -> dict[tuple[int, int], float]:
+        """For each tie, the mutual information that the two voters share given the class."""
+        p, out = self.marginals(), {}
+        for j, k in enumerate(self.parent):
+            if k >= 0:
+                both = p[:, k, :, None] * self.table[:, j]
+                out[int(k), j] = float((self.base * (both * np.log(both / (p[:, k, :, None] * p[:, j, None, :]))).sum(axis=(1, 2))).sum())
+        return out
+
+
+def rates(votes: np.ndarray, mute: float = 0.5, right: float = 0.9) -> tuple[float, float]:
+    """How often a voter abstains, and is right when it votes, from expected votes by class, and one row's worth of what was known before."""
+    hits, all_votes = votes[0, 0] + votes[1, 1], votes[:, :2].sum()
+    return float((votes[:, 2].sum() + mute) / (votes.sum() + 1)), float((hits + right) / (all_votes + 1))
+
+
+def forest(weights: np.ndarray, least: float) -> np.ndarray:
+    """Parents in the heaviest forest whose edges all weigh ``least`` or more (-1: a root); ties go to smaller numbers."""
+    m = len(weights)
+    parent, joined = np.full(m, -1), np.zeros(m, dtype=bool)
+    best, via = np.full(m, -np.inf), np.full(m, -1)
+    for _ in range(m):
+        free = np.flatnonzero(~joined)
+        j = free[np.argmax(best[free])]
+        if best[j] >= least:
+            parent[j] = via[j]
+        joined[j] = True
+        closer = ~joined & (weights[j] > best)
+        best[closer], via[closer] = weights[j][closer], j
+    return parent
+
+
+def _expectations(patterns: DataFrame) -> Callable[[LabelModel], np.ndarray]:
+    """Expected counts over a table of votes and their numbers: one small array comes from each of its partitions."""
+
+    def expect(model: LabelModel) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((2, 3 * M, 3 * M))
+            for batch in batches:
+                votes = np.frombuffer(b"".join(batch.column("votes").to_pylist()), dtype=np.uint8).reshape(-1, M).astype(np.int64)
+                total += model.statistics(votes, batch.column("n").to_numpy().astype(float))
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], names=["stats"])
+
+        return sum((np.frombuffer(r["stats"]) for r in patterns.mapInArrow(run, "stats binary").collect()), np.zeros(2 * (3 * M) ** 2)).reshape(2, 3 * M, 3 * M)
+
+    return expect
+
+
+class Features:
+    """Hashed features of texts: each word and word start."""
+
+    def __init__(self):
+        self.known: dict[bytes, tuple[int, ...]] = {}
+
+    def __call__(self, text: bytes | None) -> np.ndarray:
+        known, out = self.known, set()
+        if len(known) > FORGET:
+            known.clear()
+        for w in set(words_of(text)):
+            f = known.get(w)
+            if f is None:
+                f = known[w] = tuple(zlib.crc32(u, k) % FEATURES for k, u in units_of(w))
+            out.update(f)
+        return np.fromiter(out, dtype=np.int64, count=len(out))
+
+
+def telling(flat: np.ndarray, lengths: np.ndarray, target: np.ndarray, least: float) -> np.ndarray:
+    """Which features go with the target: a likelihood-ratio statistic of ``least`` or more for presence against class."""
+    n, toxic = len(lengths), target.sum()
+    seen = np.bincount(flat, minlength=FEATURES).astype(float)
+    pos = np.bincount(flat, weights=np.repeat(target, lengths), minlength=FEATURES)
+    cells = np.stack([pos, seen - pos, toxic - pos, n - toxic - (seen - pos)])
+    means = np.stack([seen * toxic, seen * (n - toxic), (n - seen) * toxic, (n - seen) * (n - toxic)]) / max(n, 1)
+    return 2 * (cells * np.log(np.maximum(cells, 1e-12) / np.maximum(means, 1e-12))).sum(axis=0) >= least
+
+
+def fit_linear(flat: np.ndarray, lengths: np.ndarray, target: np.ndarray, least: float = 10.0, steps: int = 400, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Logistic regression from zero on the presence of features, by gradient steps with per-weight scales.
+
+    :param flat: features of all rows, one after the other
+    :param least: features whose statistic is below get no weight
+    """
+    keep = telling(flat, lengths, target, least)[flat]
+    owner = np.repeat(np.arange(len(lengths)), lengths)[keep]
+    used, f = np.unique(flat[keep], return_inverse=True)
+    w, b, g2, gb2 = np.zeros(len(used)), 0.0, np.full(len(used), 1e-8), 1e-8
+    for _ in range(steps if len(lengths) else 0):
+        z = b + np.bincount(owner, weights=w[f], minlength=len(lengths))
+        d = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - target) / len(lengths)
+        g = np.bincount(f, weights=d[owner], minlength=len(used)) + decay * w
         g2 += g * g
         gb2 += d.sum() ** 2
         w -= 0.3 * g / np.sqrt(g2)
         b -= 0.3 * d.sum() / np.sqrt(gb2)
-    return w, b
+    out = np.zeros(FEATURES)
+    out[used] = w
+    return out, b
 
 
-def score(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", own_col: str | None = None) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", own_col: str | None = None, sample: int = 20_000) -> DataFrame:
     """Score every whole text.
 
-    Rows with ``held_out`` true are scored but never learned from.  Null texts count as empty and get the classifier's
-    least score, as do texts without any unit of the lexicons.  Labels may be null, repeat or lack rows; without
-    labels of both kinds the fixed lexicons alone decide.  Repeated rows and null ids are rows like others; an empty table gives none.
+    Rows with ``held_out`` true are scored but never learned from.  Null texts count as empty; empty texts get the
+    classifier's constant.  Labels may be null, repeat or lack rows; without labels of both kinds the fixed lists and
+    patterns alone vote.  Repeated rows and null ids are rows like others; texts of any length are read whole; an empty
+    table gives no rows.  Only the id, the text, ``own_col`` and what ``held_out`` names are read, so extra columns
+    don't matter, whatever their names.
 
     :param own_col: a column to carry along instead of the id
-    :param labels: id, ``toxic``; at most SAMPLE of the rows not held out are read, those with the least hash of the id
+    :param labels: id, ``toxic``; at most ``sample`` of the rows not held out are read, those with the least hash of the id
+    :param sample: also about how many rows with posterior labels the classifier is trained on; votes, accuracies and
+        correlations are counted over all rows
     :return: id, held_out, score, predicted, ``posterior`` of the label model
     """
     spark = docs.sparkSession
@@ -201,36 +362,49 @@ def score(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "d
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(own_col).alias("own"))
     train = labels.select(F.col(id_col).alias("id"), F.col("toxic").cast("int").alias("toxic")).where("id is not null and toxic in (0, 1)")
     train = train.withColumns({id_col: F.col("id")}).where(~F.coalesce(held_out, F.lit(False))).select("id", "toxic")
-    train = train.groupBy("id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
-    labelled = docs.where(~F.col("held_out")).join(F.broadcast(train), "id").select("text", "toxic")
-    units, odds, common = learn_lexicon(materialize(labelled, "labelled"))
-    listed = _FIXED - common
-    fixed = sorted(listed.difference(units))
-    units, odds = [*units, *fixed], np.r_[odds, np.full(len(fixed), 3.0)]
-    index = {u: i for i, u in enumerate(units)}
+    train = train.groupBy("id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("id"), "id").limit(sample)
+    labelled = docs.where(~F.col("held_out")).join(F.broadcast(train), "id").select("text", "toxic", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(HALVES)).cast("int").alias("half"))
+    voters = spark.sparkContext.broadcast(learn_patterns(materialize(labelled, "labelled")))
     carried = docs.schema["own"].dataType.simpleString()
-    kind = f"id {carried}, held_out boolean, votes binary, hits array<int>"
-    voted = materialize(docs.select("own", "held_out", "text").mapInArrow(_vote(index, listed), kind), "votes")
 
-    patterns = voted.where(~F.col("held_out")).groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()  # at most 3 ** len(VOTERS)
-    table = np.frombuffer(b"".join(bytes(r["votes"]) for r in patterns), dtype=np.uint8).reshape(-1, len(VOTERS)).astype(np.int64)
-    model = LabelModel().fit(table, np.array([r["n"] for r in patterns], dtype=float))
+    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        votes_on = Voters(*voters.value)
+        for batch in batches:
+            votes = [votes_on(t) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("held_out"), pa.array(votes, pa.binary())], names=["held_out", "votes"])
+
+    voted = docs.select("held_out", "text").mapInArrow(vote, "held_out boolean, votes binary")
+    patterns = voted.groupBy("held_out", "votes").agg(F.count(F.lit(1)).alias("n"))
+    patterns = materialize(patterns, "votes").where(~F.col("held_out")).select("votes", "n")
+    n = patterns.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    model = LabelModel(M).fit(_expectations(patterns))
 
-    some = voted.where(~F.col("held_out")).select("id", "votes", "hits").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("votes", "hits").toPandas()
-    target = model.posterior(np.array([list(v) for v in some["votes"]], dtype=np.int64).reshape(-1, len(VOTERS)))
-    w, b = fit_linear([list(h) for h in some["hits"]], len(units), target, np.minimum(odds, 5.0))
+    def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        votes_on, features = Voters(*voters.value), Features()
+        for batch in batches:
+            texts = batch.column("text").cast(pa.binary()).to_pylist()
+            found = [features(t).astype(np.int32) for t in texts]
+            votes = np.frombuffer(b"".join(map(votes_on, texts)), dtype=np.uint8).reshape(-1, M).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), pa.array(model.posterior(votes))], names=["features", "target"])
+
+    share = F.pmod(F.xxhash64("id", F.lit(2)), F.lit(1 << 30)) < int(min(1.0, sample / max(n, 1)) * (1 << 30))
+    some = docs.where(~F.col("held_out") & share).select("text").mapInArrow(examples, "features array<int>, target double").limit(2 * sample).toArrow()
+    lists = some["features"].combine_chunks()
+    lists = lists if isinstance(lists, pa.ListArray) else pa.concat_arrays(lists.chunks) if lists.num_chunks else pa.array([], pa.list_(pa.int32()))
+    w, b = fit_linear(lists.flatten().to_numpy().astype(np.int64), np.diff(lists.offsets.to_numpy()).astype(np.int64), some["target"].to_numpy())
+    weights = spark.sparkContext.broadcast(w.astype(np.float32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        votes_on, features, w = Voters(*voters.value), Features(), weights.value
         for batch in batches:
-            hits = batch.column("hits")
-            flat, ends = hits.flatten().to_numpy(), np.diff(hits.offsets.to_numpy())
-            z = b + np.bincount(np.repeat(np.arange(len(ends)), ends), weights=w[flat], minlength=len(ends))
+            texts = batch.column("text").cast(pa.binary()).to_pylist()
+            z = np.array([b + float(w[features(t)].sum(dtype=float)) for t in texts])
             p = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
-            votes = np.frombuffer(b"".join(batch.column("votes").to_pylist()), dtype=np.uint8).reshape(-1, len(VOTERS)).astype(np.int64)
-            columns = [batch.column("id"), batch.column("held_out"), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), pa.array(model.posterior(votes))]
+            votes = np.frombuffer(b"".join(map(votes_on, texts)), dtype=np.uint8).reshape(-1, M).astype(np.int64)
+            columns = [batch.column("own"), batch.column("held_out"), pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32)), pa.array(model.posterior(votes), pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "held_out", "score", "predicted", "posterior"])
 
-    out = voted.mapInArrow(run, f"id {carried}, held_out boolean, score double, predicted int, posterior double")
+    out = docs.select("own", "held_out", "text").mapInArrow(run, f"id {carried}, held_out boolean, score double, predicted int, posterior double")
     return out.withColumnRenamed("id", own_col)
 
 

@@ -210,17 +210,70 @@ def test_ctw(spark, messy, empty):
 # --- toxicity ---
 
 
-def test_label_model_finds_good_voters():
+def fitted(votes, rounds=20):
+    pats, n = np.unique(votes, axis=0, return_counts=True)
+    return toxicity.LabelModel(votes.shape[1]).fit(lambda m: m.statistics(pats, n.astype(float)), rounds)
+
+
+def test_label_model_finds_good_voters_and_ties():
     rng = np.random.default_rng(0)
     y = rng.random(4000) < 0.2
     votes = np.stack([np.where(rng.random(4000) < a, y, ~y) for a in (0.95, 0.9, 0.85, 0.6)], axis=1).astype(int)
-    pats, n = np.unique(votes, axis=0, return_counts=True)
-    m = toxicity.LabelModel().fit(pats, n)
+    votes[rng.random(votes.shape) < 0.1] = 2
+    m = fitted(votes)
     assert ((m.posterior(votes) > 0.5) == y).mean() > 0.93
-    assert m.accuracies()[0] > m.accuracies()[3]
-    double = np.column_stack([votes, votes[:, 3]])
-    pats, n = np.unique(double, axis=0, return_counts=True)
-    assert toxicity.LabelModel().fit(pats, n).weights[3:].max() < 0.8
+    assert np.allclose(m.accuracies(), (0.95, 0.9, 0.85, 0.6), atol=0.03)
+    double = np.column_stack([votes, votes[:, 3], votes[:, 3]])  # two copies of the worst voter
+    tied = fitted(double)
+    strongest = sorted(tied.correlations(), key=tied.correlations().get)[-2:]
+    assert all(set(t) <= {3, 4, 5} for t in strongest)
+    assert np.abs(tied.posterior(double) - m.posterior(votes)).mean() < 0.02 and ((tied.posterior(double) > 0.5) == y).mean() > 0.93
+
+
+def test_label_model_is_a_distribution_and_its_posterior_is_brute_force():
+    """Every pattern of votes, its chance worked out voter by voter along the forest."""
+    rng = np.random.default_rng(4)
+    votes = rng.integers(0, 3, (300, 5))
+    votes[:, 3] = np.where(rng.random(300) < 0.9, votes[:, 0], votes[:, 3])
+    m = fitted(votes, 9)
+    assert (m.parent >= 0).any()
+    total = 0.0
+    for pattern in np.ndindex(*[3] * 5):
+        chance = []
+        for y in (0, 1):
+            p = m.base[y]
+            for j, v in enumerate(pattern):
+                p *= m.table[y, j, pattern[m.parent[j]] if m.parent[j] >= 0 else 0, v]
+            chance.append(p)
+        assert m.posterior(np.array([pattern]))[0] == pytest.approx(chance[1] / sum(chance))
+        total += sum(chance)
+    assert total == pytest.approx(1.0)
+
+
+def test_forest_is_the_heaviest():
+    w = np.zeros((5, 5))
+    for a, b, x in ((0, 1, 3.0), (1, 2, 2.0), (0, 2, 2.5), (3, 4, 0.5)):
+        w[a, b] = w[b, a] = x
+    assert toxicity.forest(w, 1.0).tolist() == [-1, 0, 0, -1, -1] and toxicity.forest(w, 0.1)[4] == 3
+
+
+def test_votes():
+    votes = lambda t, patterns=(): dict(zip(toxicity.VOTERS, toxicity.Voters(dict(patterns), frozenset({b"rats"}))(t.encode()), strict=True))
+    assert {k for k, v in votes("You moron!! What scum").items() if v == 1} == {"insults", "disgust", "several", "addressed"}
+    assert votes("a m0ron")["disguised"] == 1 and votes("rats")["nothing"] == 0 and votes("")["nothing"] == 0
+    bit = 1 << toxicity.VOTERS.index("start_4_1")
+    assert votes("blargo", [((4, b"blar"), bit)])["stray"] == 0 and votes("blargo blarga", [((4, b"blar"), bit)])["start_4_1"] == 1
+
+
+def test_linear_classifier_starts_from_zero_and_learns():
+    rng = np.random.default_rng(6)
+    rows = [np.unique(rng.integers(100, 400, 20)) for _ in range(2000)]
+    target = (rng.random(2000) < 0.2).astype(float)
+    rows = [np.r_[r, 7] if t else r for r, t in zip(rows, target, strict=True)]
+    w, b = toxicity.fit_linear(np.concatenate(rows), np.array([len(r) for r in rows]), target)
+    assert w[7] > 4 and b < -1 and np.abs(np.delete(w, 7)).max() < 1
+    none = np.zeros(0, dtype=np.int64)
+    assert toxicity.fit_linear(none, none, np.zeros(0))[1] == 0
 
 
 def test_toxicity_held_out(spark):
@@ -240,6 +293,13 @@ def test_toxicity_edges(spark, messy, empty):
     assert toxicity.score(empty, none, toxicity.held_out_fifth()).count() == 0
 
 
+def test_toxicity_at_a_tenth(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    test = toxicity.score(docs, labels, toxicity.held_out_fifth()).where("held_out").join(labels, "doc_id").toPandas()
+    hit = test[test["predicted"] == 1]
+    assert hit["toxic"].mean() > 0.97 and test[test["toxic"] == 1]["predicted"].mean() > 0.88
+
+
 # --- language identification ---
 
 

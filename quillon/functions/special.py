@@ -341,16 +341,7 @@ def _over_line(f: Callable, top: float = 8.0, n: int = 4000):
     return f(t).sum(axis=-1) * (top / n)
 
 
-@np.errstate(all="ignore")
-def bessel_j(v, x):
-    v, x = np.broadcast_arrays(np.asarray(v, float), np.asarray(x, float))
-    V, X = v[..., None], x[..., None]
-    first = _over_pi(lambda t: np.cos(V * t - X * np.sin(t)), 400)
-    rest = np.sin(v * np.pi) / np.pi * _tanh_sinh_line(lambda t: np.exp(-X * np.sinh(t) - V * t))
-    return np.where(v == np.round(v), first, first - rest)
-
-
-def _tanh_sinh_line(f: Callable, h: float = 0.03, m: int = 140):
+def _line(f: Callable, h: float = 0.02, m: int = 215):
     """Integral over (0, inf) by the substitution exp(u - exp(-u))."""
     u = np.arange(-m, m + 1) * h
     t = np.exp(u - np.exp(-u))
@@ -359,37 +350,193 @@ def _tanh_sinh_line(f: Callable, h: float = 0.03, m: int = 140):
     return np.where(np.isfinite(v), v, 0.0).sum(axis=-1)
 
 
+def _far(v, x):
+    """Whether the expansion for large arguments is at full precision."""
+    return x > np.maximum(25.0, v * v / 2)
+
+
+def _far_terms(v, x):
+    """Sums of the even and of the odd terms of the expansion for large arguments, with alternating signs and without."""
+    m, term = 4 * v * v, np.ones_like(x)
+    sums, size = [np.ones_like(x), np.zeros_like(x), np.ones_like(x), np.zeros_like(x)], np.abs(term)
+    live = np.ones(x.shape, dtype=bool)
+    for k in range(1, 60):
+        term = term * (m - (2 * k - 1) ** 2) / (8 * k * x)
+        live &= np.abs(term) <= size  # up to the least term
+        size = np.where(live, np.abs(term), size)
+        sums[k % 2] = sums[k % 2] + np.where(live, (-1) ** (k // 2) * term, 0.0)
+        sums[2 + k % 2] = sums[2 + k % 2] + np.where(live, term, 0.0)
+        if not (live & (np.abs(term) > EPS * 1e-2)).any():
+            break
+    return sums
+
+
+def _far_jy(v, x):
+    p, q, *_ = _far_terms(v, x)
+    turn = (v / 2 + 0.25) * np.pi  # taken off by the rule for sums of angles, so that a large x keeps its digits
+    c, s = np.cos(x) * np.cos(turn) + np.sin(x) * np.sin(turn), np.sin(x) * np.cos(turn) - np.cos(x) * np.sin(turn)
+    r = np.sqrt(2 / (np.pi * x))
+    return r * (p * c - q * s), r * (p * s + q * c)
+
+
+def _near_j(v, x):
+    """J of an order in [0, 2) by its integral, for x up to 25."""
+    V, X = v[..., None], x[..., None]
+    first = _over_pi(lambda t: np.cos(V * t - X * np.sin(t)), 128)
+    if (v == np.round(v)).all():
+        return first
+    rest = np.sin(v * np.pi) / np.pi * _line(lambda t: np.exp(-X * np.sinh(t) - V * t))
+    return np.where(v == np.round(v), first, first - rest)
+
+
+def _near_y(v, x):
+    """Y of an order in [0, 2) by its integral, for x up to 25."""
+    V, X = v[..., None], x[..., None]
+    first = _over_pi(lambda t: np.sin(X * np.sin(t) - V * t), 128)
+    rest = _line(lambda t: np.exp(V * t - X * np.sinh(t)) + np.exp(-V * t - X * np.sinh(t)) * np.cos(V * np.pi)) / np.pi
+    return first - rest
+
+
+def _series(v, x, sign: float):
+    """Power series of J (sign -1) or I (sign 1) without its factor (x/2)^v / Gamma(v + 1)."""
+    q, term, total = sign * x * x / 4, np.ones_like(x), np.ones_like(x)
+    for k in range(1, 400):
+        term = term * q / (k * (k + v))
+        total = total + term
+        if not (np.abs(term) > EPS / 4 * np.abs(total)).any():
+            break
+    return total
+
+
+def _lead(v, x):
+    """(x/2)^v / Gamma(v + 1)."""
+    with np.errstate(all="ignore"):
+        return np.where(v < 150, (x / 2) ** v / tgamma(np.minimum(v, 150.0) + 1), np.exp(v * np.log(x / 2) - lgamma(v + 1)))
+
+
+def _start(f_near: Callable, which: int, v, x):
+    """J or Y of an order in [0, 2), whatever the argument."""
+    out, far = np.empty_like(x), _far(v, x)
+    out[far] = _far_jy(v[far], x[far])[which]
+    out[~far] = f_near(v[~far], x[~far])
+    return out
+
+
+def _down_j(v, x):
+    """J where the order is not small against the argument: recurrence downwards, scaled by the orders in [0, 2)."""
+    n = np.floor(v).astype(int)
+    mu = v - n
+    top = int(np.max(np.maximum(n, np.ceil(x)) + 40 + 2 * np.sqrt(np.maximum(n, x)) * 3))
+    above, here, wanted, low = np.zeros_like(x), np.full_like(x, 1e-280), np.zeros_like(x), [None, None]
+    for k in range(top, -1, -1):
+        above, here = here, 2 * (mu + k + 1) / x * here - above
+        wanted = np.where(n == k, here, wanted)
+        if k < 2:
+            low[k] = here
+        big = np.abs(here) > 1e200
+        if big.any():
+            scale = np.where(big, 1e-200, 1.0)
+            above, here, wanted = above * scale, here * scale, wanted * scale
+            low = [None if y is None else y * scale for y in low]
+    one, two = _start(_near_j, 0, mu, x), _start(_near_j, 0, mu + 1, x)
+    return wanted * np.where(np.abs(one) > np.abs(two), one / low[0], two / low[1])
+
+
+@np.errstate(all="ignore")
+def bessel_j(v, x):
+    """J_v(x) for x >= 0: expansion for large arguments, power series for small ones, recurrence between."""
+    v, x = (np.array(c, dtype=float) for c in np.broadcast_arrays(v, x))
+    shape, v, x = x.shape, v.ravel(), x.ravel()
+    out = np.full(x.shape, np.nan)
+    up, ok = v >= 0, np.isfinite(v) & (x >= 0)
+    if (ok & ~up).any():
+        i = ok & ~up
+        whole = v[i] == np.round(v[i])
+        mirrored = np.cos(np.pi * v[i]) * bessel_j(-v[i], x[i])
+        out[i] = np.where(whole, np.where(np.round(v[i]) % 2 == 0, 1.0, -1.0) * bessel_j(-v[i], x[i]), mirrored + np.sin(np.pi * v[i]) * bessel_y(-v[i], x[i]))
+    i = ok & up & _far(v, x)
+    out[i] = np.where(np.isinf(x[i]), 0.0, _far_jy(v[i], x[i])[0])
+    i = ok & up & (x * x <= v + 1)
+    out[i] = _lead(v[i], x[i]) * _series(v[i], x[i], -1.0)
+    rest = ok & up & ~_far(v, x) & (x * x > v + 1)
+    i = rest & (v < 2)
+    out[i] = _near_j(v[i], x[i])
+    i = rest & (v >= 2)
+    if i.any():
+        out[i] = _down_j(v[i], x[i])
+    return out.reshape(shape)
+
+
 @np.errstate(all="ignore")
 def bessel_y(v, x):
-    v, x = np.broadcast_arrays(np.asarray(v, float), np.asarray(x, float))
-    V, X = v[..., None], x[..., None]
-    first = _over_pi(lambda t: np.sin(X * np.sin(t) - V * t), 400)
-    rest = _tanh_sinh_line(lambda t: (np.exp(V * t - X * np.sinh(t)) + np.exp(-V * t - X * np.sinh(t)) * np.cos(V * np.pi))) / np.pi
-    return np.where(x > 0, first - rest, np.nan)
+    """Y_v(x) for x > 0: expansion for large arguments, else recurrence upwards from the orders in [0, 2)."""
+    v, x = (np.array(c, dtype=float) for c in np.broadcast_arrays(v, x))
+    shape, v, x = x.shape, v.ravel(), x.ravel()
+    out = np.where(x == 0, -np.inf, np.nan)
+    ok = np.isfinite(v) & (x > 0)
+    i = ok & (v < 0)
+    if i.any():
+        whole, sign = v[i] == np.round(v[i]), np.where(np.round(v[i]) % 2 == 0, 1.0, -1.0)
+        out[i] = np.where(whole, sign * bessel_y(-v[i], x[i]), np.cos(np.pi * v[i]) * bessel_y(-v[i], x[i]) - np.sin(np.pi * v[i]) * bessel_j(-v[i], x[i]))
+    i = ok & (v >= 0) & _far(v, x)
+    out[i] = np.where(np.isinf(x[i]), 0.0, _far_jy(v[i], x[i])[1])
+    i = ok & (v >= 0) & (v < 2) & ~_far(v, x)
+    out[i] = _near_y(v[i], x[i])
+    i = ok & (v >= 2) & ~_far(v, x)
+    if i.any():
+        n = np.floor(v[i]).astype(int)
+        mu, z = v[i] - n, x[i]
+        before, here = _start(_near_y, 1, mu, z), _start(_near_y, 1, mu + 1, z)
+        found = here
+        for k in range(1, int(n.max())):
+            before, here = here, 2 * (mu + k) / z * here - before
+            found = np.where(n == k + 1, here, found)
+        out[i] = found
+    return out.reshape(shape)
 
 
 @np.errstate(all="ignore")
 def bessel_i(v, x, weighted: bool = False):
-    """I_v(x) for x >= 0; times exp(-x) if weighted."""
-    v, x = np.broadcast_arrays(np.asarray(v, float), np.asarray(x, float))
-    V, X = v[..., None], x[..., None]
-    first = _over_pi(lambda t: np.exp(X * (np.cos(t) - 1)) * np.cos(V * t), 400)
-    rest = np.sin(v * np.pi) / np.pi * _tanh_sinh_line(lambda t: np.exp(-X * (np.cosh(t) + 1) - V * t))
-    out = np.where(v == np.round(v), first, first - rest)
-    return out if weighted else out * np.exp(x)
+    """I_v(x) for x >= 0; times exp(-x) if weighted.  Expansion for large arguments, else power series or integral."""
+    v, x = (np.array(c, dtype=float) for c in np.broadcast_arrays(v, x))
+    shape, v, x = x.shape, v.ravel(), x.ravel()
+    out = np.full(x.shape, np.nan)  # weighted throughout
+    i = _far(v, x)
+    even, odd = _far_terms(v[i], x[i])[2:]
+    out[i] = (even - odd) / np.sqrt(2 * np.pi * x[i])
+    near = ~i & (x >= 0)
+    i = near & (x <= 100)
+    out[i] = np.where(v[i] < 0, np.nan, _lead(np.abs(v[i]), x[i]) * _series(np.abs(v[i]), x[i], 1.0)) * np.exp(-x[i])
+    i = near & (v < 0)
+    if i.any():  # the mirror rule
+        out[i] = bessel_i(-v[i], x[i], True) + np.where(v[i] == np.round(v[i]), 0.0, 2 / np.pi * np.sin(-v[i] * np.pi) * bessel_k(-v[i], x[i], True) * np.exp(-2 * x[i]))
+    i = near & (v >= 0) & (x > 100)
+    if i.any():
+        V, X = v[i][..., None], x[i][..., None]
+        first = _over_pi(lambda t: np.exp(X * (np.cos(t) - 1)) * np.cos(V * t), 400)
+        rest = np.sin(v[i] * np.pi) / np.pi * _line(lambda t: np.exp(-X * (np.cosh(t) + 1) - V * t))
+        out[i] = np.where(v[i] == np.round(v[i]), first, first - rest)
+    out = out.reshape(shape)
+    return out if weighted else out * np.exp(x.reshape(shape))
 
 
 @np.errstate(all="ignore")
 def bessel_k(v, x, weighted: bool = False):
-    """K_v(x) for x > 0; times exp(x) if weighted."""
-    v, x = np.broadcast_arrays(np.asarray(v, float), np.asarray(x, float))
-    V, X = v[..., None], x[..., None]
-    half = lambda t: 0.5 * (np.exp(V * t - X * (np.cosh(t) - 1)) + np.exp(-V * t - X * (np.cosh(t) - 1)))
+    """K_v(x) for x > 0; times exp(x) if weighted.  Expansion for large arguments, else its integral."""
+    v, x = (np.array(c, dtype=float) for c in np.broadcast_arrays(v, x))
+    shape, v, x = x.shape, np.abs(v.ravel()), x.ravel()
+    out = np.full(x.shape, np.nan)
+    i = _far(v, x)
+    even, odd = _far_terms(v[i], x[i])[2:]
+    out[i] = (even + odd) * np.sqrt(np.pi / (2 * x[i]))
+    i = ~i & (x > 0)
+    V, X = v[i][..., None], x[i][..., None]
     t = np.arange(0, 2401) * 0.01
-    y = half(t)
+    y = 0.5 * (np.exp(V * t - X * (np.cosh(t) - 1)) + np.exp(-V * t - X * (np.cosh(t) - 1)))
     y = np.where(np.isfinite(y), y, 0.0)
-    out = (y.sum(axis=-1) - 0.5 * y[..., 0]) * 0.01
-    return np.where(x > 0, out if weighted else out * np.exp(-x), np.nan)
+    out[i] = (y.sum(axis=-1) - 0.5 * y[..., 0]) * 0.01
+    out = out.reshape(shape)
+    return out if weighted else out * np.exp(-x.reshape(shape))
 
 
 def bessel_derivative(kind: str, v, x):
@@ -637,12 +784,19 @@ def polynomial(coefficients, x):
 
 
 def apply(f: Callable, *cols: Column | str, **fixed) -> Column:
-    """Any of these functions on columns, as a vectorised UDF in Arrow batches; null in, null out."""
+    """Any of these functions on columns, as a vectorised UDF in Arrow batches; null in, null out.
+
+    Of one column, each different value of a batch is worked out once.
+    """
 
     @F.pandas_udf("double")
     def run(*args: pd.Series) -> pd.Series:
         values = [a.to_numpy(dtype=float, na_value=np.nan) for a in args]
-        out = np.asarray(f(*values, **fixed), dtype=float)
+        if len(values) == 1:
+            few, where = np.unique(values[0], return_inverse=True)
+            out = np.asarray(f(few, **fixed), dtype=float)[where]
+        else:
+            out = np.asarray(f(*values, **fixed), dtype=float)
         gone = np.any([np.isnan(v) for v in values], axis=0)
         return pd.Series(np.where(gone, np.nan, out)).where(~gone)
 

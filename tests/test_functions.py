@@ -102,3 +102,43 @@ def test_columns(spark):
     df = spark.createDataFrame([(0.5,), (None,), (2.0,)], "x double")
     rows = df.select(D.column("gamma", "cdf", "x", 2.0, 1.0).alias("g"), D.expression("exponential", "cdf", "x", 1.0).alias("e"), S.apply(S.lgamma, "x").alias("l")).collect()
     assert rows[1]["g"] is None and rows[1]["e"] is None and rows[0]["e"] == pytest.approx(1 - math.exp(-0.5)) and rows[2]["g"] == pytest.approx(float(S.gamma_p(2.0, 2.0)))
+
+
+def exact_j(n, x):
+    """J of a whole order by its power series in enough decimal digits."""
+    from decimal import Decimal, getcontext
+
+    getcontext().prec = int(x) + 60
+    z, k = Decimal(x), 0
+    term = (z / 2) ** n
+    for i in range(1, n + 1):
+        term /= i
+    total = term
+    while k <= x or abs(term) > abs(total) * Decimal(10) ** -25:
+        k += 1
+        term = -term * (z * z / 4) / (k * (k + n))
+        total += term
+    return float(total)
+
+
+def test_bessel_j_at_all_sizes():
+    for n in (0, 1, 2, 5, 30, 100):
+        for x in (0.1, 3.0, 12.5, 20.0, 24.9, 25.1, 60.0, 300.0, 1000.0, 2000.0):
+            want = exact_j(n, x)
+            size = max(abs(want), np.sqrt(2 / (np.pi * x)) if x > n else 0.0)
+            assert abs(S.bessel_j(float(n), x) - want) < 2e-13 * size
+
+
+def test_bessel_wronskians():
+    v, x = np.meshgrid([0, 1 / 3, 0.5, 1, 2.7, 7, 15.3], [1e-3, 0.1, 1, 5, 20, 24, 30, 100, 500, 1e4, 1e6])
+    assert np.abs((S.bessel_j(v + 1, x) * S.bessel_y(v, x) - S.bessel_j(v, x) * S.bessel_y(v + 1, x)) * np.pi * x / 2 - 1).max() < 1e-12
+    assert np.abs((S.bessel_i(v, x, True) * S.bessel_k(v + 1, x, True) + S.bessel_i(v + 1, x, True) * S.bessel_k(v, x, True)) * x - 1).max() < 1e-12
+
+
+def test_bessel_known_values():
+    assert S.bessel_j(0.0, 1000.0) == pytest.approx(0.02479, abs=5e-6) and S.bessel_y(0.0, 1000.0) == pytest.approx(0.00472, abs=5e-6)
+    x = np.array([50.0, 1e4, 1e6])  # half orders are elementary
+    assert np.allclose(S.bessel_j(0.5, x), np.sqrt(2 / (np.pi * x)) * np.sin(x), rtol=1e-12, atol=0) and np.allclose(S.bessel_y(0.5, x), -np.sqrt(2 / (np.pi * x)) * np.cos(x), rtol=1e-12, atol=0)
+    assert S.bessel_j(-2.0, 3.0) == pytest.approx(float(S.bessel_j(2.0, 3.0))) and S.bessel_y(1.0, np.array([0.0]))[0] == -np.inf
+    assert S.bessel_zeros("j", 0, 3) == pytest.approx([2.404825557695773, 5.520078110286311, 8.653727912911013], rel=1e-12)
+    assert S.airy("ai", 1.0) == pytest.approx(0.1352924163128814, rel=1e-12)

@@ -464,16 +464,17 @@ def score(docs: DataFrame, held_out: Column, order: int = 5, id_col: str = "doc_
     shards = min(MOST_SHARDS, max(FEWEST_SHARDS, SHARDS * blocks))
     parts = materialize(texts.mapInArrow(_gather(order, shards), PARTS), "ctw-parts")
 
-    first = F.col("block").asc_nulls_first()
+    # as many partitions as blocks, so that what a task reads doesn't grow with the input
+    tasks, first = max(8, blocks), F.col("block").asc_nulls_first()
     words = parts.where("words").drop("words")
-    totals = words.drop("block").repartition("shard").sortWithinPartitions("shard").mapInArrow(_merge_words, "shard long, size long, codes binary, counts binary, sum long, types long")
+    totals = words.drop("block").repartition(tasks, "shard").sortWithinPartitions("shard").mapInArrow(_merge_words, "shard long, size long, codes binary, counts binary, sum long, types long")
     totals = materialize(totals, "ctw-words")
     n_words, n_types = totals.agg(F.coalesce(F.sum("sum"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
     asked = words.select("block", "shard", "size", "codes").unionByName(totals.select("shard", "size", "codes", "counts").withColumn("block", F.lit(None).cast("long")), allowMissingColumns=True)
-    known = asked.repartition("shard").sortWithinPartitions("shard", first).mapInArrow(_look_up_words, FACTS)
+    known = asked.repartition(tasks, "shard").sortWithinPartitions("shard", first).mapInArrow(_look_up_words, FACTS)
 
     packed = parts.where("not words").drop("words")
-    by_shard = packed.drop("block").repartition("shard").sortWithinPartitions("shard")
+    by_shard = packed.drop("block").repartition(tasks, "shard").sortWithinPartitions("shard")
     merged = materialize(by_shard.mapInArrow(_merge, "shard long, size long, codes binary, counts binary"), "ctw-codes")
     levels = [materialize(merged.mapInArrow(_above_leaves, "shard long, " + NODE), "ctw-nodes")]
     for _ in range(order - 2):
@@ -489,9 +490,10 @@ def score(docs: DataFrame, held_out: Column, order: int = 5, id_col: str = "doc_
     model = materialize(merged.groupBy("shard").cogroup(above.groupBy("shard")).applyInArrow(_predict, "shard long, size long, codes binary, logp binary"), "ctw-model")
 
     wanted = packed.drop("counts").unionByName(model.withColumn("block", F.lit(None).cast("long")), allowMissingColumns=True)
-    facts = wanted.repartition("shard").sortWithinPartitions("shard", first).mapInArrow(_look_up, FACTS).unionByName(known)
+    facts = wanted.repartition(tasks, "shard").sortWithinPartitions("shard", first).mapInArrow(_look_up, FACTS).unionByName(known)
     out = f"id {ident}, held_out boolean, n_bytes long, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
     run = _score(order, n_words + n_train, n_types + (n_train > 0), n_train)
+    texts, facts = texts.repartition(2 * tasks, "block"), facts.repartition(2 * tasks, "block")
     return texts.groupBy("block").cogroup(facts.groupBy("block")).applyInArrow(run, out).withColumnRenamed("id", id_col)
 
 

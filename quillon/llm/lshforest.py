@@ -135,29 +135,26 @@ LEAVES = pa.schema([("id", pa.int64()), ("task", pa.int64()), *((f"{c}{d}", t) f
 
 
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One sorted partition, three shared values at a time: the labels that have neighbours, or may have them in the next partition."""
-    task, last, first = random.SystemRandom().getrandbits(62), None, True
+    """One sorted partition: the labels that have neighbours, or may have them in the next partition.
 
-    def out(table, opens, closes):
-        head, rest = table["head"].to_numpy(), table["rest"].to_numpy()
-        levels = subtrees(head, rest, opens, closes)
+    Labels are taken up to where the first three values change last, so that no subtree is cut here.
+    """
+    task, first = random.SystemRandom().getrandbits(62), True
+    held = [np.zeros(0, dtype=np.int64)] * 3
+
+    def out(columns, opens, closes):
+        levels = subtrees(*columns[:2], opens, closes)
         some = (levels[0][1] > 1) | levels[0][2]
-        n = int(some.sum())
-        return pa.RecordBatch.from_arrays([pa.array(table["id"].to_numpy()[some]), pa.array([task] * n, pa.int64()), *(pa.array(c[some]) for level in levels for c in level)], schema=LEAVES)
-
-    held, size = [], 0
-    for table in runs(batches, "head"):
-        if last is not None:
-            if first or last.num_rows > 1:
-                held.append(out(last, first, False))
-                size += held[-1].num_rows
-            first = False
-            if size > 10_000:
-                yield from held
-                held, size = [], 0
-        last = table
-    if last is not None:
-        yield from [*held, out(last, first, True)]
+        return pa.RecordBatch.from_arrays([pa.array(columns[2][some]), pa.array([task] * int(some.sum()), pa.int64()), *(pa.array(c[some]) for level in levels for c in level)], schema=LEAVES)
+
+    for batch in batches:
+        held = [np.concatenate([h, batch.column(c).to_numpy()]) for h, c in zip(held, ("head", "rest", "id"), strict=True)]
+        cut = np.searchsorted(held[0], held[0][-1]) if len(held[0]) else 0
+        if cut:
+            yield out([h[:cut] for h in held], first, False)
+            held, first = [h[cut:] for h in held], False
+    if len(held[0]):
+        yield out(held, first, True)
 
 
 def forest_regions(classes: DataFrame) -> DataFrame:

@@ -33,14 +33,14 @@ LISTS = {
     "german": "idioten dummkopf arschloch scheiße schlampe hure drecksau abschaum trottel vollidiot mistkerl",
     "spanish": "imbécil estúpido estúpida idiotas puta mierda cabrón basura escoria gilipollas tonto tonta",
 }
-THEMES = {name: frozenset(words.encode().split()) for name, words in LISTS.items()}
+THEMES = {name: frozenset(words.split()) for name, words in LISTS.items()}
 #: Lengths of the word starts that serve as patterns; 0 is the whole word.
 KINDS = (0, 4, 5, 6, 7, 8)
 HALVES = 2
 #: Digits and marks that stand for letters in disguised words.
-DISGUISES = bytes.maketrans(b"013457@$", b"oieastas")
-ANY_OF = b".,;:!?\"'()[]{}<>*#$%&@=+-_/\\|~`"
-YOU = frozenset(b"you your youre you're u tu toi vous du dich ihr eres".split())
+DISGUISES = str.maketrans("013457@$", "oieastas")
+ANY_OF = ".,;:!?\"'()[]{}<>*#$%&@=+-_/\\|~`"
+YOU = frozenset("you your youre you're u tu toi vous du dich ihr eres".split())
 VOTERS = (*THEMES, "several", "disguised", "addressed", "nothing", "stray", *(f"{'start_%d' % k if k else 'word'}_{h}" for k in KINDS for h in range(HALVES)))
 M, FIRST_LEARNED = len(VOTERS), len(THEMES) + 5
 SEVERAL, DISGUISED, ADDRESSED, NOTHING, STRAY = range(len(THEMES), len(THEMES) + 5)
@@ -50,14 +50,13 @@ FEATURES = 1 << 18
 FORGET = 300_000
 
 
-def words_of(text: bytes | None) -> list[bytes]:
+def words_of(text: str | None) -> list[str]:
     """A text's words in lower case, without marks at their ends."""
-    out = [w.strip(ANY_OF) for w in (text or b"").decode("utf-8", "replace").lower().encode().split()]
-    return [w for w in out if w]
+    return [w for w in [w.strip(ANY_OF) for w in (text or "").lower().split()] if w]
 
 
-def units_of(word: bytes) -> list[tuple[int, bytes]]:
-    """A word and its starts, each with its kind."""
+def units_of(word: str) -> list[tuple[int, str]]:
+    """A word and its starts of so many characters, each with its kind."""
     return [(0, word)] + [(k, word[:k]) for k in KINDS[1:] if len(word) > k]
 
 
@@ -66,11 +65,11 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def out():
         keys = list(seen)
-        columns = [pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.binary()), pa.array([k[2] for k in keys], pa.int32())]
+        columns = [pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.string()), pa.array([k[2] for k in keys], pa.int32())]
         return pa.RecordBatch.from_arrays([*columns, pa.array([seen[k] if k[3] else 0 for k in keys], pa.int64()), pa.array([0 if k[3] else seen[k] for k in keys], pa.int64())], names=["kind", "unit", "half", "pos", "neg"])
 
     for batch in batches:
-        for text, toxic, half in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+        for text, toxic, half in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             units = {u for w in set(words_of(text)) for u in units_of(w)}
             seen.update((k, u, half, toxic) for k, u in units)
             if len(seen) > 500_000:
@@ -79,7 +78,14 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
-def learn_patterns(labelled: DataFrame, odds: float = 3.5, least: float = 12.0) -> tuple[dict[tuple[int, bytes], int], frozenset[bytes]]:
+def likelihood_ratio(pos: Column, neg: Column, toxic: Column, clean: Column) -> Column:
+    """The statistic of presence against class, from the counts of toxic and clean rows that have a unit, and of all."""
+    rows, seen = toxic + clean, pos + neg
+    cells = ((pos, seen, toxic), (neg, seen, clean), (toxic - pos, rows - seen, toxic), (clean - neg, rows - seen, clean))
+    return sum((F.when(c > 1e-9, 2 * c * F.log(c * rows / (a * b))).otherwise(0.0) for c, a, b in cells), F.lit(0.0))
+
+
+def learn_patterns(labelled: DataFrame, odds: float = 3.5, least: float = 12.0) -> tuple[dict[tuple[int, str], int], frozenset[str]]:
     """Units that go with the label in a half of the rows, each with the bits of the voters that look for it; and
     listed words that clean texts use as well, which no voter looks for.
 
@@ -90,31 +96,29 @@ def learn_patterns(labelled: DataFrame, odds: float = 3.5, least: float = 12.0)
     :param least: its likelihood-ratio statistic, at least
     """
     n = {(r["half"], r["toxic"]): r["n"] for r in labelled.groupBy("half", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    counts = labelled.select("text", "toxic", "half").mapInArrow(_tally, "kind int, unit binary, half int, pos long, neg long").groupBy("kind", "unit", "half").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    counts = labelled.select("text", "toxic", "half").mapInArrow(_tally, "kind int, unit string, half int, pos long, neg long").groupBy("kind", "unit", "half").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     per_half = lambda y: F.element_at(F.array(*[F.lit(n.get((h, y), 0)) for h in range(HALVES)]), F.col("half") + 1)
     log_odds = F.log((F.col("pos") + 0.5) / (per_half(1) + 1)) - F.log((F.col("neg") + 0.5) / (per_half(0) + 1))
-    rows, seen = per_half(0) + per_half(1), F.col("pos") + F.col("neg")
-    cells = ((F.col("pos"), seen, per_half(1)), (F.col("neg"), seen, per_half(0)), (per_half(1) - F.col("pos"), rows - seen, per_half(1)), (per_half(0) - F.col("neg"), rows - seen, per_half(0)))
-    ratio = sum((F.when(c > 0, 2 * c * F.log(c * rows / (a * b))).otherwise(0.0) for c, a, b in cells), F.lit(0.0))
+    ratio = likelihood_ratio(F.col("pos"), F.col("neg"), per_half(1), per_half(0))
     listed = frozenset().union(*THEMES.values())
     is_listed, strong = (F.col("kind") == 0) & F.col("unit").isin(list(listed)), (F.col("odds") >= odds) & (F.col("ratio") >= least)
     counts = materialize(counts.withColumns({"odds": log_odds, "ratio": ratio}).where(strong | is_listed), "units")
     common = counts.where(is_listed).groupBy("unit").agg(F.sum("neg").alias("neg"), F.max("odds").alias("odds")).where("neg >= 3 and odds < 1").collect()
-    patterns: dict[tuple[int, bytes], int] = {}
+    patterns: dict[tuple[int, str], int] = {}
     for r in counts.where(strong).select("kind", "unit", "half").collect():
-        key = (r["kind"], bytes(r["unit"]))
+        key = (r["kind"], r["unit"])
         patterns[key] = patterns.get(key, 0) | 1 << (FIRST_LEARNED + KINDS.index(r["kind"]) * HALVES + r["half"])
-    return patterns, frozenset(bytes(r["unit"]) for r in common)
+    return patterns, frozenset(r["unit"] for r in common)
 
 
 class Voters:
-    """Votes on texts: 1 toxic, 0 not, 2 abstains; one byte for each voter."""
+    """Votes on a text's words: 1 toxic, 0 not, 2 abstains; one byte for each voter."""
 
-    def __init__(self, patterns: dict[tuple[int, bytes], int], common: frozenset[bytes]):
+    def __init__(self, patterns: dict[tuple[int, str], int], common: frozenset[str]):
         self.patterns, self.common = patterns, common
-        self.known: dict[bytes, int] = {}
+        self.known: dict[str, int] = {}
 
-    def bits(self, word: bytes) -> int:
+    def bits(self, word: str) -> int:
         out = 0
         for i, words in enumerate(THEMES.values()):
             if word in words and word not in self.common:
@@ -126,13 +130,13 @@ class Voters:
             out |= self.patterns.get(unit, 0)
         return out
 
-    def __call__(self, text: bytes | None) -> bytes:
+    def __call__(self, words: list[str]) -> bytes:
         """A listed word is enough for its list; a learned voter asks for two different words, and one alone is a stray."""
-        known, words = self.known, words_of(text)
+        known = self.known
         if len(known) > FORGET:
             known.clear()
-        hits: dict[bytes, int] = {}
-        votes, before = bytearray(b"\x02" * M), b""
+        hits: dict[str, int] = {}
+        votes, before = bytearray(b"\x02" * M), ""
         for w in words:
             b = known.get(w)
             if b is None:
@@ -292,42 +296,41 @@ def _expectations(patterns: DataFrame) -> Callable[[LabelModel], np.ndarray]:
 
 
 class Features:
-    """Hashed features of texts: each word and word start."""
+    """Hashed features of a text's words: each word and word start."""
 
     def __init__(self):
-        self.known: dict[bytes, tuple[int, ...]] = {}
+        self.known: dict[str, tuple[int, ...]] = {}
 
-    def __call__(self, text: bytes | None) -> np.ndarray:
+    def __call__(self, words: list[str]) -> np.ndarray:
         known, out = self.known, set()
         if len(known) > FORGET:
             known.clear()
-        for w in set(words_of(text)):
+        for w in set(words):
             f = known.get(w)
             if f is None:
-                f = known[w] = tuple(zlib.crc32(u, k) % FEATURES for k, u in units_of(w))
+                f = known[w] = tuple(zlib.crc32(u.encode(), k) % FEATURES for k, u in units_of(w))
             out.update(f)
         return np.fromiter(out, dtype=np.int64, count=len(out))
 
 
-def telling(flat: np.ndarray, lengths: np.ndarray, target: np.ndarray, least: float) -> np.ndarray:
-    """Which features go with the target: a likelihood-ratio statistic of ``least`` or more for presence against class."""
-    n, toxic = len(lengths), target.sum()
-    seen = np.bincount(flat, minlength=FEATURES).astype(float)
-    pos = np.bincount(flat, weights=np.repeat(target, lengths), minlength=FEATURES)
-    cells = np.stack([pos, seen - pos, toxic - pos, n - toxic - (seen - pos)])
-    means = np.stack([seen * toxic, seen * (n - toxic), (n - seen) * toxic, (n - seen) * (n - toxic)]) / max(n, 1)
-    return 2 * (cells * np.log(np.maximum(cells, 1e-12) / np.maximum(means, 1e-12))).sum(axis=0) >= least
+def telling(examples: DataFrame, least: float = 10.0) -> np.ndarray:
+    """Features whose presence goes with the posterior label: a likelihood-ratio statistic of ``least`` or more.
+
+    Counted by aggregation; at most FEATURES numbers go to the driver.
+    """
+    n, toxic = examples.agg(F.count(F.lit(1)), F.coalesce(F.sum("target"), F.lit(0.0))).first()
+    counts = examples.select(F.explode("features").alias("f"), "target").groupBy("f").agg(F.sum("target").alias("pos"), F.sum(1 - F.col("target")).alias("neg"))
+    found = counts.where(likelihood_ratio(F.col("pos"), F.col("neg"), F.lit(toxic), F.lit(n - toxic)) >= least).select("f").collect()
+    return np.array(sorted(r["f"] for r in found), dtype=np.int64)
 
 
-def fit_linear(flat: np.ndarray, lengths: np.ndarray, target: np.ndarray, least: float = 10.0, steps: int = 400, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+def fit_linear(flat: np.ndarray, lengths: np.ndarray, target: np.ndarray, steps: int = 400, decay: float = 1e-4) -> tuple[np.ndarray, float]:
     """Logistic regression from zero on the presence of features, by gradient steps with per-weight scales.
 
     :param flat: features of all rows, one after the other
-    :param least: features whose statistic is below get no weight
     """
-    keep = telling(flat, lengths, target, least)[flat]
-    owner = np.repeat(np.arange(len(lengths)), lengths)[keep]
-    used, f = np.unique(flat[keep], return_inverse=True)
+    owner = np.repeat(np.arange(len(lengths)), lengths)
+    used, f = np.unique(flat, return_inverse=True)
     w, b, g2, gb2 = np.zeros(len(used)), 0.0, np.full(len(used), 1e-8), 1e-8
     for _ in range(steps if len(lengths) else 0):
         z = b + np.bincount(owner, weights=w[f], minlength=len(lengths))
@@ -370,7 +373,7 @@ def score(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "d
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         votes_on = Voters(*voters.value)
         for batch in batches:
-            votes = [votes_on(t) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            votes = [votes_on(words_of(t)) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("held_out"), pa.array(votes, pa.binary())], names=["held_out", "votes"])
 
     voted = docs.select("held_out", "text").mapInArrow(vote, "held_out boolean, votes binary")
@@ -382,25 +385,34 @@ def score(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "d
     def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         votes_on, features = Voters(*voters.value), Features()
         for batch in batches:
-            texts = batch.column("text").cast(pa.binary()).to_pylist()
-            found = [features(t).astype(np.int32) for t in texts]
-            votes = np.frombuffer(b"".join(map(votes_on, texts)), dtype=np.uint8).reshape(-1, M).astype(np.int64)
+            words = [words_of(t) for t in batch.column("text").to_pylist()]
+            found = [features(w).astype(np.int32) for w in words]
+            votes = np.frombuffer(b"".join(map(votes_on, words)), dtype=np.uint8).reshape(-1, M).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), pa.array(model.posterior(votes))], names=["features", "target"])
 
     share = F.pmod(F.xxhash64("id", F.lit(2)), F.lit(1 << 30)) < int(min(1.0, sample / max(n, 1)) * (1 << 30))
-    some = docs.where(~F.col("held_out") & share).select("text").mapInArrow(examples, "features array<int>, target double").limit(2 * sample).toArrow()
-    lists = some["features"].combine_chunks()
-    lists = lists if isinstance(lists, pa.ListArray) else pa.concat_arrays(lists.chunks) if lists.num_chunks else pa.array([], pa.list_(pa.int32()))
-    w, b = fit_linear(lists.flatten().to_numpy().astype(np.int64), np.diff(lists.offsets.to_numpy()).astype(np.int64), some["target"].to_numpy())
+    some = materialize(docs.where(~F.col("held_out") & share).select("text").mapInArrow(examples, "features array<int>, target double"), "examples")
+    used = telling(some)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [x[np.isin(x, used)].astype(np.int32) for x in batch.column("features").to_numpy(zero_copy_only=False)]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), batch.column("target")], names=["features", "target"])
+
+    short = some.mapInArrow(cut, "features array<int>, target double").limit(2 * sample).toArrow()
+    lists = [x for chunk in short["features"].chunks for x in (chunk.flatten().to_numpy(),)]
+    sizes = [np.diff(chunk.offsets.to_numpy()) for chunk in short["features"].chunks]
+    none = np.zeros(0, dtype=np.int64)
+    w, b = fit_linear(np.concatenate([none, *lists]).astype(np.int64), np.concatenate([none, *sizes]).astype(np.int64), short["target"].to_numpy())
     weights = spark.sparkContext.broadcast(w.astype(np.float32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         votes_on, features, w = Voters(*voters.value), Features(), weights.value
         for batch in batches:
-            texts = batch.column("text").cast(pa.binary()).to_pylist()
-            z = np.array([b + float(w[features(t)].sum(dtype=float)) for t in texts])
+            words = [words_of(t) for t in batch.column("text").to_pylist()]
+            z = np.array([b + float(w[features(x)].sum(dtype=float)) for x in words])
             p = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
-            votes = np.frombuffer(b"".join(map(votes_on, texts)), dtype=np.uint8).reshape(-1, M).astype(np.int64)
+            votes = np.frombuffer(b"".join(map(votes_on, words)), dtype=np.uint8).reshape(-1, M).astype(np.int64)
             columns = [batch.column("own"), batch.column("held_out"), pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32)), pa.array(model.posterior(votes), pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "held_out", "score", "predicted", "posterior"])
 

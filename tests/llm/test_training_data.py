@@ -258,20 +258,23 @@ def test_forest_is_the_heaviest():
 
 
 def test_votes():
-    votes = lambda t, patterns=(): dict(zip(toxicity.VOTERS, toxicity.Voters(dict(patterns), frozenset({b"rats"}))(t.encode()), strict=True))
+    votes = lambda t, patterns=(): dict(zip(toxicity.VOTERS, toxicity.Voters(dict(patterns), frozenset({"rats"}))(toxicity.words_of(t)), strict=True))
     assert {k for k, v in votes("You moron!! What scum").items() if v == 1} == {"insults", "disgust", "several", "addressed"}
     assert votes("a m0ron")["disguised"] == 1 and votes("rats")["nothing"] == 0 and votes("")["nothing"] == 0
     bit = 1 << toxicity.VOTERS.index("start_4_1")
-    assert votes("blargo", [((4, b"blar"), bit)])["stray"] == 0 and votes("blargo blarga", [((4, b"blar"), bit)])["start_4_1"] == 1
+    assert votes("blargo", [((4, "blar"), bit)])["stray"] == 0 and votes("blargo blarga", [((4, "blar"), bit)])["start_4_1"] == 1
 
 
-def test_linear_classifier_starts_from_zero_and_learns():
+def test_linear_classifier_starts_from_zero_and_learns(spark):
     rng = np.random.default_rng(6)
     rows = [np.unique(rng.integers(100, 400, 20)) for _ in range(2000)]
     target = (rng.random(2000) < 0.2).astype(float)
     rows = [np.r_[r, 7] if t else r for r, t in zip(rows, target, strict=True)]
-    w, b = toxicity.fit_linear(np.concatenate(rows), np.array([len(r) for r in rows]), target)
-    assert w[7] > 4 and b < -1 and np.abs(np.delete(w, 7)).max() < 1
+    used = toxicity.telling(spark.createDataFrame([(r.tolist(), float(t)) for r, t in zip(rows, target, strict=True)], "features array<int>, target double"))
+    assert 7 in used and len(used) < 10
+    short = [r[np.isin(r, used)] for r in rows]
+    w, b = toxicity.fit_linear(np.concatenate(short), np.array([len(r) for r in short]), target)
+    assert w[7] > 4 and b < -1 and np.abs(np.delete(w, 7)).max() < 2
     none = np.zeros(0, dtype=np.int64)
     assert toxicity.fit_linear(none, none, np.zeros(0))[1] == 0
 

@@ -786,15 +786,17 @@ def polynomial(coefficients, x):
 def apply(f: Callable, *cols: Column | str, **fixed) -> Column:
     """Any of these functions on columns, as a vectorised UDF in Arrow batches; null in, null out.
 
-    Of one column, each different value of a batch is worked out once.
+    Where one argument varies at most, each of its different values in a batch is worked out once.
     """
 
     @F.pandas_udf("double")
     def run(*args: pd.Series) -> pd.Series:
         values = [a.to_numpy(dtype=float, na_value=np.nan) for a in args]
-        if len(values) == 1:
-            few, where = np.unique(values[0], return_inverse=True)
-            out = np.asarray(f(few, **fixed), dtype=float)[where]
+        vary = [i for i, v in enumerate(values) if len(v) and not (v == v[0]).all()]
+        if len(vary) == 1 or len(values) == 1 and len(values[0]):
+            at = vary[0] if vary else 0
+            few, where = np.unique(values[at], return_inverse=True)
+            out = np.asarray(f(*[few if i == at else np.full(len(few), v[0]) for i, v in enumerate(values)], **fixed), dtype=float)[where]
         else:
             out = np.asarray(f(*values, **fixed), dtype=float)
         gone = np.any([np.isnan(v) for v in values], axis=0)

@@ -37,7 +37,8 @@ def per_group(df: DataFrame, by: Sequence[str], order: Sequence[str], run: Calla
     """One kernel call per group over its rows in order.
 
     For recursions that are sequential along one series: a group is one task's work, so its length must fit in
-    memory.  The result has the group's columns first.
+    memory.  The result has the group's columns first.  Groups are dealt over all shuffle partitions: kernels are long
+    on work and short on bytes, so that merging small partitions would run them one after the other.
 
     :param run: gets the group's rows, gives rows without the group's columns
     """
@@ -53,7 +54,8 @@ def per_group(df: DataFrame, by: Sequence[str], order: Sequence[str], run: Calla
         return out
 
     some = df.select(*keys, *[c for c in dict.fromkeys([*order, *cols]) if c not in keys])
-    grouped = some.groupBy(*keys) if keys else some.withColumn("__all", F.lit("all")).groupBy("__all")
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    grouped = some.repartition(tasks, *keys).groupBy(*keys) if keys else some.withColumn("__all", F.lit("all")).groupBy("__all")
     return grouped.applyInPandas(call, full)
 
 

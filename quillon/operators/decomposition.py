@@ -191,9 +191,11 @@ def lyapunov(a: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def discrete_lyapunov(a: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """X with X = A X A' + Q, by doubling."""
+    """X with X = A X A' + Q, by doubling; LinAlgError if A isn't stable."""
     x, b = np.array(q), np.array(a)
     for _ in range(60):
+        if not np.abs(b).max(initial=0.0) < 1e70:
+            raise np.linalg.LinAlgError("the transition has a root on or outside the unit circle")
         step = b @ x @ b.conj().T
         x = x + step
         b = b @ b

@@ -212,6 +212,108 @@ def _bdf(jac):
     return step
 
 
+def solve_many(f: Callable, t0: float, t1: float, y0: np.ndarray, eval_at: Sequence[float], method: str = "rk45", rtol: float = 1e-3, atol: float = 1e-6, max_steps: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
+    """Many problems at once, each with steps of its own: values (problem, time, component) at ``eval_at``, and whether each got to the end.
+
+    Steps end at the wanted times, so that values there have the method's own accuracy.
+
+    :param f: f(t, y, which) for the problems ``which``: t (m,), y (m, n) to slopes (m, n)
+    :param method: rk23, rk45 or radau
+    """
+    y, sign, span = np.array(y0, float), math.copysign(1.0, t1 - t0), abs(t1 - t0)
+    m, n = y.shape
+    stops = (np.asarray(eval_at, float) - t0) * sign
+    out = np.full((m, len(stops), n), np.nan)
+    out[:, stops == 0] = y[:, None]
+    t, live, ok = np.zeros(m), np.arange(m), np.zeros(m, dtype=bool)  # time since the start
+    at = lambda w, s: t0 + sign * s
+    k = f(at(live, t), y, live)
+    size = lambda v, scale: np.sqrt(np.mean((v / (atol + rtol * np.abs(scale))) ** 2, axis=1))
+    d0, d1 = size(y, y), size(k, y)
+    h = np.minimum(span, np.where((d0 > 1e-5) & (d1 > 1e-5), 0.01 * d0 / np.maximum(d1, 1e-300), 1e-6))
+    step = _radau_many if method == "radau" else _explicit_many({"rk23": RK23, "rk45": RK45}[method])
+    for _ in range(max_steps):
+        if not len(live):
+            break
+        ahead = np.where(stops > t[live][:, None] + 1e-13 * span, stops, np.inf).min(axis=1)
+        h_now = np.minimum(h[live], np.minimum(ahead, span) - t[live])
+        new, err, order = step(lambda c, v, w=live: f(at(w, t[w] + c), v, w), y[live], k[live], sign, h_now, rtol, atol)
+        good = np.isfinite(new).all(axis=1) & (err <= 1)
+        w = live[good]
+        if len(w):
+            k[w] = f(at(w, t[w] + h_now[good]), new[good], w)
+            t[w], y[w] = t[w] + h_now[good], new[good]
+            row, col = np.nonzero(np.abs(stops - t[w][:, None]) <= 1e-13 * span)
+            out[w[row], col] = y[w[row]]
+        with np.errstate(all="ignore"):
+            factor = np.where(np.isfinite(err), 0.9 * np.maximum(err, 1e-10) ** (-1 / (order + 1)), 0.3)
+        grown = h_now * np.where(good, np.clip(factor, 0.2, 10.0), np.clip(factor, 0.2, 0.9))
+        h[live] = np.where(good & (h_now < h[live]), np.maximum(h[live], grown), grown)  # a step cut short says little
+        ok[live] |= span - t[live] <= 1e-14 * max(1.0, span)
+        live = live[~ok[live] & (h[live] > 1e-14 * max(1.0, span))]
+    return out, ok
+
+
+def _explicit_many(tableau):
+    c, a, b, e, order = tableau
+
+    def step(f, y, k0, sign, h, rtol, atol):
+        k, hs = [k0], sign * h[:, None]
+        for i in range(1, len(c)):
+            k.append(f(c[i] * h, y + hs * sum(w * v for w, v in zip(a[i], k, strict=True))))
+        new = y + hs * sum(w * v for w, v in zip(b, k, strict=True))
+        err = hs * sum(w * v for w, v in zip(e, k, strict=True))
+        return new, np.sqrt(np.mean((err / (atol + rtol * np.maximum(np.abs(y), np.abs(new)))) ** 2, axis=1)), order
+
+    return step
+
+
+def _radau_many(f, y, k0, sign, h, rtol, atol):
+    m, n = y.shape
+    hs = sign * h
+    move = 1.5e-8 * np.maximum(1.0, np.abs(y))
+    base = f(np.zeros(m), y)
+    jac = np.stack([(f(np.zeros(m), y + move[:, [i]] * np.eye(n)[i]) - base) / move[:, [i]] for i in range(n)], axis=2)
+    inverse = np.linalg.inv(np.eye(3 * n) - hs[:, None, None] * np.einsum("ab,mij->maibj", RADAU_A, jac).reshape(m, 3 * n, 3 * n))
+    z, scale, settled = np.zeros((m, 3, n)), atol + rtol * np.abs(y), np.zeros(m, dtype=bool)
+    for _ in range(12):
+        fz = np.stack([f(c * h, y + z[:, i]) for i, c in enumerate(RADAU_C)], axis=1)
+        d = np.einsum("mij,mj->mi", inverse, (hs[:, None, None] * np.einsum("ab,mbi->mai", RADAU_A, fz) - z).reshape(m, 3 * n)).reshape(m, 3, n)
+        z = np.where(settled[:, None, None], z, z + d)
+        settled |= np.sqrt(np.mean((d / scale[:, None]) ** 2, axis=(1, 2))) < 1e-3
+        if settled.all():
+            break
+    e = np.array([-13 - 7 * S6, -13 + 7 * S6, -1]) / 3
+    err = np.linalg.solve(np.eye(n) * (3.6378342527444957 / hs)[:, None, None] - jac, (k0 + np.einsum("a,mai->mi", e, z) / hs[:, None])[..., None])[..., 0]
+    size = np.sqrt(np.mean((err / (atol + rtol * np.maximum(np.abs(y), np.abs(y + z[:, 2])))) ** 2, axis=1))
+    return y + z[:, 2], np.where(settled, size, np.inf), 3
+
+
+def trajectories_many(params: DataFrame, rhs: Callable[[pd.DataFrame], Callable], y0: Callable[[pd.DataFrame], np.ndarray], t0: float, t1: float, eval_at: Sequence[float], key: str, **how) -> DataFrame:
+    """One trajectory per row of parameters, a batch of rows at a time: key, t, component, y, status.
+
+    :param rhs: of a batch, f(t, y, which) as in ``solve_many``
+    :param y0: of a batch, first values (row, component)
+    """
+
+    def run(batches):
+        for pdf in batches:
+            pdf = pdf.reset_index(drop=True)
+            if not len(pdf):
+                continue
+            y, ok = solve_many(rhs(pdf), t0, t1, y0(pdf), eval_at, **how)
+            m, times, n = y.shape
+            yield pd.DataFrame(
+                {
+                    key: np.repeat(pdf[key].to_numpy(), times * n), "t": np.tile(np.repeat(np.asarray(eval_at, float), n), m), "component": np.tile(np.arange(n, dtype=np.int32), m * times),
+                    "y": y.ravel(), "status": np.repeat(np.where(ok, "success", "failed"), times * n),
+                }
+            )
+
+    kind = params.schema[key].dataType.simpleString()
+    return params.mapInPandas(run, f"`{key}` {kind}, t double, component int, y double, status string")
+
+
 def trajectories(params: DataFrame, rhs: Callable[[pd.Series], Callable], y0: Callable[[pd.Series], Sequence[float]], t0: float, t1: float, eval_at: Sequence[float], key: str, **how) -> DataFrame:
     """One trajectory per row of parameters: key, t, component, y, status."""
 

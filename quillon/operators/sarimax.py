@@ -15,7 +15,7 @@ from . import optimise as O
 from .common import per_group
 from .correlation import from_pacf
 from .regression import criteria, lstsq
-from .statespace import Filtered, Model, kalman_filter, kalman_smooth
+from .statespace import Filtered, Model, kalman_filter, log_likelihood, kalman_smooth
 from .statespace import simulate as simulate_states
 
 
@@ -162,8 +162,10 @@ def build(spec: Spec, params: np.ndarray, n: int, exog: np.ndarray | None) -> tu
     cov, diffuse = np.zeros((size, size)), np.zeros(size)
     from .decomposition import discrete_lyapunov
 
-    block = discrete_lyapunov(t[arma, arma], r[arma] @ q @ r[arma].T)
-    cov[arma, arma] = block if np.isfinite(block).all() else np.eye(k) * 1e6
+    try:
+        cov[arma, arma] = discrete_lyapunov(t[arma, arma], r[arma] @ q @ r[arma].T)
+    except np.linalg.LinAlgError:  # no stationary start
+        cov[arma, arma] = np.eye(k) * 1e6
     diffuse[:nd] = 1.0
     shift = np.zeros(n) if exog is None else exog @ v["exog"]
     if len(v["trend"]):
@@ -249,7 +251,7 @@ def fit(y: np.ndarray, spec: Spec, exog: np.ndarray | None = None, covariance: b
     def cost(u):
         try:
             m, shift = build(spec, full(u), len(y), exog)
-            v = float(kalman_filter(m, y - shift).total)
+            v = log_likelihood(m, y - shift)
             return -v / len(y) if math.isfinite(v) else 1e10
         except (np.linalg.LinAlgError, FloatingPointError, ValueError):
             return 1e10
@@ -260,7 +262,7 @@ def fit(y: np.ndarray, spec: Spec, exog: np.ndarray | None = None, covariance: b
         r = O.nelder_mead(cost, u0 * 0 + np.r_[np.zeros(len(u0) - 1), size], 0.5)
     params, cov = full(r.x), np.zeros((0, 0))
     if covariance:
-        step = lambda p: float(kalman_filter(*(lambda m, s: (m, y - s))(*build(spec, p, len(y), exog))).total)
+        step = lambda p: log_likelihood(*(lambda m, s: (m, y - s))(*build(spec, p, len(y), exog)))
         try:
             h = O.hessian(step, params)
             cov = np.full((len(params), len(params)), np.nan)

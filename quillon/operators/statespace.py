@@ -157,6 +157,54 @@ def kalman_filter(m: Model, y: np.ndarray, method: str = "univariate", burn: int
     return out
 
 
+def log_likelihood(m: Model, y: np.ndarray) -> float:
+    """Total log likelihood of one series, with exact diffuse start; nothing is kept.
+
+    Once the predicted covariance no longer changes (and nothing is missing any more), only means are carried on.
+    """
+    z, h, t = m.design[0], float(m.obs_cov[0, 0]), m.transition
+    v0 = np.asarray(y, float).ravel() - m.obs_intercept[0]
+    c, rqr, tt = m.state_intercept, m.selection @ m.state_cov @ m.selection.T, m.transition.T
+    a, p, inf = m.mean.astype(float), m.cov.astype(float), np.diag(m.diffuse).astype(float)
+    diffuse, total, seen, before = bool(inf.any()), 0.0, ~np.isnan(v0), np.full_like(p, np.inf)
+    last_gap, moves = (np.flatnonzero(~seen)[-1] if not seen.all() else -1), bool(c.any())
+    for i, x in enumerate(v0):
+        if seen[i]:
+            v, mst = x - z @ a, p @ z
+            f = z @ mst + h
+            if diffuse:
+                minf = inf @ z
+                finf = z @ minf
+            if diffuse and finf > 1e-10:
+                k0 = minf / finf
+                a = a + k0 * v
+                p = p + np.outer(k0, k0) * f - np.outer(mst, k0) - np.outer(k0, mst)
+                inf = inf - np.outer(k0, minf)
+                total -= 0.5 * (LOG2PI + math.log(finf))
+            elif f > 1e-19:
+                g = mst / f
+                a = a + g * v
+                p = p - g[:, None] * mst
+                total -= 0.5 * (LOG2PI + math.log(f) + v * v / f)
+        a = t @ a + c if moves else t @ a
+        new = t @ p @ tt + rqr
+        if diffuse:
+            inf = t @ inf @ tt
+            if np.abs(inf).max() < 1e-12:
+                diffuse = False
+        elif i > last_gap and seen[i] and np.abs(new - before).max() <= 1e-15 * (1.0 + np.abs(new).max()):
+            mst = new @ z
+            f = z @ mst + h
+            gain, rest = t @ (mst / f), v0[i + 1 :]
+            for x in rest.tolist():
+                v = x - z @ a
+                a = t @ a + c + gain * v
+                total -= 0.5 * (LOG2PI + math.log(f) + v * v / f)
+            return total
+        p = before = new
+    return total
+
+
 def kalman_smooth(m: Model, y: np.ndarray, f: Filtered | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Smoothed states and covariances, by a fixed-interval backward pass over filtered moments (states diffuse at the start need a finite stand-in)."""
     if m.diffuse.any():

@@ -321,12 +321,16 @@ def particle_loglik(spark, d):
     return particle.filter_series(z, "z", lambda: particle.linear_gauss(0.5, 0.8, 0.6), ["event_type"], n=300)
 
 
-@query("ode_decay")
+@query("ode_decay", "SELECT s_suppkey, t, 0 AS component, round(1 / (1 + 9 * exp(-(s_suppkey % 5 + 1) * t)), 6) AS y, 'success' AS status, m AS method FROM supplier, (VALUES (0.5::DOUBLE), (1.0::DOUBLE), (2.0::DOUBLE)) AS times(t), (VALUES ('rk45'), ('radau')) AS methods(m)", 6)
 def ode_decay(spark, d):
     """Logistic growth from each supplier's key as a parameter, by two methods."""
     p = table(spark, d, "supplier").select("s_suppkey", (F.col("s_suppkey") % 5 + 1).cast("double").alias("r"))
-    rhs = lambda row: lambda t, y: row["r"] * y * (1 - y)
-    made = [ode.trajectories(p, rhs, lambda row: [0.1], 0.0, 2.0, [0.5, 1.0, 2.0], "s_suppkey", method=m, rtol=1e-8, atol=1e-10).withColumn("method", F.lit(m)) for m in ("rk45", "radau")]
+
+    def rhs(pdf):
+        r = pdf["r"].to_numpy()[:, None]
+        return lambda t, y, which: r[which] * y * (1 - y)
+
+    made = [ode.trajectories_many(p, rhs, lambda pdf: np.full((len(pdf), 1), 0.1), 0.0, 2.0, [0.5, 1.0, 2.0], "s_suppkey", method=m, rtol=1e-10, atol=1e-12).withColumn("method", F.lit(m)) for m in ("rk45", "radau")]
     return made[0].unionByName(made[1])
 
 

@@ -338,3 +338,31 @@ def test_more_particle_tools():
     assert math.isfinite(particle.particle_filter(particle.leveraged_volatility()(r), r, 200).total)
     mv = particle.multivariate_volatility(np.zeros(2), np.full(2, 0.9), np.eye(2) * 0.1, np.array([[1, 0.3], [0.3, 1]]))
     assert math.isfinite(particle.particle_filter(mv, list(RNG.standard_normal((20, 2))), 200).total)
+
+
+@pytest.mark.parametrize("method", ["rk23", "rk45", "radau"])
+def test_many_problems_at_once(method):
+    r = np.arange(40) % 5 + 1.0
+    y, ok = ode.solve_many(lambda t, y, w: r[w][:, None] * y * (1 - y), 0.0, 2.0, np.full((40, 1), 0.1), [0.0, 0.5, 2.0], method, 1e-7, 1e-9)
+    assert ok.all() and np.abs(y[:, :, 0] - 1 / (1 + 9 * np.exp(-r[:, None] * np.array([0.0, 0.5, 2.0])))).max() < 1e-6
+    back, _ = ode.solve_many(lambda t, y, w: np.stack([y[:, 1], -y[:, 0]], 1), 0.0, -3.0, np.array([[1.0, 0.0]]), [-1.0, -3.0], method, 1e-7, 1e-9)
+    assert np.allclose(back[0, :, 0], np.cos([-1.0, -3.0]), atol=1e-4)
+
+
+def test_stiff_problem():
+    y, ok = ode.solve_many(lambda t, y, w: np.stack([y[:, 1], 1000 * (1 - y[:, 0] ** 2) * y[:, 1] - y[:, 0]], 1), 0.0, 500.0, np.array([[2.0, 0.0]]), [500.0], "radau", 1e-6, 1e-8)
+    assert ok.all() and y[0, 0, 0] == pytest.approx(1.5968, abs=1e-3)
+
+
+def test_likelihood_without_states_is_the_filter_s():
+    rng = np.random.default_rng(1)
+    for spec, n in ((sarimax.Spec((1, 0, 1), trend="c"), 60), (sarimax.Spec((2, 1, 1), (1, 0, 1, 7)), 80)):
+        y = np.cumsum(rng.standard_normal(n))
+        y[[5, 17]] = np.nan
+        m, shift = sarimax.build(spec, sarimax.start_params(spec, y, None), n, None)
+        assert statespace.log_likelihood(m, y - shift) == pytest.approx(float(statespace.kalman_filter(m, y - shift).total), rel=1e-10)
+
+
+def test_unstable_transitions_have_no_stationary_start():
+    with pytest.raises(np.linalg.LinAlgError):
+        M.discrete_lyapunov(np.array([[1.5]]), np.eye(1))

@@ -35,8 +35,22 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+#: Everything that this process has written to the shared folder, in order.
+WRITTEN: list[str] = []
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    WRITTEN.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return WRITTEN[-1]
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete written tables whose readers are done."""
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    gone = set(paths)
+    WRITTEN[:] = [p for p in WRITTEN if p not in gone]
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, read_table, shared_path
+from .common import join_split, materialize, read_table, shared_path
 
 #: Fixed values of the PNG format: signature, and an IHDR chunk's place in the file.
 PNG_SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -149,7 +149,7 @@ def write_payloads(docs: DataFrame, folder: str, id_col: str = "doc_id", text_co
 
 
 def _range_reads(folder: str, use: Callable[[Callable[[int, int], bytes], int, int], tuple], names: list[str], types: list[pa.DataType]) -> Callable:
-    """Runs ``use(read, offset, length)`` for each address; ``read(offset, length)`` is a range read of its shard."""
+    """Adds what ``use(read, offset, length)`` gives to each address; ``read(offset, length)`` is a range read of its shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, path = filesystem(folder)
@@ -164,7 +164,7 @@ def _range_reads(folder: str, use: Callable[[Callable[[int, int], bytes], int, i
                 rows.append(use(lambda at, n, file=file: file.read_at(n, at), offset, length))
             columns = list(zip(*rows, strict=True)) or [[]] * len(types)
             arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("digest"), *arrays], names=["digest", *names])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=[*batch.schema.names, *names])
         if file is not None:
             file.close()
 
@@ -189,45 +189,46 @@ def feature(payload: bytes) -> str:
 
 def _features(read, offset, length):
     data = read(offset, length)
-    meta, payload = decode_header(data[:HEADER_BYTES]), decode_png(data)
-    return (
-        meta["width"], meta["height"], meta["bit_depth"], len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]),
-        len(data), hashlib.sha256(data).hexdigest(), feature(payload),
-    )
+    payload = decode_png(data)
+    return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature(payload)
 
 
 def catalogue(rows: DataFrame) -> DataFrame:
-    """One address for each digest, dealt out by shard and place so that a task reads its shards from front to back."""
-    first = rows.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("a"))
-    return first.select("digest", "a.shard", "a.offset", "a.length").repartitionByRange("shard", "offset").sortWithinPartitions("shard", "offset")
+    """One address for each digest, and how many rows have it, dealt out by shard and place so that a task reads its shards from front to back."""
+    first = rows.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("a"), F.count(F.lit(1)).alias("copies"))
+    return first.select("digest", "copies", "a.shard", "a.offset", "a.length").repartitionByRange("shard", "offset").sortWithinPartitions("shard", "offset")
+
+
+def _with(addresses: DataFrame, reads: Callable, names: list[str], types: list[str]) -> DataFrame:
+    return addresses.mapInArrow(reads, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in addresses.schema) + "".join(f", {n} {t}" for n, t in zip(names, types, strict=True)))
 
 
 def read_headers(addresses: DataFrame, folder: str) -> DataFrame:
-    """Metadata columns of each address, from its member's first bytes alone: digest, width, height, bit_depth."""
-    reads = _range_reads(folder, _headers, ["width", "height", "bit_depth"], [pa.int32(), pa.int32(), pa.int32()])
-    return addresses.mapInArrow(reads, "digest string, width int, height int, bit_depth int")
+    """The addresses with metadata columns, from their members' first bytes alone: width, height, bit_depth."""
+    names = ["width", "height", "bit_depth"]
+    return _with(addresses, _range_reads(folder, _headers, names, [pa.int32()] * 3), names, ["int"] * 3)
 
 
 def read_members(addresses: DataFrame, folder: str) -> DataFrame:
-    """Metadata, checks and features of each address from its whole member."""
-    names = ["width", "height", "bit_depth", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    types = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-    out = "digest string, width int, height int, bit_depth int, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return addresses.mapInArrow(_range_reads(folder, _features, names, types), out)
+    """The addresses with checks and features of their whole members."""
+    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    return _with(addresses, _range_reads(folder, _features, names, types), names, ["long", "string", "long", "long", "string", "string"])
 
 
 def media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Store all texts and read them back: one row per row of ``docs``.
 
-    Null texts count as empty; equal texts share one digest and so all values; repeated rows and null ids
-    are rows like others; an empty table gives none.  Other columns are not read.
+    The metadata columns come from range reads of the headers, the checks and features from the whole members.  Null
+    texts count as empty; equal texts share one digest and so all values; repeated rows and null ids are rows like
+    others; texts of any length are stored whole; an empty table gives no rows.  Other columns are not read, whatever
+    their names.
     """
     folder = shared_path(docs.sparkSession, "media")
     rows = write_payloads(docs, folder, id_col, text_col)
-    facts = materialize(read_members(catalogue(rows), folder), "media-facts")
-    return rows.select(id_col, "n_bytes", "digest").join(facts, "digest").select(
-        id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height"
-    )
+    facts = materialize(read_members(read_headers(catalogue(rows), folder), folder).drop("shard", "offset", "length"), "media-facts")
+    out = join_split(rows.select(id_col, "n_bytes", "digest"), facts, "digest", "copies")
+    return out.select(id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "bit_depth")
 
 
 def op3_media(spark, sf_dir: str) -> DataFrame:

@@ -325,12 +325,12 @@ def test_topk(spark):
     rng = np.random.default_rng(3)
     x = rng.standard_normal((700, 6)).astype(np.float32)
     x[100:300] = x[5]  # many copies
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [1.0, None]), (902, [float("nan")] * 6), (903, []), (904, [1.0] * 9), (None, [1.0] * 6)]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [1.0, None]), (902, [float("nan")] * 6), (903, []), (904, [1.0] * 9), (None, [1.0] * 6), (905, [float("inf")] * 6), (5, [0.5] * 6)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("id", F.lit(0)).withColumn("v", F.lit(0))
     out = covertree.top_k(df, df.where("vec_id % 20 = 0"), 20, cell=150).toPandas()
-    wide = {i: np.pad(np.floor(64.0 * np.asarray(v, float)), (0, 9 - len(v))) for i, v in rows if i is not None and v is not None and None not in v and not np.isnan(v).any()}
-    for q in [i for i in wide if i % 20 == 0]:
-        want = sorted(((-int(wide[q] @ w), i) for i, w in wide.items() if i != q))[:20]
+    wide = [(i, np.pad(np.floor(64.0 * np.asarray(v, float)), (0, 9 - len(v)))) for i, v in rows if i is not None and v is not None and None not in v and np.isfinite(v).all()]
+    for q, x in [(i, w) for i, w in wide if i % 20 == 0]:
+        want = sorted(((-int(x @ w), i) for i, w in wide if i != q))[:20]
         got = out[out["query_id"] == q].sort_values("rank")
         assert list(zip(-got["score"], got["vec_id"], strict=True)) == want and list(got["rank"]) == list(range(1, 21))
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
@@ -339,6 +339,28 @@ def test_topk(spark):
     assert covertree.top_k(few, few.where("vec_id = 0"), 20).count() == 4
 
 
+@pytest.mark.parametrize("width", [2, 8, 64])
+def test_cover_tree_holds_its_promises(width):
+    rng = np.random.default_rng(7)
+    x = np.floor(64 * np.r_[rng.standard_normal((1500, width)), 0.1 * rng.standard_normal((300, width)) + 3, np.zeros((200, width))])
+    seen = []
+
+    def walk(node):
+        if node.rows is not None:
+            seen.extend(node.rows.tolist())
+            return node.rows
+        rows = [walk(c) for c in node.children]
+        reach = node.radius / covertree.EXPANSION
+        for c, r in zip(node.children, rows, strict=True):
+            assert np.sqrt(((x[r] - c.centre) ** 2).sum(axis=1)).max() <= c.radius + 1e-9 and c.radius <= reach + 1e-9
+        gaps = np.sqrt(((node.centres[:, None] - node.centres[None]) ** 2).sum(axis=2)) + np.where(np.eye(len(node.centres)) > 0, np.inf, 0.0)
+        assert len(node.children) > 1 and gaps.min() > reach - 1e-6
+        return np.concatenate(rows)
+
+    walk(covertree.cover_tree(x, 20))
+    assert sorted(seen) == list(range(len(x)))
+
+
 # --- tokens ---
 
 

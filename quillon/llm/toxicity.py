@@ -47,7 +47,7 @@ SEVERAL, DISGUISED, ADDRESSED, NOTHING, STRAY = range(len(THEMES), len(THEMES) +
 LISTED = (1 << len(THEMES)) - 1
 #: Places of the classifier's hashed features.
 FEATURES = 1 << 18
-FORGET = 300_000
+FORGET = 150_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -69,10 +69,10 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([*columns, pa.array([seen[k] if k[3] else 0 for k in keys], pa.int64()), pa.array([0 if k[3] else seen[k] for k in keys], pa.int64())], names=["kind", "unit", "half", "pos", "neg"])
 
     for batch in batches:
-        for text, toxic, half in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+        for text, toxic, half in zip((t.as_py() for t in batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             units = {u for w in set(words_of(text)) for u in units_of(w)}
             seen.update((k, u, half, toxic) for k, u in units)
-            if len(seen) > 500_000:
+            if len(seen) > 200_000:
                 yield out()
                 seen.clear()
     yield out()
@@ -115,19 +115,20 @@ class Voters:
     """Votes on a text's words: 1 toxic, 0 not, 2 abstains; one byte for each voter."""
 
     def __init__(self, patterns: dict[tuple[int, str], int], common: frozenset[str]):
-        self.patterns, self.common = patterns, common
         self.known: dict[str, int] = {}
+        self.listed = {w: sum(1 << i for i, words in enumerate(THEMES.values()) if w in words) for w in frozenset().union(*THEMES.values()) - common}
+        kinds = {k: {u: b for (kind, u), b in patterns.items() if kind == k} for k in KINDS}
+        self.whole, self.starts = kinds.pop(0), [(k, units) for k, units in kinds.items() if units]
 
     def bits(self, word: str) -> int:
-        out = 0
-        for i, words in enumerate(THEMES.values()):
-            if word in words and word not in self.common:
-                out |= 1 << i
-        plain = word.translate(DISGUISES)
-        if plain != word and any(plain in words for words in THEMES.values()) and plain not in self.common:
-            out |= 1 << DISGUISED
-        for unit in units_of(word):
-            out |= self.patterns.get(unit, 0)
+        out = self.listed.get(word, 0) | self.whole.get(word, 0)
+        if not word.isalpha():
+            plain = word.translate(DISGUISES)
+            if plain != word and plain in self.listed:
+                out |= 1 << DISGUISED
+        for k, units in self.starts:
+            if len(word) > k:
+                out |= units.get(word[:k], 0)
         return out
 
     def __call__(self, words: list[str]) -> bytes:
@@ -296,10 +297,11 @@ def _expectations(patterns: DataFrame) -> Callable[[LabelModel], np.ndarray]:
 
 
 class Features:
-    """Hashed features of a text's words: each word and word start."""
+    """Hashed features of a text's words, each word and word start; of all, or of those marked in ``wanted`` alone."""
 
-    def __init__(self):
+    def __init__(self, wanted: list[bool] | None = None):
         self.known: dict[str, tuple[int, ...]] = {}
+        self.wanted = wanted
 
     def __call__(self, words: list[str]) -> np.ndarray:
         known, out = self.known, set()
@@ -308,8 +310,10 @@ class Features:
         for w in set(words):
             f = known.get(w)
             if f is None:
-                f = known[w] = tuple(zlib.crc32(u.encode(), k) % FEATURES for k, u in units_of(w))
-            out.update(f)
+                f = tuple(zlib.crc32(u.encode(), k) % FEATURES for k, u in units_of(w))
+                f = known[w] = f if self.wanted is None else tuple(i for i in f if self.wanted[i])
+            if f:
+                out.update(f)
         return np.fromiter(out, dtype=np.int64, count=len(out))
 
 
@@ -373,7 +377,7 @@ def score(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "d
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         votes_on = Voters(*voters.value)
         for batch in batches:
-            votes = [votes_on(words_of(t)) for t in batch.column("text").to_pylist()]
+            votes = [votes_on(words_of(t.as_py())) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("held_out"), pa.array(votes, pa.binary())], names=["held_out", "votes"])
 
     voted = docs.select("held_out", "text").mapInArrow(vote, "held_out boolean, votes binary")
@@ -385,9 +389,12 @@ def score(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "d
     def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         votes_on, features = Voters(*voters.value), Features()
         for batch in batches:
-            words = [words_of(t) for t in batch.column("text").to_pylist()]
-            found = [features(w).astype(np.int32) for w in words]
-            votes = np.frombuffer(b"".join(map(votes_on, words)), dtype=np.uint8).reshape(-1, M).astype(np.int64)
+            found, votes = [], []
+            for text in batch.column("text"):  # one text's words at a time
+                words = words_of(text.as_py())
+                found.append(features(words).astype(np.int32))
+                votes.append(votes_on(words))
+            votes = np.frombuffer(b"".join(votes), dtype=np.uint8).reshape(-1, M).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), pa.array(model.posterior(votes))], names=["features", "target"])
 
     share = F.pmod(F.xxhash64("id", F.lit(2)), F.lit(1 << 30)) < int(min(1.0, sample / max(n, 1)) * (1 << 30))
@@ -407,12 +414,16 @@ def score(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "d
     weights = spark.sparkContext.broadcast(w.astype(np.float32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        votes_on, features, w = Voters(*voters.value), Features(), weights.value
+        w = weights.value
+        votes_on, features = Voters(*voters.value), Features((w != 0).tolist())
         for batch in batches:
-            words = [words_of(t) for t in batch.column("text").to_pylist()]
-            z = np.array([b + float(w[features(x)].sum(dtype=float)) for x in words])
-            p = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
-            votes = np.frombuffer(b"".join(map(votes_on, words)), dtype=np.uint8).reshape(-1, M).astype(np.int64)
+            z, votes = [], []
+            for text in batch.column("text"):
+                words = words_of(text.as_py())
+                z.append(b + float(w[features(words)].sum(dtype=float)))
+                votes.append(votes_on(words))
+            p = 1 / (1 + np.exp(-np.clip(np.array(z, dtype=float), -50, 50)))
+            votes = np.frombuffer(b"".join(votes), dtype=np.uint8).reshape(-1, M).astype(np.int64)
             columns = [batch.column("own"), batch.column("held_out"), pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32)), pa.array(model.posterior(votes), pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "held_out", "score", "predicted", "posterior"])
 

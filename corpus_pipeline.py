@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import fst, langid, lshforest, mixing, toxicity
-from quillon.llm.common import fresh, materialize, word_count
+from quillon.llm.common import WRITTEN, discard, fresh, materialize, word_count
 
 
 def _without(docs: DataFrame, verdicts: DataFrame, key: str, share: bool = False) -> DataFrame:
@@ -31,7 +31,10 @@ def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose text is in no language that the corpus declares, or has no letters at all."""
+    """Drops documents whose text is in no language that the corpus declares, or has no letters at all, so null and empty ones.
+
+    Repeated rows go or stay together; rows with null or repeated ids are told apart by their texts.  Whole texts count.
+    """
     keyed, key = _keyed(docs)
     model = langid.train(docs)
     found = langid.identify(keyed, model, key, F.col("text"), F.col("lang"), F.col("source"), F.lit(None).cast("string"))
@@ -39,7 +42,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the classifier holds toxic."""
+    """Drops documents that the classifier holds toxic; null and empty texts stay.  Rows are told apart as in the stage before."""
     keyed, key = _keyed(docs)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     scored = toxicity.score(keyed, labels, toxicity.held_out_fifth(), own_col=key)
@@ -67,12 +70,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The training mix in order: a document comes once per pass that takes it."""
+    """The training mix in order: a document comes once per pass that takes it; ties in position go by id.
+
+    Documents without words have no tokens to take; a null source is a source of its own.
+    """
     return mixing.mix(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each row."""
+    """Token ids of each row: doc_id, ids, n_pieces, round_trip; null and empty texts have none."""
     with open(fst.VOCABULARY, "rb") as f:
         model = f.read()
     return fst.encode(docs, model)
@@ -91,8 +97,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written as Parquet and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``, each written as Parquet and read again; what a stage wrote on the way goes when it is done.
+
+    Every stage takes nulls in any column, empty and very long texts, repeated rows and ties (its operator says what each
+    gives), and an empty table, which gives an empty one.
+    """
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES:
+        before = set(WRITTEN)
         docs = materialize(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        new = [p for p in WRITTEN if p not in before]
+        discard(spark, last + new[:-1])
+        last = new[-1:]
     return docs

@@ -195,9 +195,10 @@ def dct2_full(spark, d):
     return fourier.dct_rows(table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v")), "vec_id", "v")
 
 
-@query("fft_full")
+@query("fft_full", f"WITH {DAILY}, n AS (SELECT *, count(*) OVER (PARTITION BY event_type) AS n FROM d), k AS (SELECT event_type, t::INT AS k FROM d), s AS (SELECT event_type, k, sum(y * cos(2 * pi() * k * t / n)) AS re, sum(-y * sin(2 * pi() * k * t / n)) AS im FROM n JOIN k USING (event_type) GROUP BY 1, 2) SELECT event_type, k, round(re, 4) + 0.0 AS re, round(im, 4) + 0.0 AS im, round(re * re + im * im, 0) AS power FROM s")
 def fft_full(spark, d):
-    return fourier.transform(daily(spark, d), "y", "fft", ["event_type"])
+    out = fourier.transform(daily(spark, d), "y", "fft", ["event_type"])
+    return out.withColumns({"re": F.round("re", 4) + 0.0, "im": F.round("im", 4) + 0.0, "power": F.round("power", 0)})
 
 
 @query("hartley_daily", f"WITH {DAILY}, k AS (SELECT unnest(range(0, 30))::INT AS k) SELECT event_type, k, round(sum(y * (cos(2 * pi() * k * t / 30) + sin(2 * pi() * k * t / 30))), 4) AS re FROM d, k GROUP BY 1, 2", 4)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import kernels, references, statistics  # noqa: F401
+from . import kernels, recomposed, references, statistics  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

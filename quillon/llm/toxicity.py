@@ -5,13 +5,12 @@ learned from disjoint halves of the labelled rows, one voter for each kind of pa
 model explains the votes by a hidden class: each voter has an accuracy, and voters that go together beyond the class
 are tied by correlation parameters (a forest of pairs, found from the votes), so that they don't count twice.  It is
 fitted by expectation maximisation over the votes of all rows that may be learned from.  A linear classifier over all
-words and word starts, hashed, is then trained from zero on the posterior labels of a bounded sample, and scores
+words and word starts is then trained from zero on the posterior labels of a bounded sample, and scores
 every text.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -45,9 +44,7 @@ VOTERS = (*THEMES, "several", "disguised", "addressed", "nothing", "stray", *(f"
 M, FIRST_LEARNED = len(VOTERS), len(THEMES) + 5
 SEVERAL, DISGUISED, ADDRESSED, NOTHING, STRAY = range(len(THEMES), len(THEMES) + 5)
 LISTED = (1 << len(THEMES)) - 1
-#: Places of the classifier's hashed features.
-FEATURES = 1 << 18
-FORGET = 150_000
+FORGET = 200_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -131,22 +128,21 @@ class Voters:
                 out |= units.get(word[:k], 0)
         return out
 
-    def __call__(self, words: list[str]) -> bytes:
+    def __call__(self, words: list[str], distinct: set[str]) -> bytes:
         """A listed word is enough for its list; a learned voter asks for two different words, and one alone is a stray."""
         known = self.known
         if len(known) > FORGET:
             known.clear()
         hits: dict[str, int] = {}
-        votes, before = bytearray(b"\x02" * M), ""
-        for w in words:
+        for w in distinct:
             b = known.get(w)
             if b is None:
                 b = known[w] = self.bits(w)
             if b:
                 hits[w] = b
-                if b & LISTED and before in YOU:
-                    votes[ADDRESSED] = 1
-            before = w
+        votes = bytearray(b"\x02" * M)
+        if any(b & LISTED for b in hits.values()) and any(w in YOU and hits.get(after, 0) & LISTED for w, after in zip(words, words[1:], strict=False)):
+            votes[ADDRESSED] = 1
         once = twice = 0
         for b in hits.values():
             twice |= once & b
@@ -296,57 +292,61 @@ def _expectations(patterns: DataFrame) -> Callable[[LabelModel], np.ndarray]:
     return expect
 
 
-class Features:
-    """Hashed features of a text's words, each word and word start; of all, or of those marked in ``wanted`` alone."""
+def features_of(distinct: set[str]) -> list[str]:
+    """A text's features: each word and word start, with its kind before it."""
+    return list({f"{k}{u}" for w in distinct for k, u in units_of(w)})
 
-    def __init__(self, wanted: list[bool] | None = None):
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.wanted = wanted
 
-    def __call__(self, words: list[str]) -> np.ndarray:
-        known, out = self.known, set()
+class Linear:
+    """The linear classifier: the sum of its features' weights in a text, each once, and a constant."""
+
+    def __init__(self, features: list[str], weights: np.ndarray, constant: float):
+        self.weights, self.constant, self.known = weights.tolist(), constant, {}
+        self.kinds = [(k, found) for k in KINDS if (found := {f[1:]: i for i, f in enumerate(features) if f[0] == str(k)})]
+
+    def places(self, word: str) -> tuple[int, ...]:
+        out = [found.get(word[:k] if k else word, -1) for k, found in self.kinds if len(word) > k]
+        return tuple(i for i in out if i >= 0)
+
+    def __call__(self, distinct: set[str]) -> float:
+        known, seen = self.known, set()
         if len(known) > FORGET:
             known.clear()
-        for w in set(words):
+        for w in distinct:
             f = known.get(w)
             if f is None:
-                f = tuple(zlib.crc32(u.encode(), k) % FEATURES for k, u in units_of(w))
-                f = known[w] = f if self.wanted is None else tuple(i for i in f if self.wanted[i])
+                f = known[w] = self.places(w)
             if f:
-                out.update(f)
-        return np.fromiter(out, dtype=np.int64, count=len(out))
+                seen.update(f)
+        return self.constant + sum(self.weights[i] for i in sorted(seen))
 
 
-def telling(examples: DataFrame, least: float = 10.0) -> np.ndarray:
+def telling(examples: DataFrame, least: float = 10.0) -> list[str]:
     """Features whose presence goes with the posterior label: a likelihood-ratio statistic of ``least`` or more.
 
-    Counted by aggregation; at most FEATURES numbers go to the driver.
+    Counted by aggregation; the few that pass go to the driver, their number is bounded by that of the examples.
     """
     n, toxic = examples.agg(F.count(F.lit(1)), F.coalesce(F.sum("target"), F.lit(0.0))).first()
     counts = examples.select(F.explode("features").alias("f"), "target").groupBy("f").agg(F.sum("target").alias("pos"), F.sum(1 - F.col("target")).alias("neg"))
-    found = counts.where(likelihood_ratio(F.col("pos"), F.col("neg"), F.lit(toxic), F.lit(n - toxic)) >= least).select("f").collect()
-    return np.array(sorted(r["f"] for r in found), dtype=np.int64)
+    return sorted(r["f"] for r in counts.where(likelihood_ratio(F.col("pos"), F.col("neg"), F.lit(toxic), F.lit(n - toxic)) >= least).select("f").collect())
 
 
-def fit_linear(flat: np.ndarray, lengths: np.ndarray, target: np.ndarray, steps: int = 400, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+def fit_linear(flat: np.ndarray, lengths: np.ndarray, target: np.ndarray, size: int, steps: int = 400, decay: float = 1e-4) -> tuple[np.ndarray, float]:
     """Logistic regression from zero on the presence of features, by gradient steps with per-weight scales.
 
-    :param flat: features of all rows, one after the other
+    :param flat: features of all rows, one after the other, as numbers below ``size``
     """
     owner = np.repeat(np.arange(len(lengths)), lengths)
-    used, f = np.unique(flat, return_inverse=True)
-    w, b, g2, gb2 = np.zeros(len(used)), 0.0, np.full(len(used), 1e-8), 1e-8
+    w, b, g2, gb2 = np.zeros(size), 0.0, np.full(size, 1e-8), 1e-8
     for _ in range(steps if len(lengths) else 0):
-        z = b + np.bincount(owner, weights=w[f], minlength=len(lengths))
+        z = b + np.bincount(owner, weights=w[flat], minlength=len(lengths))
         d = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - target) / len(lengths)
-        g = np.bincount(f, weights=d[owner], minlength=len(used)) + decay * w
+        g = np.bincount(flat, weights=d[owner], minlength=size) + decay * w
         g2 += g * g
         gb2 += d.sum() ** 2
         w -= 0.3 * g / np.sqrt(g2)
         b -= 0.3 * d.sum() / np.sqrt(gb2)
-    out = np.zeros(FEATURES)
-    out[used] = w
-    return out, b
+    return w, b
 
 
 def score(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", own_col: str | None = None, sample: int = 20_000) -> DataFrame:
@@ -377,7 +377,8 @@ def score(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "d
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         votes_on = Voters(*voters.value)
         for batch in batches:
-            votes = [votes_on(words_of(t.as_py())) for t in batch.column("text")]
+            words = (words_of(t.as_py()) for t in batch.column("text"))
+            votes = [votes_on(w, set(w)) for w in words]
             yield pa.RecordBatch.from_arrays([batch.column("held_out"), pa.array(votes, pa.binary())], names=["held_out", "votes"])
 
     voted = docs.select("held_out", "text").mapInArrow(vote, "held_out boolean, votes binary")
@@ -387,41 +388,41 @@ def score(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "d
     model = LabelModel(M).fit(_expectations(patterns))
 
     def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        votes_on, features = Voters(*voters.value), Features()
+        votes_on = Voters(*voters.value)
         for batch in batches:
             found, votes = [], []
             for text in batch.column("text"):  # one text's words at a time
                 words = words_of(text.as_py())
-                found.append(features(words).astype(np.int32))
-                votes.append(votes_on(words))
+                distinct = set(words)
+                found.append(features_of(distinct))
+                votes.append(votes_on(words, distinct))
             votes = np.frombuffer(b"".join(votes), dtype=np.uint8).reshape(-1, M).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), pa.array(model.posterior(votes))], names=["features", "target"])
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string())), pa.array(model.posterior(votes))], names=["features", "target"])
 
     share = F.pmod(F.xxhash64("id", F.lit(2)), F.lit(1 << 30)) < int(min(1.0, sample / max(n, 1)) * (1 << 30))
-    some = materialize(docs.where(~F.col("held_out") & share).select("text").mapInArrow(examples, "features array<int>, target double"), "examples")
+    some = materialize(docs.where(~F.col("held_out") & share).select("text").mapInArrow(examples, "features array<string>, target double"), "examples")
     used = telling(some)
+    place = {f: i for i, f in enumerate(used)}
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [x[np.isin(x, used)].astype(np.int32) for x in batch.column("features").to_numpy(zero_copy_only=False)]
+            found = [[place[f] for f in x.as_py() if f in place] for x in batch.column("features")]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), batch.column("target")], names=["features", "target"])
 
-    short = some.mapInArrow(cut, "features array<int>, target double").limit(2 * sample).toArrow()
-    lists = [x for chunk in short["features"].chunks for x in (chunk.flatten().to_numpy(),)]
-    sizes = [np.diff(chunk.offsets.to_numpy()) for chunk in short["features"].chunks]
-    none = np.zeros(0, dtype=np.int64)
-    w, b = fit_linear(np.concatenate([none, *lists]).astype(np.int64), np.concatenate([none, *sizes]).astype(np.int64), short["target"].to_numpy())
-    weights = spark.sparkContext.broadcast(w.astype(np.float32))
+    short = some.mapInArrow(numbered, "features array<int>, target double").limit(2 * sample).toArrow()
+    chunks, none = short["features"].chunks, np.zeros(0, dtype=np.int64)
+    flat, lengths = np.concatenate([none, *(c.flatten().to_numpy() for c in chunks)]).astype(np.int64), np.concatenate([none, *(np.diff(c.offsets.to_numpy()) for c in chunks)]).astype(np.int64)
+    fitted = spark.sparkContext.broadcast((used, *fit_linear(flat, lengths, short["target"].to_numpy(), len(used))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = weights.value
-        votes_on, features = Voters(*voters.value), Features((w != 0).tolist())
+        votes_on, linear = Voters(*voters.value), Linear(*fitted.value)
         for batch in batches:
             z, votes = [], []
             for text in batch.column("text"):
                 words = words_of(text.as_py())
-                z.append(b + float(w[features(words)].sum(dtype=float)))
-                votes.append(votes_on(words))
+                distinct = set(words)
+                z.append(linear(distinct))
+                votes.append(votes_on(words, distinct))
             p = 1 / (1 + np.exp(-np.clip(np.array(z, dtype=float), -50, 50)))
             votes = np.frombuffer(b"".join(votes), dtype=np.uint8).reshape(-1, M).astype(np.int64)
             columns = [batch.column("own"), batch.column("held_out"), pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32)), pa.array(model.posterior(votes), pa.float64())]

@@ -258,7 +258,7 @@ def test_forest_is_the_heaviest():
 
 
 def test_votes():
-    votes = lambda t, patterns=(): dict(zip(toxicity.VOTERS, toxicity.Voters(dict(patterns), frozenset({"rats"}))(toxicity.words_of(t)), strict=True))
+    votes = lambda t, patterns=(): dict(zip(toxicity.VOTERS, toxicity.Voters(dict(patterns), frozenset({"rats"}))(toxicity.words_of(t), set(toxicity.words_of(t))), strict=True))
     assert {k for k, v in votes("You moron!! What scum").items() if v == 1} == {"insults", "disgust", "several", "addressed"}
     assert votes("a m0ron")["disguised"] == 1 and votes("rats")["nothing"] == 0 and votes("")["nothing"] == 0
     bit = 1 << toxicity.VOTERS.index("start_4_1")
@@ -267,16 +267,18 @@ def test_votes():
 
 def test_linear_classifier_starts_from_zero_and_learns(spark):
     rng = np.random.default_rng(6)
-    rows = [np.unique(rng.integers(100, 400, 20)) for _ in range(2000)]
+    texts = [{f"w{i}" for i in rng.integers(100, 400, 20)} for _ in range(2000)]
     target = (rng.random(2000) < 0.2).astype(float)
-    rows = [np.r_[r, 7] if t else r for r, t in zip(rows, target, strict=True)]
-    used = toxicity.telling(spark.createDataFrame([(r.tolist(), float(t)) for r, t in zip(rows, target, strict=True)], "features array<int>, target double"))
-    assert 7 in used and len(used) < 10
-    short = [r[np.isin(r, used)] for r in rows]
-    w, b = toxicity.fit_linear(np.concatenate(short), np.array([len(r) for r in short]), target)
-    assert w[7] > 4 and b < -1 and np.abs(np.delete(w, 7)).max() < 2
+    rows = [sorted(toxicity.features_of(x | {"blargo"} if t else x)) for x, t in zip(texts, target, strict=True)]
+    used = toxicity.telling(spark.createDataFrame([(r, float(t)) for r, t in zip(rows, target, strict=True)], "features array<string>, target double"))
+    assert {"0blargo", "4blar"} <= set(used) and len(used) < 12
+    short = [np.array([used.index(f) for f in r if f in used], dtype=np.int64) for r in rows]
+    w, b = toxicity.fit_linear(np.concatenate(short), np.array([len(r) for r in short]), target, len(used))
+    score = toxicity.Linear(used, w, b)
+    assert b < -1 and score({"blargo", "w101"}) > 2 and score({"w101", "w102"}) < -1
+    assert score({"blargo"}) == pytest.approx(b + sum(w[used.index(f)] for f in toxicity.features_of({"blargo"}) if f in used))
     none = np.zeros(0, dtype=np.int64)
-    assert toxicity.fit_linear(none, none, np.zeros(0))[1] == 0
+    assert toxicity.fit_linear(none, none, np.zeros(0), 0)[1] == 0
 
 
 def test_toxicity_held_out(spark):

@@ -34,7 +34,7 @@ VALUES = 128
 #: Part of the signatures' values that agree, below which neighbours aren't candidates.  At a similarity of 0.8
 #: it is 5.7 standard deviations away.
 AGREE = 0.6
-FORGET = 400_000
+FORGET = 100_000
 
 _rng = np.random.default_rng(20240229)
 FACTORS = _rng.integers(0, 2**63, size=VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

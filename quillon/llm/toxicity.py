@@ -44,7 +44,7 @@ VOTERS = (*THEMES, "several", "disguised", "addressed", "nothing", "stray", *(f"
 M, FIRST_LEARNED = len(VOTERS), len(THEMES) + 5
 SEVERAL, DISGUISED, ADDRESSED, NOTHING, STRAY = range(len(THEMES), len(THEMES) + 5)
 LISTED = (1 << len(THEMES)) - 1
-FORGET = 200_000
+FORGET = 100_000
 
 
 def words_of(text: str | None) -> list[str]:

@@ -1,6 +1,7 @@
 """The corpus pipeline: columns, kept rows, edge cases."""
 
 import corpus_pipeline
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quillon.llm import queries
@@ -34,6 +35,26 @@ def test_edges(spark):
     assert corpus_pipeline.language_id(spark, docs, SF).where("doc_id in (1, 2)").count() == 0
 
 
+def test_batches_are_bounded_by_bytes(spark):
+    conf, docs = "spark.sql.execution.arrow.maxBytesPerBatch", spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    texts = spark.range(0, 1500, 1, 1).selectExpr("repeat('x', 20000) AS text")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    try:
+        for _, stage in corpus_pipeline.STAGES:
+            spark.conf.set(conf, "64m")
+            stage(spark, docs, SF)
+            assert max(r["n"] for r in texts.mapInArrow(sizes, "n long").collect()) < 5 << 20
+            spark.conf.set(conf, "1m")
+            stage(spark, docs, SF)
+            assert spark.conf.get(conf) == "1m"
+    finally:
+        spark.conf.unset(conf)
+
+
 def test_query_names():
     assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)

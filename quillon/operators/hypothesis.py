@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import dist
 from .common import corr, ordered, per_group, running
 from .correlation import autocorrelation
-from .regression import lstsq, ols, residuals
+from .regression import coefficients, lstsq, ols, residuals
 
 
 def durbin_watson(df: DataFrame, e: str, by: Sequence[str] = (), order: Sequence[str] = ("t",)) -> DataFrame:
@@ -124,13 +124,22 @@ def white(df: DataFrame, e: str, xs: Sequence[str], by: Sequence[str] = (), cros
 
 
 def reset(df: DataFrame, y: str, xs: Sequence[str], by: Sequence[str] = (), powers: Sequence[int] = (2, 3)) -> DataFrame:
-    """Ramsey's test: do powers of the fitted values add to the fit?"""
-    fitted = residuals(df, y, xs, by).withColumns({f"__f{p}": F.pow("fitted", F.lit(float(p))) for p in powers})
-    small = _auxiliary(df, y, xs, by).select(*by, F.col("ssr").alias("ssr0"), F.col("rank").alias("rank0"))
-    large = _auxiliary(fitted, y, [*xs, *[f"__f{p}" for p in powers]], by)
+    """Ramsey's test: do powers of the fitted values add to the fit?
+
+    The powers 2, 3, ... to the last are those of the deviations from the fitted values' mean, which add the same: fitted
+    values that move little about a large mean have squares that differ from a line by rounding alone.  What they add is
+    the sum explained of the residuals.  Null where powers add no rank, no freedom is left or nothing is left to explain.
+    """
+    first = coefficients(df, y, xs, by).select(*by, F.col("beta").alias("__b"), F.col("centre").alias("__m"), F.col("rank").alias("__r"))
+    rows = df.join(first, list(by)) if by else df.crossJoin(first)
+    moved = sum((F.col("__b")[i] * (F.col(x) - F.col("__m")[i]) for i, x in enumerate(xs, 1)), F.lit(0.0))
+    base = moved if set(powers) == set(range(2, max(powers) + 1)) else F.col("__m")[0] + moved
+    made = rows.withColumns({"__e": F.col(y) - F.col("__m")[0] - moved, **{f"__f{p}": F.pow(base, F.lit(float(p))) for p in powers}})
+    small = first.select(*by, "__r")
+    large = _auxiliary(made, "__e", [*xs, *[f"__f{p}" for p in powers]], by)
     both = small.join(large, list(by)) if by else small.crossJoin(large)
-    both = both.withColumn("df_num", (F.col("rank") - F.col("rank0")).cast("double")).withColumn("df_den", (F.col("n_obs") - F.col("rank")).cast("double"))
-    both = both.withColumn("statistic", (F.col("ssr0") - F.col("ssr")) / F.col("df_num") / (F.col("ssr") / F.col("df_den")))
+    both = both.withColumn("df_num", (F.col("rank") - F.col("__r")).cast("double")).withColumn("df_den", (F.col("n_obs") - F.col("rank")).cast("double"))
+    both = both.withColumn("statistic", F.try_divide(F.try_divide(F.col("tss") - F.col("ssr"), F.col("df_num")), F.try_divide(F.col("ssr"), F.col("df_den"))))
     return both.withColumn("p_value", dist.column("fisher_f", "sf", "statistic", F.col("df_num"), F.col("df_den"))).select(*by, "statistic", "p_value", "df_num", "df_den")
 
 

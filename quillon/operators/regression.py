@@ -156,14 +156,14 @@ def wls(df: DataFrame, y: str, xs: Sequence[str], weight: str, by: Sequence[str]
 
 
 def coefficients(df: DataFrame, y: str, xs: Sequence[str], by: Sequence[str] = (), weight: str | None = None, const: bool = True) -> DataFrame:
-    """``by...``, ``beta`` array (constant first), ``cov`` array of rows (scaled), ``scale``, ``df_resid``: to be joined to rows."""
+    """``by...``, ``beta`` array (constant first), ``cov`` array of rows (scaled), ``scale``, ``df_resid``, ``rank`` and ``centre`` (means of y and xs): to be joined to rows."""
     stats = gram(df, [y, *xs], by, weight)
 
     def make(r):
         fit = Fit(r["n"], r["w"], r["m"], r["c"], r["lw"], const)
-        yield {"beta": fit.coef.tolist(), "cov": (fit.cov0 * fit.scale).tolist(), "scale": fit.scale, "df_resid": fit.df_resid}
+        yield {"beta": fit.coef.tolist(), "cov": (fit.cov0 * fit.scale).tolist(), "scale": fit.scale, "df_resid": fit.df_resid, "rank": fit.rank, "centre": list(r["m"])}
 
-    return _solve(stats, by, make, "beta array<double>, cov array<array<double>>, scale double, df_resid int")
+    return _solve(stats, by, make, "beta array<double>, cov array<array<double>>, scale double, df_resid int, rank int, centre array<double>")
 
 
 def residuals(df: DataFrame, y: str, xs: Sequence[str], by: Sequence[str] = (), const: bool = True, name: str = "residual", fitted: str = "fitted") -> DataFrame:
@@ -183,7 +183,7 @@ def predict(df: DataFrame, new: DataFrame, y: str, xs: Sequence[str], by: Sequen
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda u, v: u * v), F.lit(0.0), lambda s, v: s + v)
     joined = joined.withColumn("mean", dot(x, F.col("beta"))).withColumn("param_var", dot(x, F.transform("cov", lambda row: dot(row, x))))
     half = (F.lit(t) if t is not None else dist.column("students_t", "quantile", F.lit(0.975), F.col("df_resid").cast("double"))) * F.sqrt(F.col("param_var") + F.col("scale"))
-    return joined.withColumns({"ci_low": F.col("mean") - half, "ci_high": F.col("mean") + half}).drop("beta", "cov", "scale", "df_resid")
+    return joined.withColumns({"ci_low": F.col("mean") - half, "ci_high": F.col("mean") + half}).drop("beta", "cov", "scale", "df_resid", "rank", "centre")
 
 
 def lstsq(y: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, float, int, np.ndarray]:

@@ -161,3 +161,29 @@ def test_constant_columns_give_null(spark):
     zero = df.withColumn("e", F.col("x") - 2)
     assert H.durbin_watson(zero, "e", ["g"]).first()["statistic"] is None and H.cusum(zero, "e", ["g"]).first()["statistic"] is None
     assert H.break_variance(zero, "e", ["g"]).first()["statistic"] is None and H.kpss_fixed(df, "x", 2, ["g"]).first()["statistic"] is None
+
+
+def test_reset_where_fitted_values_hardly_move(spark):
+    """A slope of 0.001 about 50,000: squares of the fitted values are a line but for 1e-13, and still add what x squared adds."""
+    x = np.repeat(np.arange(1.0, 51.0), 2)
+    y = 50_000 + 0.001 * x + np.where(np.arange(100) % 2, 1, -1) * (3 + x % 7) + 0.01 * ((x - 25.5) ** 2 - 208.25)
+    u = x - x.mean()
+    ssr = [((y - y.mean() - np.vander(u, k) @ np.linalg.lstsq(np.vander(u, k), y - y.mean(), rcond=None)[0]) ** 2).sum() for k in (2, 3)]
+    got = H.reset(spark.createDataFrame([("a", float(a), float(b)) for a, b in zip(x, y, strict=True)], "g string, x double, y double"), "y", ["x"], ["g"], (2,)).collect()[0]
+    assert math.isclose(got.statistic, (ssr[0] - ssr[1]) / ssr[1] * 97, rel_tol=1e-6) and (got.df_num, got.df_den) == (1, 97) and 0 < got.p_value < 1
+
+
+def test_reset_is_null_where_powers_add_nothing(spark):
+    groups = {"one value": [(5.0, float(i)) for i in range(8)], "two values": [(1.0 + i % 2, float(i * i % 7)) for i in range(9)], "no freedom": [(1.0, 2.0), (2.0, 5.0), (4.0, 7.0)], "flat": [(float(i), 3.0) for i in range(9)], "good": [(float(i), float(i * i % 7)) for i in range(9)]}
+    got = {r.g: r.statistic for r in H.reset(spark.createDataFrame([(g, *r) for g, rows in groups.items() for r in rows], "g string, x double, y double"), "y", ["x"], ["g"], (2,)).collect()}
+    assert {g for g, v in got.items() if v is None} == set(groups) - {"good"} and math.isclose(got["good"], 4.6519, abs_tol=1e-4)
+
+
+def test_reset_powers_with_gaps(spark):
+    """Powers that leave one out are those of the fitted values themselves."""
+    x = np.arange(40.0)
+    y = 3 + 2 * x + np.sin(x) + 0.001 * x**2
+    f = np.polyval(np.polyfit(x, y, 1), x) / 80
+    fit = [((y - m @ np.linalg.lstsq(m, y, rcond=None)[0]) ** 2).sum() for m in (np.vander(f, 2), np.column_stack([np.vander(f, 2), f**3]))]
+    got = H.reset(spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y, strict=True)], "x double, y double"), "y", ["x"], (), (3,)).collect()[0]
+    assert math.isclose(got.statistic, (fit[0] - fit[1]) / fit[1] * 37, rel_tol=1e-6)
